@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quayside.llm import dart_minhash
+from quayside.llm import dart_minhash, language_id
 
 
 def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,5 +12,10 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"op10_dart_minhash": op10_dart_minhash}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, rejected, loss of all documents."""
+    return language_id.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES = {"op9_language_id": op9_language_id, "op10_dart_minhash": op10_dart_minhash}
 ORACLE_SQL: dict[str, str] = {}
