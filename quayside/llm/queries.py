@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quayside.llm import dart_minhash, language_id
+from quayside.llm import compact_windows, dart_minhash, language_id
 
 
 def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,10 +12,16 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, first_id, start_word, end_word, first_start, first_end: passages that an earlier document has."""
+    found = compact_windows.repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
+    return found.withColumnRenamed("first_id", "first_doc_id")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected, loss of all documents."""
     return language_id.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"op9_language_id": op9_language_id, "op10_dart_minhash": op10_dart_minhash}
+QUERIES = {"op5_compact_windows": op5_compact_windows, "op9_language_id": op9_language_id, "op10_dart_minhash": op10_dart_minhash}
 ORACLE_SQL: dict[str, str] = {}
