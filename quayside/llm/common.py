@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 U = np.uint64
 #: Characters of text handled by one NumPy step; bounds a worker's memory, never the work.
-SLICE_CHARS = 1_500_000
+SLICE_CHARS = 700_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -1,17 +1,19 @@
 """MinHash near-dedup (operator 10): DartMinHash signatures, banded joins, exact verification.
 
-A document is a weighted set: each run of five words (lower-cased, split at white space) weighs as
-often as it occurs.  Weight ``w`` of an element is the unit cells 1..w, so two documents' weighted
-Jaccard similarity is that of their sets of cells.  Each cell has hashed darts: a Poisson process of
+A document is a weighted set: a run of five words (lower-cased, split at white space) that occurs c
+times weighs 1 + floor(log2 c), so that a line repeated hundreds of times doesn't outweigh the rest
+(``weights`` may also be "count" or "set").  Weight ``w`` of an element is the unit cells 1..w, so two
+documents' weighted Jaccard similarity is that of their sets of cells.  Each cell has hashed darts: a Poisson process of
 ranks, drawn from the cell's hash alone.  A document throws the darts of its cells up to the rank at
 which about ``k (ln k + 3)`` of them are expected; a dart hits one of ``k`` coordinates, and the
 earliest dart of each coordinate is kept.  Two documents agree in a coordinate with a chance equal to
 their similarity.  A document that leaves a coordinate empty throws on, to twice the rank.
 
 Candidates come from bands of coordinates.  In each bucket every member is first compared with one
-leader only; where verified links leave a bucket with more than one component, the members of
-different components are compared too.  So no pair of a bucket whose answer could matter is missed,
-and a bucket of mutual copies costs its size, not its square.  Candidates are verified exactly.
+leader only; where verified links leave a bucket with more than one component, the members outside the
+leader's component are compared with all others, in tiles of bounded size that yield links and no
+pairs.  So no pair of a bucket whose answer could matter is missed, and a bucket of mutual copies
+costs its size, not its square.  Candidates are verified exactly.
 
 Defined cases: null or empty texts (or white space alone) have no shingles and link with nothing;
 texts of one to four words have one shingle, all their words; equal texts that have a word are always
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,18 +38,24 @@ from quayside.llm.common import (
 #: Words of a shingle, bands and coordinates of a band, and the similarity of a link.  At 0.8 a pair
 #: misses every band with a chance of (1 - 0.8**6)**28, about 2 in 10,000.
 SHINGLE, BANDS, ROWS, LINK = 5, 28, 6, 0.8
+#: Rows and columns of a tile that one task compares.
+TILE = 256
 
 
-def cells(texts: pa.Array, shingle: int = SHINGLE, weighted: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def cells(texts: pa.Array, shingle: int = SHINGLE, weights: str = "log") -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's unit cells (shingle, occurrence): (offsets, hashes)."""
     offsets, codes, names = words(texts)
     offsets, h = shingles(offsets, word_hashes(names)[codes], shingle)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     nth = rank_in_group(h, doc)
-    if weighted:
+    # cell m of a shingle exists if it occurs m times, 2**(m-1) times or, in a set, once at all
+    if weights == "count":
         return offsets, mix(h + nth.astype(U) * U(0xD1B54A32D192ED03))
-    first = nth == 0
-    return np.concatenate([[0], np.cumsum(np.bincount(doc[first], minlength=len(offsets) - 1))]).astype(np.int64), mix(h[first])
+    count = nth + 1
+    kept = count == 1 if weights == "set" else (count & nth) == 0
+    step = np.log2(count[kept]).astype(U)
+    sizes = np.bincount(doc[kept], minlength=len(offsets) - 1)
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), mix(h[kept] + step * U(0xD1B54A32D192ED03))
 
 
 def dart_signatures(offsets: np.ndarray, cell: np.ndarray, k: int) -> np.ndarray:
@@ -90,13 +99,13 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return seeded(key, 1) + np.arange(bands, dtype=U)
 
 
-def signature_table(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, shingle: int, weighted: bool) -> DataFrame:
+def signature_table(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int, shingle: int, weights: str) -> DataFrame:
     """(id, digest of the text, band keys) of each document that has a shingle."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                offsets, cell = cells(part.column("text"), shingle, weighted)
+                offsets, cell = cells(part.column("text"), shingle, weights)
                 some = np.flatnonzero(np.diff(offsets) > 0)
                 keys = band_keys(dart_signatures(offsets, cell, bands * rows)[some], bands, rows)
                 yield pa.RecordBatch.from_arrays(
@@ -109,13 +118,13 @@ def signature_table(docs: DataFrame, id_col: str, text_col: str, bands: int, row
     return src.where("id is not null").mapInArrow(sign, "id long, digest string, bands array<long>")
 
 
-def bag_table(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, shingle: int, weighted: bool) -> DataFrame:
+def bag_table(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, shingle: int, weights: str) -> DataFrame:
     """(id, sorted cells) of the documents in ``ids``; two rows of one id join into one bag."""
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                offsets, cell = cells(part.column("text"), shingle, weighted)
+                offsets, cell = cells(part.column("text"), shingle, weights)
                 yield pa.RecordBatch.from_arrays([part.column("id"), int_lists(offsets, cell.view(np.int64), pa.int64())], names=["id", "bag"])
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids.select("id"), "id", "left_semi")
@@ -133,34 +142,77 @@ def verified(pairs: DataFrame, bags: DataFrame, link: float) -> DataFrame:
     return both.where(near).select("a", "b").distinct()
 
 
+def tiled(members: DataFrame, bags: DataFrame, link: float) -> DataFrame:
+    """Links (a, b) of each bucket between the members outside its main component and all others.
+
+    ``members``: band, id, component, outside, n members and ``outs`` members outside.  Both sides are
+    dealt into tiles of about ``TILE`` rows; each pair of tiles is a task of its own.
+    """
+    spot = F.xxhash64("id", F.lit(7))
+    tiles = lambda n: F.ceil(F.col(n) / TILE).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), tiles(n) - 1))
+    one = lambda n: F.pmod(spot, tiles(n)).cast("int")
+    rows = members.where("outside").select("band", "id", "component", F.lit(True).alias("row"), one("outs").alias("x"), every("n").alias("y"))
+    cols = members.select("band", "id", "component", F.lit(False).alias("row"), every("outs").alias("x"), one("n").alias("y"))
+
+    def compare(tile: pa.Table) -> pa.Table:
+        row = tile["row"].to_numpy()
+        ids, part = tile["id"].to_numpy(), tile["component"].to_numpy()
+        bag = tile["bag"].combine_chunks()
+        size = pc.list_value_length(bag).to_numpy(zero_copy_only=False).astype(np.int64)
+        _, cell, uses = np.unique(bag.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(row)), size)
+        number = np.cumsum(uses > 1) - 1
+        some = uses[cell] > 1
+        owner, cell = owner[some], number[cell[some]]
+        order = np.argsort(cell, kind="stable")
+        owner, cell = owner[order], cell[order]
+        r, c = np.flatnonzero(row), np.flatnonzero(~row)
+        shared = np.zeros((len(r), len(c)), np.float32)
+        for at in range(0, int(number[-1]) + 1 if len(number) else 0, 2048):
+            lo, hi = np.searchsorted(cell, [at, at + 2048])
+            has = np.zeros((len(row), 2048), np.float32)
+            has[owner[lo:hi], cell[lo:hi] - at] = 1
+            shared += has[r] @ has[c].T
+        near = (shared >= link * (size[r][:, None] + size[c][None, :] - shared)) & (part[r][:, None] != part[c][None, :])
+        i, j = np.nonzero(near)
+        # one link from each row to each component joins the same rows as all of them
+        _, first = np.unique(np.stack([i, part[c][j]], 1), axis=0, return_index=True) if len(i) else (None, i)
+        return pa.table({"a": ids[r][i[first]], "b": ids[c][j[first]]})
+
+    both = rows.unionByName(cols).join(bags, "id")
+    return both.groupBy("band", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bands: int = BANDS, rows: int = ROWS,
-    shingle: int = SHINGLE, link: float = LINK, weighted: bool = True,
+    shingle: int = SHINGLE, link: float = LINK, weights: str = "log",
 ) -> DataFrame:
     """(id_col, class_id, kept): one row for each id; the class is the smallest linked id."""
-    signed = shared_table(signature_table(docs, id_col, text_col, bands, rows, shingle, weighted))
+    signed = shared_table(signature_table(docs, id_col, text_col, bands, rows, shingle, weights))
     first = signed.groupBy("digest").agg(F.min("id").alias("rep"))
     copies = signed.select("id", "digest").join(first, "digest").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     reps = signed.join(first.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi")
     members = reps.select("id", F.explode("bands").alias("band"))
-    # One order for all bands: the same leader meets the same members, so pairs repeat and fold.
-    order = F.struct(F.xxhash64("id").alias("o"), F.col("id").alias("lead"))
-    lead = members.groupBy("band").agg(F.min(order).alias("m"), F.count("*").alias("n")).where("n > 1").select("band", "m.lead")
-    hot = shared_table(members.join(lead, "band"))
+    crowd = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    hot = shared_table(members.join(crowd, "band"))
+    # The leader is the member that shares most buckets with others: among edited copies, the original.
+    # The same leaders meet the same members in many bands, so their pairs fold into few.
+    shares = hot.groupBy("id").agg(F.sum("n").alias("share"))
+    order = F.struct("share", F.xxhash64("id").alias("o"), "id")
+    ranked = hot.join(shares, "id").select("band", order.alias("m"))
+    lead = ranked.groupBy("band").agg(F.max("m").alias("m")).select("band", F.col("m.id").alias("lead"))
+    hot = shared_table(hot.select("band", "id").join(lead, "band"))
     star = hot.where("id <> lead").select(F.greatest("id", "lead").alias("a"), F.least("id", "lead").alias("b")).distinct()
-    bags = shared_table(bag_table(docs, hot.select("id").distinct(), id_col, text_col, shingle, weighted))
+    bags = shared_table(bag_table(docs, hot.select("id").distinct(), id_col, text_col, shingle, weights))
     links = shared_table(verified(star, bags, link))
-    # Buckets that the stars leave in more than one component: compare across components.
-    parts = components(links, "a", "b")
-    placed = hot.select("band", "id", "lead").join(parts.withColumnRenamed("node", "id"), "id", "left")
-    placed = placed.select("band", "id", "lead", F.coalesce("component", "id").alias("component"))
-    split = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    # A member whose component is the leader's needs no comparison with the leader again.
-    left = shared_table(placed.join(split, "band").where("id <> lead"))
-    x = left.select("band", F.col("id").alias("a"), F.col("component").alias("ca"))
-    y = left.select("band", F.col("id").alias("b"), F.col("component").alias("cb"))
-    more = x.join(y, "band").where("ca <> cb and a > b").select("a", "b").distinct()
-    edges = copies.unionByName(links).unionByName(verified(more, bags, link))
+    # Buckets that the stars leave in more than one component.
+    parts = components(links, "a", "b").withColumnRenamed("node", "id")
+    placed = hot.join(parts, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"), (F.col("id") == F.col("lead")).alias("leads"))
+    main = placed.groupBy("band").agg(F.max(F.when(F.col("leads"), F.col("component"))).alias("main"), F.count("*").alias("n"))
+    placed = placed.join(main, "band").withColumn("outside", F.col("component") != F.col("main"))
+    out = placed.where("outside").groupBy("band").agg(F.count("*").alias("outs"))
+    edges = copies.unionByName(links).unionByName(tiled(placed.join(out, "band"), bags, link))
     found = components(edges, "a", "b").withColumnRenamed("node", "id")
     ids = docs.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
     out = ids.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("class_id"))
