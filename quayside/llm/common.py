@@ -47,6 +47,11 @@ def shared_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with columns _0, _1, ..., so that no name clashes with an operator's own."""
+    return docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser; wraps around."""
     x = x.astype(U, copy=True)
@@ -114,7 +119,8 @@ def shingles(offsets: np.ndarray, h: np.ndarray, k: int = 5) -> tuple[np.ndarray
     odd = U(0x9E3779B97F4A7C15)
     for j in range(k):
         acc *= odd
-        acc[: m - j] += h[j:] if j else h
+        if j < m:
+            acc[: m - j] += h[j:]
     acc = mix(acc)
     count = np.where(n >= k, n - k + 1, (n > 0).astype(np.int64))
     for i in np.flatnonzero((n > 0) & (n < k)):  # short texts: their own words only

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayside.llm.common import (
-    U, components, int_lists, mix, rank_in_group, seeded, shared_table, shingles, slices, unit, word_hashes, words,
+    U, components, int_lists, mix, numbered, rank_in_group, seeded, shared_table, shingles, slices, unit, word_hashes, words,
 )
 
 #: Words of a shingle, bands and coordinates of a band, and the similarity of a link.  At 0.8 a pair
@@ -127,7 +127,7 @@ def bag_table(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, shing
                 offsets, cell = cells(part.column("text"), shingle, weights)
                 yield pa.RecordBatch.from_arrays([part.column("id"), int_lists(offsets, cell.view(np.int64), pa.int64())], names=["id", "bag"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids.select("id"), "id", "left_semi")
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids.select("id").hint("merge"), "id", "left_semi")
     return src.mapInArrow(bag, "id long, bag array<long>")
 
 
@@ -224,5 +224,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows with a null id stay; of several rows with one id all stay or go together.
     """
-    gone = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias("gone"))
+    rows = numbered(docs)
+    return rows.join(gone.hint("merge"), F.col(f"_{docs.columns.index(id_col)}") == F.col("gone"), "left_anti").toDF(*docs.columns)

@@ -4,24 +4,74 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quayside.llm import compact_windows, dart_minhash, language_id
+from quayside.llm import (
+    compact_windows, cross_entropy, dart_minhash, language_id, licence_scan, pareto_mix, piece_codec, subspace_join, syncmers, url_filter,
+)
+from quayside.llm.oracles import MIX_SQL
 
 
-def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, class_id, kept: near-duplicate classes of all documents."""
-    return dart_minhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, round_trip: piece ids of every whole text, and whether they decode to it."""
+    out = piece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id", "text"])
+    return out.select("doc_id", "n_tokens", "ids", out["decoded"].eqNullSafe(out["text"]).alias("round_trip"))
+
+
+def op2_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, target_loss, background_loss, score: all documents against those of quality 1."""
+    return cross_entropy.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken, source, copies: the mix of all documents."""
+    out = pareto_mix.mix(table(spark, sf_dir, "documents"), pareto_mix.repeating_weight())
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op4_subspace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every vector."""
+    return subspace_join.linked_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op5_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, first_id, start_word, end_word, first_start, first_end: passages that an earlier document has."""
-    found = compact_windows.repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
+    """doc_id, first_doc_id, start_word, end_word, first_start, first_end: passages that an earlier document has."""
+    found = compact_windows.repeated_passages(table(spark, sf_dir, "documents"))
     return found.withColumnRenamed("first_id", "first_doc_id")
 
 
+def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict, score of every page."""
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every document."""
+    return licence_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, rejected, loss of all documents."""
-    return language_id.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """doc_id, held_out, lang_pred, score, rejected, loss of every document."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id, kept: near-duplicate classes of all documents."""
+    return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_compact_windows": op5_compact_windows, "op9_language_id": op9_language_id, "op10_dart_minhash": op10_dart_minhash}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_piece_codec, op2_cross_entropy, op3_pareto_mix, op4_subspace_join, op5_compact_windows,
+        op6_syncmers, op7_url_filter, op8_licence_scan, op9_language_id, op10_dart_minhash,
+    )
+}
+ORACLE_SQL = {"op3_pareto_mix": MIX_SQL}
