@@ -63,7 +63,7 @@ def norm_vessel(c: Column | str) -> Column:
 def norm_list(c: Column | str, separators: str | None = None) -> Column:
     """Sorted parts.  After N1 only ``|`` separates; ``separators`` splits the raw text instead."""
     parts = F.split(norm_text(c), r" *\| *") if separators is None else F.transform(F.split(col(c), separators), norm_text)
-    return F.array_join(F.array_sort(F.filter(F.transform(parts, F.trim), lambda t: t != "")), " | ")
+    return F.array_join(F.array_sort(F.filter(F.transform(parts, lambda t: F.trim(t)), lambda t: t != "")), " | ")
 
 
 def port_map(ports: list[list[str]]) -> Column:
