@@ -12,8 +12,9 @@ are what the merges make of the two together, so a backpointer is the piece that
 piece before it.  Both give the ids of the reference implementation of the model.  Runs of blanks,
 whose pieces have tied ranks in some BPE models, follow the merges themselves.
 
-Where no piece holds a blank after another character, each word is such a converged boundary, and the
-ids of frequent words are kept in a cache of bounded size.
+Where no piece holds a blank after another character, each word is such a converged boundary.  The
+words that a worker meets first in some texts are then taken through the lattice together, position by
+position, as NumPy arrays; the ids of words are kept in a cache of bounded size.
 
 Decoding joins the pieces' bytes; byte pieces make up characters that the vocabulary lacks, and the
 blank put before the text goes.
@@ -36,12 +37,15 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import slices
+from quayside.llm.common import U, mix, slices
 
 BLANK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Entries of a worker's cache of words and of piece pairs; it starts anew when full.
-CACHE = 400_000
+CACHE = 600_000
+#: Longest word of the joint lattice, and slots of its table of piece pairs.
+JOINT, SLOTS = 48, 1 << 21
+BASE = U(0x9E3779B97F4A7C15)
 
 
 class Codec:
@@ -67,12 +71,25 @@ class Codec:
         rest = [s for x, s in self.scores.items() if x.strip(BLANK) and len(x) > 1]
         self.runs_last = not mixed and (not runs or not rest or max(self.scores[x] for x in runs) < min(rest))
         self.chunk = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-        self.words = Words(self)
+        self.words: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.spaces: dict[int, list[int]] = {}
         stored = [bytes([int(x[3:5], 16)]) if self.model.is_byte(i) else b"" if self.model.is_control(i) else x.replace(BLANK, " ").encode() for i, x in enumerate(self.names)]
         stored[self.unk] = " ⁇ ".encode()
         self.stored = pa.array(stored, pa.binary())
+        # pieces by hash: a bitmap of 2**20 slots first, then a sorted array
+        known = sorted((self.string_hash(x), i) for x, i in self.ids.items())
+        self.hashes, self.numbers = np.array([h for h, _ in known], U), np.array([i for _, i in known], np.int64)
+        self.likely = np.zeros(1 << 20, bool)
+        self.likely[(self.hashes >> U(44)).astype(np.int64)] = True
+        self.pair_keys, self.pair_stable = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, bool)
+
+    @staticmethod
+    def string_hash(text: str) -> int:
+        h = np.zeros(1, U)
+        for c in text:
+            h = h * BASE + U(ord(c) + 1)
+        return int(mix(h)[0])
 
     # -- the merges themselves, for short strings and runs of blanks
 
@@ -171,6 +188,90 @@ class Codec:
         if best is not None:
             score[end] = best
 
+    def stable_pairs(self, left: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """``stable`` of many pairs of piece ids, -1 for no left piece."""
+        key = (left + 1) << 32 | piece
+        slot = (mix(key.view(U)) & U(SLOTS - 1)).astype(np.int64)
+        new = np.flatnonzero(self.pair_keys[slot] != key)
+        if not len(new):
+            return self.pair_stable[slot]
+        out = self.pair_stable[slot]
+        keys, back = np.unique(key[new], return_inverse=True)
+        names = self.names
+        found = np.array([self.stable(names[(k >> 32) - 1] if k >> 32 else "", names[k & 0xFFFFFFFF]) for k in keys.tolist()], bool)
+        out[new] = found[back]
+        self.pair_keys[slot[new]], self.pair_stable[slot[new]] = key[new], found[back]
+        return out
+
+    def joint_lattice(self, words: list[str]) -> dict[str, bytes]:
+        """Ids, as bytes, of different words.
+
+        The BPE lattice of ``lattice`` for all words at once: for each end, the longest piece first.
+        """
+        out: dict[str, bytes] = {}
+        words = sorted(words, key=len)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        lo = 0
+        while lo < len(words):
+            hi = min(int(np.searchsorted(size, max(8, size[lo] + 3), side="right")), lo + 40_000)
+            out |= self._joint(words[lo:hi], size[lo:hi])
+            lo = hi
+        return out
+
+    def _joint(self, words: list[str], size: np.ndarray) -> dict[str, bytes]:
+        n, width = len(words), int(size[-1])
+        code = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le"), np.uint32).reshape(n, width).T.astype(U) + U(1)
+        before = np.zeros((width + 1, n), U)  # hashes of the words' beginnings
+        power = [U(1)]
+        with np.errstate(over="ignore"):
+            for e in range(width):
+                before[e + 1] = before[e] * BASE + code[e]
+                power.append(power[-1] * BASE)
+        # the last piece's id; -1 at the start, -2 where nothing ends, -10 - c for a character c without a piece
+        last, start = np.full((width + 1, n), -2, np.int64), np.zeros((width + 1, n), np.int64)
+        last[0] = -1
+        for e in range(1, width + 1):
+            open_ = np.flatnonzero(size >= e)
+            for at in range(max(0, e - self.longest), e):
+                if not len(open_):
+                    break
+                some = open_[last[at, open_] != -2]
+                h = mix(before[e, some] - before[at, some] * power[e - at])
+                hit = self.likely[(h >> U(44)).astype(np.int64)]
+                some, h = some[hit], h[hit]
+                place = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+                hit = self.hashes[place] == h
+                some, piece = some[hit], self.numbers[place[hit]]
+                if len(some):
+                    ok = self.stable_pairs(np.maximum(last[at, some], -1), piece)
+                    last[e, some[ok]], start[e, some[ok]] = piece[ok], at
+                    open_ = open_[last[e, open_] == -2]
+                if at == e - 1 and len(open_):
+                    lone = open_[~self.has_piece(before[e, open_] - before[at, open_] * power[1])]
+                    last[e, lone], start[e, lone] = -10 - (code[at, lone].astype(np.int64) - 1), at
+        place, ids = size.copy(), []
+        row = np.arange(n)
+        while (place > 0).any():
+            ids.append(np.where(place > 0, last[place, row], -1))
+            place = np.where(place > 0, start[place, row], 0)
+        spelt = np.stack(ids[::-1], 1)
+        count = (spelt != -1).sum(1)
+        odd = (spelt < -1).any(1)
+        narrow = spelt.astype(np.int32)
+        out = {}
+        for i, w in enumerate(words):
+            if odd[i]:
+                pieces = [self.spelled(chr(-10 - x)) if x < 0 else [x] for x in spelt[i, -count[i] :].tolist()]
+                out[w] = np.array([x for p in pieces for x in p], np.int32).tobytes()
+            else:
+                out[w] = narrow[i, -count[i] :].tobytes()
+        return out
+
+    def has_piece(self, hashed: np.ndarray) -> np.ndarray:
+        h = mix(hashed)
+        place = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return self.hashes[place] == h
+
     def encode_chunk(self, chunk: str) -> list[int]:
         """Ids of blanks and the word after them."""
         blanks = len(chunk) - len(chunk.lstrip(BLANK))
@@ -193,10 +294,25 @@ class Codec:
         return found
 
     def encode(self, text: str) -> np.ndarray:
-        text = self.model.normalize(text)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text; null and empty texts have none."""
+        texts = [self.model.normalize(x) if x else "" for x in texts]
         if not self.by_word:
-            return np.fromiter(self.lattice(text), np.int32)
-        return np.frombuffer(b"".join(map(self.words.__getitem__, self.chunk.findall(text))), np.int32)
+            return [np.fromiter(self.lattice(x), np.int32) for x in texts]
+        chunks = [self.chunk.findall(x) for x in texts]
+        new: set[str] = set()
+        for found in chunks:
+            new.update(set(found).difference(self.words))
+        if len(self.words) + len(new) > CACHE:
+            self.words.clear()
+            new = {w for found in chunks for w in found}
+        joint = [w for w in new if len(w) <= JOINT and not w.startswith(BLANK * 2)] if self.bpe else []
+        self.words.update(self.joint_lattice(joint))
+        other = {w: np.array(self.encode_chunk(w), np.int32).tobytes() for w in new if w not in self.words}
+        get = self.words.get
+        return [np.frombuffer(b"".join([x if (x := get(w)) is not None else other[w] for w in found]), np.int32) for found in chunks]
 
     def decode(self, offsets: np.ndarray, ids: np.ndarray) -> list[str]:
         """Texts of the id lists that ``offsets`` cuts ``ids`` into."""
@@ -207,22 +323,6 @@ class Codec:
         return [x[1:] if x.startswith(" ") else x for x in texts]
 
 
-class Words(dict):
-    """Encoded words as bytes of 32-bit ids; it starts anew when full."""
-
-    def __init__(self, codec: Codec) -> None:
-        super().__init__()
-        self.codec = codec
-
-    def __missing__(self, chunk: str) -> bytes:
-        made = np.array(self.codec.encode_chunk(chunk), np.int32).tobytes()
-        if len(chunk) <= 64:
-            if len(self) >= CACHE:
-                self.clear()
-            self[chunk] = made
-        return made
-
-
 _CODECS: dict[str, Codec] = {}
 
 
@@ -234,7 +334,7 @@ def codec(path: str = MODEL) -> Codec:
 
 
 def id_lists(texts: pa.Array, model: Codec) -> tuple[np.ndarray, np.ndarray]:
-    got = [model.encode(x) if x else np.zeros(0, np.int32) for x in texts.to_pylist()]
+    got = model.encode_all(texts.to_pylist())
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int64)
     return offsets, np.concatenate(got) if got else np.zeros(0, np.int32)
 
@@ -250,7 +350,7 @@ def encode(docs: DataFrame, keep: list[str], text_col: str = "text", path: str =
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = codec(path)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, chars=2_000_000):
                 text = part.column("text")
                 offsets, ids = id_lists(text, model)
                 none = text.is_null()
