@@ -97,7 +97,7 @@ def normalize_for(comparator: Column | str, c: Column | str) -> Column:
 
 def fold_ocr(c: Column | str) -> Column:
     """Digits that recognition confuses with letters become those letters."""
-    return F.regexp_replace(F.translate(F.upper(col(c)), "012568", "OIZSBG"), "[^A-Z0-9]", "")
+    return F.regexp_replace(F.translate(F.upper(col(c)), "012568", "OIZSGB"), "[^A-Z0-9]", "")
 
 
 def address_key(c: Column | str, ocr: Column | None = None) -> Column:

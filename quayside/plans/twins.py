@@ -76,7 +76,7 @@ def port_relation(x: str, y: str) -> str:
 
 
 def fold_ocr(x: str) -> str:
-    return f"regexp_replace(translate(upper({x}), '012568', 'OIZSBG'), '[^A-Z0-9]', '', 'g')"
+    return f"regexp_replace(translate(upper({x}), '012568', 'OIZSGB'), '[^A-Z0-9]', '', 'g')"
 
 
 def address_key(flat: str) -> str:
