@@ -27,6 +27,9 @@ from pyspark.sql import functions as F
 from quayside.llm.common import numbered, shared_table
 
 MAX_COPIES, BINS, SEED = 3, 4096, 29
+#: Up to so many sources, what is known of each (a row of under 100 bytes) goes to every executor; beyond
+#: it the joins by source are sort-merge joins, whose large partitions are split at run time.
+FEW_SOURCES = 50_000
 #: Fixed pattern of a word: a run of characters that aren't ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -53,13 +56,17 @@ def source_targets(sizes: DataFrame, weight: Column, max_copies: int = MAX_COPIE
     return t.select("source", "source_size", F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("w"), F.col("cap").cast("double"))).alias("target"))
 
 
-def pareto_take(docs: DataFrame, targets: DataFrame, bins: int = BINS, seed: int = SEED) -> DataFrame:
-    """Add ``copies`` to ``docs`` (id, source, size, chance weight ``cw``) by ``targets`` (source, source_size, target)."""
+def by_source(few: bool, sources: DataFrame) -> DataFrame:
+    return F.broadcast(sources) if few else sources.hint("merge")
+
+
+def pareto_take(docs: DataFrame, targets: DataFrame, few: bool, bins: int = BINS, seed: int = SEED) -> DataFrame:
+    """Which documents the sample takes (``in``), of ``docs`` (id, source, size, chance weight ``cw``), by ``targets`` (source, source_size, target)."""
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(ratio + 1e-12)
     t = targets.select(F.col("source").alias("s"), "source_size", "target", whole.alias("certain"))
     t = t.withColumn("open", F.greatest(F.lit(0.0), F.col("target") - F.col("certain") * F.col("source_size")))
-    d = docs.join(t, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    d = docs.join(by_source(few, t), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     # the open part of the ratio, tilted by the document's own weight
     share = F.when(F.col("source_size") > 0, F.col("open") / F.col("source_size")).otherwise(F.lit(0.0))
     p = F.least(F.greatest(share * F.col("cw"), F.lit(1e-9)), F.lit(1 - 1e-9))
@@ -75,7 +82,7 @@ def pareto_take(docs: DataFrame, targets: DataFrame, bins: int = BINS, seed: int
     edge = sums.where((F.col("before") <= F.col("open")) & (F.col("before") + F.col("words") > F.col("open")))
     edge = edge.groupBy("source").agg(F.min(F.struct("bin", "before")).alias("e"))
     edge = edge.select(F.col("source").alias("s"), F.col("e.bin").alias("edge"), F.col("e.before").alias("before"))
-    d = d.join(edge, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    d = d.join(by_source(few, edge), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     inner = d.where("edge is null or bin <> edge").withColumn("in", F.coalesce(F.col("bin") < F.col("edge"), F.col("open") > 0))
     ranked = Window.partitionBy("source").orderBy("q", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     rim = d.where("bin = edge").withColumn("in", F.col("before") + F.sum("size").over(ranked) <= F.col("open"))
@@ -93,16 +100,17 @@ def mix(docs: DataFrame, weight: Column, id_col: str = "doc_id", text_col: str =
         (chance if chance is not None else F.lit(1.0)).cast("double").alias("cw"),
     )
     d = shared_table(d)
-    targets = source_targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weight, max_copies)
-    took = shared_table(pareto_take(d, targets))
+    targets = shared_table(source_targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weight, max_copies))
+    few = targets.count() <= FEW_SOURCES
+    took = shared_table(pareto_take(d, targets, few))
     # what the sample leaves open, and the document left out that comes nearest to it
     got = F.sum(F.when(F.col("in"), F.col("size")).otherwise(0))
     gap = took.groupBy("source").agg((F.max("open") - got).alias("gap")).select(F.col("source").alias("s"), "gap")
-    took = took.join(gap, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    took = took.join(by_source(few, gap), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     off = F.abs(F.col("gap") - F.col("size"))
     out = (~F.col("in")) & (off < F.col("gap")) & (F.col("certain") < max_copies)
     best = took.where(out).groupBy("source").agg(F.min(F.struct(off.alias("off"), "q", "id")).alias("b")).select(F.col("source").alias("s"), F.col("b.id").alias("extra"))
-    took = took.join(best, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    took = took.join(by_source(few, best), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     more = F.col("in") | F.coalesce(F.col("id") == F.col("extra"), F.lit(False))
     copies = (F.col("certain") + F.when(more, 1).otherwise(0)).cast("int")
     return took.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
