@@ -190,18 +190,20 @@ def near_duplicates(
 ) -> DataFrame:
     """(id_col, class_id, kept): one row for each id; the class is the smallest linked id."""
     signed = shared_table(signature_table(docs, id_col, text_col, bands, rows, shingle, weights))
-    first = signed.groupBy("digest").agg(F.min("id").alias("rep"))
+    # What is known of a digest or a bucket is stored: joins with it then deal out both sides themselves and
+    # can split the rows of one digest or bucket.
+    first = shared_table(signed.groupBy("digest").agg(F.min("id").alias("rep")))
     copies = signed.select("id", "digest").join(first, "digest").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     reps = signed.join(first.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi")
     members = reps.select("id", F.explode("bands").alias("band"))
-    crowd = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    crowd = shared_table(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
     hot = shared_table(members.join(crowd, "band"))
     # The leader is the member that shares most buckets with others: among edited copies, the original.
     # The same leaders meet the same members in many bands, so their pairs fold into few.
     shares = hot.groupBy("id").agg(F.sum("n").alias("share"))
     order = F.struct("share", F.xxhash64("id").alias("o"), "id")
     ranked = hot.join(shares, "id").select("band", order.alias("m"))
-    lead = ranked.groupBy("band").agg(F.max("m").alias("m")).select("band", F.col("m.id").alias("lead"))
+    lead = shared_table(ranked.groupBy("band").agg(F.max("m").alias("m")).select("band", F.col("m.id").alias("lead")))
     hot = shared_table(hot.select("band", "id").join(lead, "band"))
     star = hot.where("id <> lead").select(F.greatest("id", "lead").alias("a"), F.least("id", "lead").alias("b")).distinct()
     bags = shared_table(bag_table(docs, hot.select("id").distinct(), id_col, text_col, shingle, weights))
