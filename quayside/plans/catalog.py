@@ -44,29 +44,29 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def scalar_on_fields(name: str, sql: str, made) -> None:  # noqa: ANN001
-    """A normaliser over every raw value of the derived fields."""
+    """A normaliser, a function of no arguments that makes its column, over every raw value of the derived fields."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return D.fields(spark, sf_dir).select(*KEY, "field_key", made.alias("value"))
+        return D.fields(spark, sf_dir).select(*KEY, "field_key", made().alias("value"))
 
     query.__name__ = name
     register(f"{D.cte('fields')} SELECT shipment_id, side, doc_seq, field_key, {sql} AS value FROM fields")(query)
 
 
-scalar_on_fields("n01_norm_text", X.norm_text("raw"), S.norm_text("raw"))
-scalar_on_fields("n02_norm_id", X.norm_id("raw"), S.norm_id("raw"))
-scalar_on_fields("n03_norm_phone", X.norm_phone("raw"), S.norm_phone("raw"))
-scalar_on_fields("n04_norm_number", X.norm_number("raw"), S.norm_number("raw"))
-scalar_on_fields("n05_norm_packages", X.norm_packages("raw"), S.norm_packages("raw"))
-scalar_on_fields("n06_norm_vessel", X.norm_vessel("raw"), S.norm_vessel("raw"))
-scalar_on_fields("n07_norm_list", X.norm_list("raw"), S.norm_list("raw"))
-scalar_on_fields("n08_canonical_port", X.canonical_port("raw"), S.canonical_port("raw"))
-scalar_on_fields("n10_normalize_for", X.normalize_for(X.comparator("field_key"), "raw"), S.normalize_for(M.comparator_of("field_key"), "raw"))
-scalar_on_fields("n11_fold_ocr", X.fold_ocr("raw"), S.fold_ocr("raw"))
+scalar_on_fields("n01_norm_text", X.norm_text("raw"), lambda: S.norm_text("raw"))
+scalar_on_fields("n02_norm_id", X.norm_id("raw"), lambda: S.norm_id("raw"))
+scalar_on_fields("n03_norm_phone", X.norm_phone("raw"), lambda: S.norm_phone("raw"))
+scalar_on_fields("n04_norm_number", X.norm_number("raw"), lambda: S.norm_number("raw"))
+scalar_on_fields("n05_norm_packages", X.norm_packages("raw"), lambda: S.norm_packages("raw"))
+scalar_on_fields("n06_norm_vessel", X.norm_vessel("raw"), lambda: S.norm_vessel("raw"))
+scalar_on_fields("n07_norm_list", X.norm_list("raw"), lambda: S.norm_list("raw"))
+scalar_on_fields("n08_canonical_port", X.canonical_port("raw"), lambda: S.canonical_port("raw"))
+scalar_on_fields("n10_normalize_for", X.normalize_for(X.comparator("field_key"), "raw"), lambda: S.normalize_for(M.comparator_of("field_key"), "raw"))
+scalar_on_fields("n11_fold_ocr", X.fold_ocr("raw"), lambda: S.fold_ocr("raw"))
 _FLAT = f"replace({X.norm_text('raw')}, ' ', '')"
-scalar_on_fields("n12_address_key", X.address_key(_FLAT), S.address_key("raw"))
+scalar_on_fields("n12_address_key", X.address_key(_FLAT), lambda: S.address_key("raw"))
 _SPACED = "trim(lower(regexp_replace(field_key, '([A-Z])', ' \\1', 'g')))"
-scalar_on_fields("n15_label_for", f"coalesce({X.label('field_key')}, upper(left({_SPACED}, 1)) || substr({_SPACED}, 2))", S.label_for("field_key"))
+scalar_on_fields("n15_label_for", f"coalesce({X.label('field_key')}, upper(left({_SPACED}, 1)) || substr({_SPACED}, 2))", lambda: S.label_for("field_key"))
 
 
 @register(f"""{D.cte('fields')}, x AS (SELECT a.shipment_id, a.field_key, {X.canonical_port('a.raw')} AS p, {X.canonical_port('b.raw')} AS q FROM fields a JOIN fields b
