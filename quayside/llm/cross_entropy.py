@@ -78,7 +78,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, good_c
     classes = len(vocabulary) + 2
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     good = labels.where(F.col(good_col) == 1).select(F.col(id_col).alias("id")).distinct().withColumn("good", F.lit(True))
-    flagged = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(good, "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    flagged = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(good.hint("merge"), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, CELLS + 2 * classes), np.int64)
