@@ -78,12 +78,16 @@ def canonical_port(c: Column | str, ports: list[list[str]] = R.PORTS) -> Column:
     return F.coalesce(F.try_element_at(known, norm_id(c)), F.try_element_at(known, norm_id(bare)))
 
 
+def same_port(x: Column, y: Column) -> Column:
+    """Whether one of two canonical names is a terminal of the other."""
+    inside = F.create_map(*(F.lit(v) for pair in R.TERMINALS.items() for v in pair))
+    return F.coalesce((F.try_element_at(inside, x) == y) | (F.try_element_at(inside, y) == x), F.lit(False))
+
+
 def port_relation(a: Column | str, b: Column | str) -> Column:
     """Same, compatible (one is the other's terminal), different or unknown."""
     x, y = canonical_port(a), canonical_port(b)
-    inside = F.create_map(*(F.lit(v) for pair in R.TERMINALS.items() for v in pair))
-    near = (F.try_element_at(inside, x) == y) | (F.try_element_at(inside, y) == x)
-    return F.when(x.isNull() | y.isNull(), "unknown").when(x == y, "same").when(F.coalesce(near, F.lit(False)), "compatible").otherwise("different")
+    return F.when(x.isNull() | y.isNull(), "unknown").when(x == y, "same").when(same_port(x, y), "compatible").otherwise("different")
 
 
 def normalize_for(comparator: Column | str, c: Column | str) -> Column:
@@ -100,11 +104,15 @@ def fold_ocr(c: Column | str) -> Column:
     return F.regexp_replace(F.translate(F.upper(col(c)), "012568", "OIZSGB"), "[^A-Z0-9]", "")
 
 
-def address_key(c: Column | str, ocr: Column | None = None) -> Column:
-    """A text without blanks and without one country at its end."""
+def flat_address(c: Column | str, ocr: Column | None = None) -> Column:
+    """N1 without blanks, or N11 where ``ocr`` holds."""
     flat = F.replace(norm_text(c), F.lit(" "), F.lit(""))
-    if ocr is not None:
-        flat = F.when(ocr, fold_ocr(c)).otherwise(flat)
+    return flat if ocr is None else F.when(ocr, fold_ocr(c)).otherwise(flat)
+
+
+def without_country(flat: Column | str) -> Column:
+    """A flat address without the first listed country that ends it."""
+    flat = col(flat)
     out = None
     for name in R.COUNTRIES:
         fits = flat.endswith(name) & (F.length(flat) > len(name))
@@ -113,6 +121,11 @@ def address_key(c: Column | str, ocr: Column | None = None) -> Column:
     return out.otherwise(flat)
 
 
+def address_key(c: Column | str, ocr: Column | None = None) -> Column:
+    """A text without blanks and without one country at its end."""
+    return without_country(flat_address(c, ocr))
+
+
 def find_hs_codes(c: Column | str) -> Column:
     """Tariff codes of eight or ten digits in chapters 01 to 97, each once, in order."""
     found = F.transform(F.regexp_extract_all(col(c), F.lit(R.HS), F.lit(0)), lambda x: F.regexp_replace(x, "[^0-9]", ""))
