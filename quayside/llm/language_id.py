@@ -177,15 +177,15 @@ def decide(models: Models, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.
     return np.where(n > 0, best, -1), np.where(n > 0, score, 0.0), rejected, low
 
 
-def calibrate(models: Models, texts: list[str], truth: list[str]) -> None:
-    """Fit the temperature and each language's spread of losses on rows that the counts have not seen."""
+def calibrate(models: Models, loss: np.ndarray, n: np.ndarray, truth: list[str]) -> None:
+    """Fit the temperature and each language's spread of losses on rows that the counts have not seen.
+
+    ``loss`` (rows, languages) and ``n`` characters of each row, and its label.
+    """
     k = len(models.languages)
     models.mean, models.spread = np.full(k, np.log(FLOOR_CHARS)), np.tile([1.0, 1.0], (k, 1))
     models.alien = np.full(k, np.log(FLOOR_CHARS))
-    if not texts:
-        return
-    loss, n = losses(models, pa.array(texts, pa.string()))
-    right = np.array([models.languages.index(x) if x in models.languages else -1 for x in truth])
+    right = np.array([models.languages.index(x) if x in models.languages else -1 for x in truth], np.int64)
     use = (n > 0) & (right >= 0)
     loss, n, right = loss[use], n[use], right[use]
     if not len(n):
@@ -248,8 +248,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if counts.empty:
         return None
     models = kneser_ney(counts)
-    rows = drawn.where(aside).select("lang", "text", "h").orderBy("h").limit(per_language).collect()
-    calibrate(models, [r["text"] for r in rows], [r["lang"] for r in rows])
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+
+    def lose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                loss, n = losses(shared.value, part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(n), pa.array(loss.tolist(), pa.list_(pa.float64()))], names=["lang", "n", "loss"])
+
+    # numbers only, as many rows as the sample has at most
+    rows = drawn.where(aside).select("lang", "text").mapInArrow(lose, "lang string, n double, loss array<double>").collect()
+    loss = np.array([r["loss"] for r in rows], np.float64).reshape(len(rows), len(models.languages))
+    calibrate(models, loss, np.array([r["n"] for r in rows], np.float64), [r["lang"] for r in rows])
     return models
 
 
