@@ -36,7 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
 def shared_table(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at stored files.
 
-    The files go when the session ends.
+    The files go when the session ends.  Shuffle files of a finished job go when the driver collects its
+    garbage, which a driver with little to do seldom does by itself; hence the call for it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quayside-{uuid.uuid4().hex}"
@@ -44,6 +45,7 @@ def shared_table(df: DataFrame) -> DataFrame:
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
