@@ -1,7 +1,7 @@
 """LM scoring (operator 2): the cross-entropy difference of a target and a background model.
 
-Both are bigram word models over one vocabulary: the ``VOCABULARY`` most frequent words of all
-documents, one class for all other words, and a start of text.  The background counts every document,
+Both are bigram word models over one vocabulary: the most frequent words of all documents, as many as
+fit into ``VOCABULARY`` with all words of equal count, one class for all other words, and a start of text.  The background counts every document,
 the target those labelled as good.  Counts cover all texts; bigrams are counted in ``CELLS`` hashed
 cells, so that the model's size, and with it what is broadcast, has a fixed bound.  A bigram's
 probability is smoothed towards the word's, the word's towards the uniform one, alike in both models:
@@ -13,8 +13,8 @@ the nearer to the target.
 
 Defined cases: null or empty text has no words, losses and score null, n_words 0; without any labelled
 document the target is uniform; several labels of one document count as good if one is; null ids and
-null labels are no target; repeated rows count and are scored each time; words of equal count enter the
-vocabulary in the order of their hashes; extra columns are ignored.
+null labels are no target; repeated rows count and are scored each time; words of equal count are in the
+vocabulary all or none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayside.llm.common import U, mix, slices, word_hashes, words
+from quayside.llm.common import U, mix, shared_table, slices, word_hashes, words
 
 VOCABULARY, CELLS, PRIOR = 1 << 15, 1 << 20, 4.0
 
@@ -69,8 +69,14 @@ def vocabulary_of(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(word_hashes(names).view(np.int64)), pa.array(np.bincount(codes, minlength=len(names)))], names=["word", "n"])
 
     counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "word").limit(size).collect()  # the vocabulary's size bounds it
-    return np.sort(np.array([r["word"] for r in rows], np.int64).view(U))
+    counted = shared_table(counted)
+    # one row for each count that occurs; a top-k of the words would send every task's k to the driver
+    steps = counted.groupBy("n").agg(F.count("*").alias("m")).withColumn("upto", F.sum("m").over(Window.orderBy(F.desc("n"))))
+    least = steps.where(F.col("upto") <= size).agg(F.min("n")).first()[0]
+    if least is None:
+        return np.zeros(0, U)
+    rows = counted.where(F.col("n") >= least).select("word").toArrow()  # ``size`` words at most
+    return np.sort(rows["word"].to_numpy().view(U))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, good_col: str, size: int) -> Counts:

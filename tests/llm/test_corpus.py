@@ -117,16 +117,17 @@ def test_cross_entropy_against_brute_force(spark):
     import pandas as pd
 
     h = lambda w: int(pd.util.hash_array(np.array([w], dtype=object), categorize=False)[0])
-    signed = lambda w: int(np.array([h(w)], np.uint64).view(np.int64)[0])
-    top = sorted(count, key=lambda w: (-count[w], signed(w)))[:size]
+    least = min(n for n in count.values() if sum(m >= n for m in count.values()) <= size)
+    top = [w for w in count if count[w] >= least]
     voc = {w: i + 1 for i, w in enumerate(sorted(top, key=h))}
+    start = len(top) + 1
     cell = lambda a, b: int(cross_entropy.cell_of(np.array([a]), np.array([b]))[0])
     seqs = {i: [voc.get(w, 0) for w in ws] for i, ws in words.items()}
     models = []
     for pick in (range(32), [i for i in range(30) if i % 2]):
         uni, bi, past = Counter(), Counter(), Counter()
         for i in pick:
-            for a, b in zip([size + 1, *seqs[i]], seqs[i]):
+            for a, b in zip([start, *seqs[i]], seqs[i]):
                 uni[b] += 1
                 bi[cell(a, b)] += 1
                 past[a] += 1
@@ -135,8 +136,8 @@ def test_cross_entropy_against_brute_force(spark):
         losses = []
         for uni, bi, past in models:
             total = 0.0
-            for a, b in zip([size + 1, *seqs[i]], seqs[i]):
-                p1 = (uni[b] + 1) / (sum(uni.values()) + size + 2)
+            for a, b in zip([start, *seqs[i]], seqs[i]):
+                p1 = (uni[b] + 1) / (sum(uni.values()) + start + 1)
                 total -= math.log((min(bi[cell(a, b)], past[a]) + cross_entropy.PRIOR * p1) / (past[a] + cross_entropy.PRIOR))
             losses.append(total / len(seqs[i]))
         assert math.isclose(got[i]["background_loss"], losses[0], rel_tol=1e-9) and math.isclose(got[i]["target_loss"], losses[1], rel_tol=1e-9)
