@@ -49,6 +49,15 @@ def shared_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_shared(df: DataFrame) -> None:
+    """Delete a table of ``shared_table`` that nothing reads any more."""
+    jvm, found = df.sparkSession._jvm, df.inputFiles()
+    if found:
+        at = jvm.org.apache.hadoop.fs.Path(found[0]).getParent()
+        if at.getName().startswith("quayside-"):
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with columns _0, _1, ..., so that no name clashes with an operator's own."""
     return docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))

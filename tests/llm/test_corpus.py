@@ -251,6 +251,15 @@ def test_compact_windows_cover_each_range_once():
                 assert len(own) == 1 and h[c[own[0]]] == h[a : b + 1].min() and c[own[0]] == a + int(h[a : b + 1].argmin())
 
 
+def test_thinned_spans_cover_the_same_runs():
+    r = random.Random(9)
+    for _ in range(300):
+        spans = [(a, a + r.randrange(6, 30), 0, 0) for a in (r.randrange(0, 60) for _ in range(r.randrange(1, 12)))]
+        kept = compact_windows.thinned(spans, 6)
+        runs = lambda found: {x for a, b, _, _ in found for x in range(a, b - 5)}
+        assert runs(kept) == runs(spans) and set(kept) <= set(spans)
+
+
 def test_passages_are_found_and_others_left(spark):
     shared, near = prose(100, 80), prose(101, 120)
     texts = [prose(i, 150) for i in range(40)]
