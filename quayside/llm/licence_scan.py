@@ -4,8 +4,8 @@ Texts have A-Z lower-cased; words are runs of letters, digits and characters bey
 come from places where a phrase's words stand one after another.
 
 The method adds labels of its own from licence templates.  The inverse document frequency of every
-template word is counted over all texts.  A text is looked up by its licence words of highest IDF (the
-``LOOKUP`` highest that it has): each place of such a word and each posting (template, place) of the word
+template word is counted over all texts.  A text is looked up by each template's ``LOOKUP`` words of
+highest IDF: each place of such a word and each posting (template, place) of the word
 vote for a start of the template in the text, and starts within ``DRIFT`` words join.  Where the words
 found carry ``SHARE`` of the template's rare weight (the IDF of its ``LOOKUP`` highest words), the
 template's mandatory key phrases are looked for in the words that it would cover; with all of them there,
@@ -112,38 +112,41 @@ class Index:
                 if w in self.rare[-1]:
                     self.postings[w].append((t, i))
         self.weight = [sum(max(self.idf[w], 0.01) for w in r) for r in self.rare]
-        # a text without any template's best word has no template
-        self.anchors = np.zeros(len(VOCABULARY) + 1, bool)
-        for r in self.rare:
-            self.anchors[max(r, key=lambda w: (self.idf[w], w))] = True
-
-    def scan(self, number: np.ndarray) -> tuple[set[str], float]:
-        """(labels, score) of one text's licence word numbers."""
-        at = np.flatnonzero(number >= 0)
-        seen = sorted(set(number[at].tolist()), key=lambda w: (-self.idf[w], w))
-        # the highest-IDF words of the text; short templates may need one more of theirs
-        lookup = set(seen[: LOOKUP * 2])
-        votes: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for i in at.tolist():
-            w = int(number[i])
-            if w in lookup:
-                for t, place in self.postings.get(w, ()):
-                    votes[t].append((i - place, w))
+        # share of each template's weight by word, and the words of its key phrases
+        self.share = np.zeros((len(VOCABULARY), len(TEMPLATES)))
+        self.needs = np.zeros((len(VOCABULARY), len(TEMPLATES)))
+        for t, r in enumerate(self.rare):
+            for w in r:
+                self.share[w, t] = max(self.idf[w], 0.01) / self.weight[t]
+            self.needs[sorted({w for key in self.keys[t] for w in key}), t] = 1
+
+    def likely(self, at: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(texts, templates) that may go together: the text's words reach ``SHARE`` and have all words of the key phrases."""
+        some = np.flatnonzero(number >= 0)
+        has = np.zeros((len(at) - 1, len(VOCABULARY)), np.float32)
+        has[np.searchsorted(at, some, side="right") - 1, number[some]] = 1
+        return np.nonzero((has @ self.share >= SHARE - 1e-3) & (has @ self.needs >= self.needs.sum(0) - 0.5))
+
+    def scan(self, number: np.ndarray, templates: list[int]) -> tuple[set[str], float]:
+        """(labels, score) of one text's licence word numbers, of these templates."""
         labels, score = set(), 0.0
-        for t, found in votes.items():
-            found.sort()
-            starts = np.array([s for s, _ in found])
-            done = -1
-            for k in range(len(found)):
-                if starts[k] == done:
+        for t in templates:
+            if not all(len(places(number, key)) for key in self.keys[t]):
+                continue
+            votes = [(np.flatnonzero(number == w) - place, w) for w in self.rare[t] for u, place in self.postings[w] if u == t]
+            starts, word = np.concatenate([s for s, _ in votes]), np.concatenate([np.full(len(s), w) for s, w in votes])
+            order = np.lexsort((word, starts))
+            starts, word = starts[order], word[order]
+            first = np.flatnonzero(np.append(True, starts[1:] != starts[:-1])) if len(starts) else np.zeros(0, np.int64)
+            end = np.searchsorted(starts, starts[first] + DRIFT, side="right")
+            # repeated words count here, so that nothing is passed over that reaches the share
+            upto = np.append(0.0, np.cumsum(self.share[word, t]))
+            for k in np.flatnonzero(upto[end] - upto[first] >= SHARE - 1e-9).tolist():
+                share = sum(self.share[w, t] for w in set(word[first[k] : end[k]].tolist()))
+                if share < SHARE - 1e-12 or share <= score and TEMPLATES[t][0] in labels:
                     continue
-                done = starts[k]
-                end = int(np.searchsorted(starts, starts[k] + DRIFT, side="right"))
-                share = sum(max(self.idf[w], 0.01) for w in {w for _, w in found[k:end]}) / self.weight[t]
-                if share < SHARE or share <= score and TEMPLATES[t][0] in labels:
-                    continue
-                lo = max(0, int(starts[k]) - DRIFT)
-                window = number[lo : int(starts[k]) + self.length[t] + 2 * DRIFT]
+                start = int(starts[first[k]])
+                window = number[max(0, start - DRIFT) : start + self.length[t] + 2 * DRIFT]
                 if all(len(places(window, key)) for key in self.keys[t]):
                     labels.add(TEMPLATES[t][0])
                     score = max(score, min(1.0, float(share)))
@@ -184,9 +187,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                         last[d] = max(last[d], place)
                         base[d].add(label)
                 labels, scores = [set(x) for x in base], np.array([1.0 if x else 0.0 for x in base])
-                likely = np.unique(np.searchsorted(at, np.flatnonzero(index.value.anchors[number]), side="right") - 1)
-                for d in likely.tolist():
-                    got, score = index.value.scan(number[at[d] : at[d + 1]])
+                likely: dict[int, list[int]] = defaultdict(list)
+                for d, t in zip(*(x.tolist() for x in index.value.likely(at, number)), strict=True):
+                    likely[d].append(t)
+                for d, templates in likely.items():
+                    got, score = index.value.scan(number[at[d] : at[d + 1]], templates)
                     if got:
                         labels[d] |= got
                         scores[d] = score

@@ -403,6 +403,16 @@ def test_licence_places(spark):
     assert licence_scan.scan(odd(spark)).count() == len(EDGES) + 3 and licence_scan.scan(odd(spark).limit(0)).count() == 0
 
 
+def test_licences_of_long_texts(spark):
+    notices = [text for _, text, _ in licence_scan.TEMPLATES]
+    texts = ["\n" + (" " + prose(4, 20) + " ").join(notices), *notices]
+    texts += ["the mit license"] * 200  # its words are common
+    got = {r["doc_id"]: r for r in licence_scan.scan(documents(spark, texts)).collect()}
+    every = {label for label, _, _ in licence_scan.TEMPLATES}
+    assert every <= set(got[0]["labels"].split(","))
+    assert all(label in got[i]["labels"].split(",") for i, (label, _, _) in enumerate(licence_scan.TEMPLATES, 1))
+
+
 # -- 9
 
 
