@@ -1,62 +1,51 @@
 """LM scoring (operator 2): the cross-entropy difference of a target and a background model.
 
-Both are bigram word models over one vocabulary: the most frequent words of all documents, as many as
-fit into ``VOCABULARY`` with all words of equal count, one class for all other words, and a start of text.  The background counts every document,
-the target those labelled as good.  Counts cover all texts; bigrams are counted in ``CELLS`` hashed
-cells, so that the model's size, and with it what is broadcast, has a fixed bound.  A bigram's
-probability is smoothed towards the word's, the word's towards the uniform one, alike in both models:
+Both are bigram word models over one vocabulary, every word of all documents, with one class besides for
+words that the models don't know and one for the start of text.  The background counts every document,
+the target those labelled as good.  Words and bigrams are counted exactly, by 64-bit keys, and the models
+grow with the corpus.  A bigram's probability is smoothed towards the word's, the word's towards the
+uniform one, alike in both models:
 
-    p(w | v) = (min(c(v, w), c(v)) + PRIOR p(w)) / (c(v) + PRIOR),   p(w) = (c(w) + 1) / (n + classes)
+    p(w | v) = (c(v, w) + PRIOR p(w)) / (c(v) + PRIOR),   p(w) = (c(w) + 1) / (n + classes)
 
 A document's score is the mean over its words of target loss less background loss, in nats: the lower,
 the nearer to the target.
 
+No model is held as a whole.  Texts are coded in slices of about ``CHARS`` characters, one row each.  A
+slice counts its own words and bigrams; the counts of those that other slices have too are summed by key
+over all slices and sent back to each, which then scores its texts.  Keys take their turn in ``PASSES``
+parts, and so do the slices that are scored, which bounds the disk at a time, not what is counted.
+
 Defined cases: null or empty text has no words, losses and score null, n_words 0; without any labelled
 document the target is uniform; several labels of one document count as good if one is; null ids and
-null labels are no target; repeated rows count and are scored each time; words of equal count are in the
-vocabulary all or none; extra columns are ignored.
+null labels are no target; repeated rows count and are scored each time; a caller may bound the vocabulary
+by ``size``, words of equal count are then in it all or none and the others are unknown; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.llm.common import U, mix, shared_table, slices, word_hashes, words
 
-VOCABULARY, CELLS, PRIOR = 1 << 15, 1 << 20, 4.0
-
-
-@dataclass
-class Counts:
-    """Sorted vocabulary hashes and both models' counts: of bigram cells, words and histories."""
-
-    vocabulary: np.ndarray
-    bigram: np.ndarray  # (2, CELLS): background, target
-    word: np.ndarray  # (2, classes)
-    history: np.ndarray  # (2, classes)
-
-
-def tokens(texts: pa.Array, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(offsets, word classes, classes before): 0 is an unknown word, the last class the start of text."""
-    offsets, codes, names = words(texts)
-    h = word_hashes(names)
-    at = np.searchsorted(vocabulary, h)
-    found = np.where(at < len(vocabulary), vocabulary[np.minimum(at, len(vocabulary) - 1)] == h, False) if len(vocabulary) else np.zeros(len(h), bool)
-    now = np.where(found, at + 1, 0)[codes]
-    before = np.empty_like(now)
-    before[1:] = now[:-1]
-    before[offsets[:-1][np.diff(offsets) > 0]] = len(vocabulary) + 1
-    return offsets, now, before
+CHARS, PASSES, PRIOR = 9_000_000, 4, 4.0
+#: Stand-ins for the hashes of an unknown word and of the start of text.
+UNKNOWN, START = U(1), U(2)
 
 
 def cell_of(before: np.ndarray, now: np.ndarray) -> np.ndarray:
-    return (mix(before.astype(U) * U(0x9E3779B97F4A7C15) + now.astype(U)) & U(CELLS - 1)).astype(np.int64)
+    """Keys of bigrams by both words' hashes."""
+    return mix(before.astype(U) * U(0x9E3779B97F4A7C15) + now.astype(U))
 
 
 def vocabulary_of(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
@@ -79,63 +68,140 @@ def vocabulary_of(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
     return np.sort(rows["word"].to_numpy().view(U))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, good_col: str, size: int) -> Counts:
-    vocabulary = vocabulary_of(docs, text_col, size)
-    classes = len(vocabulary) + 2
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+@dataclass
+class Counts:
+    """What a slice counts: classes are 0 for unknown words, its words, and last the start of text."""
+
+    doc: np.ndarray  # each word's document
+    cell: np.ndarray  # each word's bigram
+    before: np.ndarray  # each bigram's classes
+    now: np.ndarray
+    bigram: np.ndarray  # (2, bigrams): background, target
+    word: np.ndarray  # (2, classes)
+    history: np.ndarray  # (2, classes)
+
+
+def counted(sizes: np.ndarray, good: np.ndarray, codes: np.ndarray, known: int) -> Counts:
+    """Counts of a slice of texts with ``sizes`` words each, in ``codes``, over ``known`` words."""
+    classes = known + 2
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    before = np.empty(len(codes), np.int64)
+    before[1:] = codes[:-1]
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = known + 1
+    cells, cell = np.unique(before * classes + codes, return_inverse=True)
+    mine = good[doc]
+    both = lambda rows, n: np.stack([np.bincount(rows, minlength=n), np.bincount(rows[mine], minlength=n)])
+    return Counts(doc, cell, cells // classes, cells % classes, both(cell, len(cells)), both(codes, classes), both(before, classes))
+
+
+def unpacked(row: pa.StructScalar) -> tuple[np.ndarray, Counts]:
+    """Words of each text and counts of a row of ``coded``."""
+    sizes, codes = (row[x].values.to_numpy().astype(np.int64) for x in ("sizes", "codes"))
+    return sizes, counted(sizes, row["good"].values.to_numpy(zero_copy_only=False), codes, row["known"].as_py())
+
+
+def coded(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, good_col: str, size: int | None) -> DataFrame:
+    """(slice, n, n_good, known, ids, good, sizes, codes, names): one row for each slice of the texts."""
+    spark = docs.sparkSession
+    shared = None if size is None else spark.sparkContext.broadcast(vocabulary_of(docs, text_col, size))  # ``size`` words at most
     good = labels.where(F.col(good_col) == 1).select(F.col(id_col).alias("id")).distinct().withColumn("good", F.lit(True))
-    flagged = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(good.hint("merge"), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    flagged = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(good.hint("merge"), "id", "left").select("id", "text", F.coalesce("good", F.lit(False)).alias("good"))
+    kind = flagged.schema["id"].dataType.simpleString()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, CELLS + 2 * classes), np.int64)
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in slices(batch):
-                offsets, now, before = tokens(part.column("text"), shared.value)
-                target = np.repeat(part.column("good").to_numpy(zero_copy_only=False), np.diff(offsets))
-                at = np.concatenate([cell_of(before, now), CELLS + now, CELLS + classes + before])
-                for kind, rows in ((0, at), (1, at[np.tile(target, 3)])):
-                    total[kind] += np.bincount(rows, minlength=total.shape[1])
-        some = np.flatnonzero(total[0])
-        for lo in range(0, len(some), 100_000):
-            k = some[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(total[0][k]), pa.array(total[1][k])], names=["cell", "n", "good"])
-
-    summed = flagged.mapInArrow(count, "cell int, n long, good long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    total = np.zeros((2, CELLS + 2 * classes))
-    got = summed.toArrow()  # CELLS + 2 * classes rows at most
-    cell = got["cell"].to_numpy()
-    total[0][cell], total[1][cell] = got["n"].to_numpy(), got["good"].to_numpy()
-    return Counts(vocabulary, total[:, :CELLS], total[:, CELLS : CELLS + classes], total[:, CELLS + classes :])
-
-
-def word_losses(counts: Counts, now: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """(2, words): each word's loss under background and target."""
-    at, out = cell_of(before, now), []
-    for kind in (0, 1):
-        word = counts.word[kind]
-        single = (word[now] + 1) / (word.sum() + len(word))
-        past = counts.history[kind][before]
-        out.append(-np.log((np.minimum(counts.bigram[kind][at], past) + PRIOR * single) / (past + PRIOR)))
-    return np.stack(out)
+            total = pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+            for part in slices(batch, chars=total // (total // CHARS + 1) + 1):  # of like size
+                offsets, codes, names = words(part.column("text"))
+                h = word_hashes(names)
+                kept = np.ones(len(h), bool) if shared is None else np.isin(h, shared.value)
+                codes = np.where(kept, np.cumsum(kept), 0)[codes]
+                sizes, good = np.diff(offsets), part.column("good").to_numpy(zero_copy_only=False)
+                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([number]), pa.array([len(codes)]), pa.array([int(sizes[good].sum())]), pa.array([int(kept.sum())]), one(part.column("id")), one(part.column("good")),
+                        one(pa.array(sizes.astype(np.int32))), one(pa.array(codes.astype(np.int32))), one(pa.array(h[kept].view(np.int64))),
+                    ],
+                    names=["slice", "n", "n_good", "known", "ids", "good", "sizes", "codes", "names"],
+                )
+                number += 1
 
+    return flagged.mapInArrow(code, f"slice long, n long, n_good long, known long, ids array<{kind}>, good array<boolean>, sizes array<int>, codes array<int>, names array<long>")
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good_col: str = "quality", *, size: int = VOCABULARY) -> DataFrame:
-    """(id_col, n_words, target_loss, background_loss, score) of every document."""
-    counts = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, good_col, size))
 
-    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def shared_counts(texts: DataFrame, part: int) -> DataFrame:
+    """(slice, at, n, n_good, past, past_good): whole counts of the keys that several slices have."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                offsets, now, before = tokens(part.column("text"), counts.value.vocabulary)
-                n = np.diff(offsets)
-                doc = np.repeat(np.arange(len(n)), n)
-                low, high = (np.bincount(doc, weights=x, minlength=len(n)) / np.maximum(n, 1) for x in word_losses(counts.value, now, before))
-                none = n == 0
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(n.astype(np.int64)), pa.array(high, mask=none), pa.array(low, mask=none), pa.array(high - low, mask=none)],
-                    names=["id", "n_words", "target_loss", "background_loss", "score"],
-                )
+            for row in batch.to_struct_array():
+                _, counts = unpacked(row)
+                names = np.concatenate([[UNKNOWN], row["names"].values.to_numpy().view(U), [START]])
+                keys = np.concatenate([names, cell_of(names[counts.before], names[counts.now])])
+                at = np.flatnonzero(keys % U(PASSES) == U(part))
+                n = np.concatenate([counts.word, counts.bigram], 1)[:, at]
+                past = np.concatenate([counts.history, np.zeros_like(counts.bigram)], 1)[:, at]
+                for lo in range(0, len(at), 100_000):
+                    k = slice(lo, lo + 100_000)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys[at[k]].view(np.int64)), pa.array(np.full(len(at[k]), row["slice"].as_py())), pa.array(at[k].astype(np.int32)), *(pa.array(x[i, k]) for x in (n, past) for i in (0, 1))],
+                        names=["key", "slice", "at", "n", "n_good", "past", "past_good"],
+                    )
+
+    rows = texts.mapInArrow(spell, "key long, slice long, at int, n long, n_good long, past long, past_good long")
+    # a key has one row for each slice at most, so none is frequent
+    same = Window.partitionBy("key")
+    sums = [F.sum(c).over(same).alias(c) for c in ("n", "n_good", "past", "past_good")]
+    return rows.select("slice", "at", *sums, F.count("*").over(same).alias("slices")).where("slices > 1").drop("slices")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``shared_table``, with the shuffle files of what was stored before gone first."""
+    df.sparkSession._jvm.System.gc()
+    return shared_table(df)
+
+
+def cell_losses(counts: Counts, total: tuple[int, int], classes: int) -> np.ndarray:
+    """(2, bigrams): each bigram's loss under background and target."""
+    out = []
+    for kind in (0, 1):
+        single = (counts.word[kind][counts.now] + 1) / (total[kind] + classes)
+        out.append(-np.log((counts.bigram[kind] + PRIOR * single) / (counts.history[kind][counts.before] + PRIOR)))
+    return np.stack(out)
+
 
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = src.mapInArrow(losses, f"id {src.schema['id'].dataType.simpleString()}, n_words long, target_loss double, background_loss double, score double")
-    return out.withColumnRenamed("id", id_col)
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good_col: str = "quality", *, size: int | None = None) -> DataFrame:
+    """(id_col, n_words, target_loss, background_loss, score) of every document; ``size`` bounds the vocabulary."""
+    texts = shared_table(coded(docs, labels, id_col, text_col, good_col, size))
+    n, n_good = texts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_good"), F.lit(0))).first()
+    classes = texts.select(F.explode("names").alias("name")).distinct().count() + 2
+    whole = [stored(shared_counts(texts, part)) for part in range(PASSES)]
+
+    def losses(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_batches()[0].to_struct_array()[0]
+        sizes, counts = unpacked(row)
+        at, k = right["at"].to_numpy(), counts.word.shape[1]
+        is_word = at < k
+        for kind, (c, past) in enumerate((("n", "past"), ("n_good", "past_good"))):
+            c, past = right[c].to_numpy(), right[past].to_numpy()
+            counts.word[kind][at[is_word]], counts.history[kind][at[is_word]] = c[is_word], past[is_word]
+            counts.bigram[kind][at[~is_word] - k] = c[~is_word]
+        each = cell_losses(counts, (n, n_good), classes)
+        low, high = (np.bincount(counts.doc, weights=x[counts.cell], minlength=len(sizes)) / np.maximum(sizes, 1) for x in each)
+        none = sizes == 0
+        return pa.Table.from_arrays(
+            [row["ids"].values, pa.array(sizes), pa.array(high, mask=none), pa.array(low, mask=none), pa.array(high - low, mask=none)],
+            names=["id", "n_words", "target_loss", "background_loss", "score"],
+        )
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    sent = reduce(DataFrame.unionByName, whole)
+    texts = texts.select("slice", "known", "ids", "good", "sizes", "codes")
+
+    def scored(part: int) -> DataFrame:
+        left, right = (x.where(F.pmod(F.xxhash64("slice"), F.lit(PASSES)) == part).groupBy("slice") for x in (texts, sent))
+        return left.cogroup(right).applyInArrow(losses, f"id {kind}, n_words long, target_loss double, background_loss double, score double")
+
+    return reduce(DataFrame.unionByName, [stored(scored(part)) for part in range(PASSES)]).withColumnRenamed("id", id_col)

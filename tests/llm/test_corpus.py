@@ -147,6 +147,24 @@ def test_cross_entropy_against_brute_force(spark):
     assert len(none) == len(EDGES) + 3
 
 
+def test_cross_entropy_models_grow_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(cross_entropy, "CHARS", 60_000)  # several slices in a task
+    texts = [" ".join(f"w{(i * 7 + j * j) % 60_000}" for j in range(1500)) for i in range(60)]
+    docs, labels = documents(spark, texts), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in cross_entropy.score(docs, labels).collect()}
+    seqs = [t.split() for t in texts]
+    known = len({w for s in seqs for w in s}) + 2
+    assert known > 1 << 15
+    models = []
+    for pick in (seqs, seqs[1::2]):
+        bi = Counter((a, b) for s in pick for a, b in zip(["", *s], s))
+        models.append((bi, Counter(w for s in pick for w in s), Counter(a for s in pick for a in ["", *s[:-1]])))
+    for i, s in enumerate(seqs):
+        for (bi, uni, past), name in zip(models, ("background_loss", "target_loss")):
+            p = [(bi[a, b] + 4 * (uni[b] + 1) / (sum(uni.values()) + known)) / (past[a] + 4) for a, b in zip(["", *s], s)]
+            assert math.isclose(got[i][name], -sum(map(math.log, p)) / len(s), rel_tol=1e-9)
+
+
 # -- 3
 
 
