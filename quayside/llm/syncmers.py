@@ -6,11 +6,10 @@ syncmer if its least hashed s-mer is its first or its last one, which depends on
 an edit disturbs the syncmers that touch it and no others, so those of an untouched passage stay the
 same wherever the passage moves.
 
-A fingerprint lists anchors: the ``ANCHORS`` different syncmers of least hash, each as 16 hex digits, in
-the order of their first places in the text, joined by blanks.  The likeness of two fingerprints is the
-share of common anchors among the least ``ANCHORS`` of their union (a Jaccard estimate over syncmers)
-times the share of common anchors that follow their common neighbour in both texts: anchors match by
-position, not only by value.
+A fingerprint lists anchors: all different syncmers, each as 16 hex digits, in the order of their first
+places in the text, joined by blanks.  The likeness of two fingerprints is the share of common anchors
+among all of both (the Jaccard similarity of the syncmers) times the share of common anchors that follow
+their common neighbour in both texts: anchors match by position, not only by value.
 
 Defined cases: null text counts as empty; texts of under K tokens have one anchor, the hash of all
 their tokens; texts without a token have the empty fingerprint; two empty fingerprints have likeness 1,
@@ -27,16 +26,29 @@ from pyspark.sql import functions as F
 
 from quayside.llm.common import shared_table
 
-K, ANCHORS, TOKEN_CHARS = 5, 32, 24
+K, TOKEN_CHARS = 5, 24
+#: How many anchors a fingerprint may hold: all.
+ANCHORS = None
+HASHES = "array<bigint>"
 
 
 def with_value(value: Column, of) -> Column:  # noqa: ANN001
-    """``of(value)`` as a string, with the value computed once."""
-    return F.aggregate(F.array(value), F.lit(""), lambda _, x: of(x))
+    """``of(value)`` as an array of hashes, with the value computed once."""
+    return F.aggregate(F.array(value), F.lit(None).cast(HASHES), lambda _, x: of(x))
 
 
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a text, as one expression."""
+    return written(anchors(text))
+
+
+def written(x: Column) -> Column:
+    """Anchors as a fingerprint."""
+    return F.array_join(F.transform(x, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), " ")
+
+
+def anchors(text: Column) -> Column:
+    """The anchors of a text: hashes of its syncmers in the order of their first places."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[^\x20\x09-\x0D]{1,%d}" % TOKEN_CHARS), F.lit(0))
     return with_value(F.transform(tokens, lambda w: F.xxhash64(w)), anchored)
 
@@ -51,32 +63,26 @@ def anchored(h: Column) -> Column:
         edge = lambda i: F.least(F.get(s, i), F.get(s, i + K - 2))
         inner = lambda i: F.least(*(F.get(s, i + j) for j in range(1, K - 2)))
         closed = F.filter(F.sequence(F.lit(0), n - K), lambda i: edge(i) <= inner(i))
-        return with_value(F.transform(closed, lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(K)))), least)
+        return F.array_distinct(F.transform(closed, lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(K)))))
 
-    def least(x: Column) -> Column:
-        low = F.slice(F.array_sort(F.array_distinct(x)), 1, ANCHORS)
-        return with_value(F.array_max(low), lambda top: F.array_join(F.transform(F.array_distinct(F.filter(x, lambda y: y <= top)), digits), " "))
+    return F.when(n == 0, F.array().cast(HASHES)).when(n < K, F.array(F.xxhash64(h))).otherwise(with_value(pairs, chosen))
 
-    few = F.when(n == 0, F.lit("")).when(n < K, F.concat_ws("", F.transform(F.array(F.xxhash64(h)), digits)))
-    return F.coalesce(few, with_value(pairs, chosen))
 
+def likeness(a: Column, b: Column) -> Column:
+    """Likeness of two texts by their anchors, 0 to 1."""
+    by_hash = lambda x: F.array_sort(F.transform(x, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
-def digits(h: Column) -> Column:
-    return F.lpad(F.lower(F.hex(h)), 16, "0")
-
+    def ordered(left: Column, right: Column) -> Column:
+        # the same hashes on both sides, so sorting by hash puts them side by side; then each one's place in b by its place in a
+        at = F.array_sort(F.zip_with(by_hash(left), by_hash(right), lambda x, y: F.struct(x["i"].alias("a"), y["i"].alias("b"))))
+        places = F.transform(at, lambda x: x["b"].cast("long"))
+        rising = with_value(places, lambda p: F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), lambda x, y: (y > x).cast("long")))
+        return F.aggregate(rising, F.lit(0).cast("long"), lambda n, x: n + x)
 
-def likeness(a: Column, b: Column) -> Column:
-    """Likeness of two fingerprints, 0 to 1."""
-    left, right = F.split(a, " "), F.split(b, " ")
-    # signed order, as the anchors were chosen by: a leading digit of 8 or more is negative
-    signed = lambda x: F.translate(F.substring(x, 1, 1), "89abcdef01234567", "0123456789abcdef")
-    union = F.slice(F.array_sort(F.transform(F.array_union(left, right), lambda x: F.concat(signed(x), x))), 1, ANCHORS)
-    both, again = F.array_intersect(left, right), F.array_intersect(right, left)
-    common = F.size(F.filter(union, lambda x: F.array_contains(both, F.substring(x, 2, 16))))
-    pairs = F.size(both) - 1
-    rank = lambda i: F.array_position(again, F.get(both, i))
-    kept = F.when(pairs > 0, F.size(F.filter(F.sequence(F.lit(1), pairs), lambda i: rank(i) > rank(i - 1))) / pairs).otherwise(F.lit(1.0))
-    return F.when((a == "") & (b == ""), 1.0).when((a == "") | (b == ""), 0.0).otherwise(common / F.size(union) * kept)
+    common = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - common
+    kept = F.when(common > 1, ordered(F.array_intersect(a, b), F.array_intersect(b, a)) / (common - 1)).otherwise(F.lit(1.0))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when(common == 0, 0.0).otherwise(common / union * kept)
 
 
 def neighbours(ids: DataFrame) -> DataFrame:
@@ -111,16 +117,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = neighbours(rows.select("id", "tie"))
     wants = rows.join(links, ["id", "tie"]).select("next_id", "next_tie", F.col("id").alias("of"), F.col("tie").alias("of_tie"), F.floor(F.col("n") / 3).alias("m"))
     # Both sides of the two joins below are dealt out once, by the same exchange.
-    base = d.select("id", "tie", "text", fingerprint(F.col("text")).alias("print")).repartition("id", "tie")
+    base = d.select("id", "tie", "text").repartition("id", "tie")
     heads = base.join(wants, (F.col("id") == F.col("next_id")) & (F.col("tie") == F.col("next_tie")))
-    heads = heads.select("of", "of_tie", "m", F.substring("text", F.lit(1), F.col("m").cast("int")).alias("head"), F.col("print").alias("next_print"))
+    heads = heads.select("of", "of_tie", "m", F.substring("text", F.lit(1), F.col("m").cast("int")).alias("head"), anchors(F.col("text")).alias("next_print"))
     heads = heads.dropDuplicates(["of", "of_tie"])
     e = base.join(heads, (F.col("id") == F.col("of")) & (F.col("tie") == F.col("of_tie")))
     n = F.length("text")
-    e = e.select("id", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), (n - F.col("m")).cast("int")), "head").alias("edited"), "print", "next_print")
-    e = e.withColumn("edited_print", fingerprint(F.col("edited")))
+    e = e.select("id", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), (n - F.col("m")).cast("int")), "head").alias("edited"), anchors(F.col("text")).alias("print"), "next_print")
+    e = e.withColumn("edited_print", anchors(F.col("edited")))
     return e.select(
         F.when(F.col("id") != none, F.col("id")).alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-        F.col("print").alias("fingerprint"), F.col("edited_print").alias("edited_fingerprint"),
+        written(F.col("print")).alias("fingerprint"), written(F.col("edited_print")).alias("edited_fingerprint"),
         likeness(F.col("print"), F.col("edited_print")).alias("near_edited"), likeness(F.col("print"), F.col("next_print")).alias("near_next"),
     )

@@ -365,6 +365,15 @@ def test_fingerprint_anchors_are_closed_syncmers(spark):
     assert got == want
 
 
+def test_fingerprints_grow_with_the_text(spark):
+    long = prose(8, 3000)
+    texts = [long, " ".join("edit" if i % 500 == 250 else w for i, w in enumerate(long.split()))]
+    row = {r["doc_id"]: r for r in syncmers.fingerprints(documents(spark, texts)).collect()}[1]
+    a, b = (set(r["f"].split()) for r in documents(spark, texts).orderBy("doc_id").select(syncmers.fingerprint(F.col("text")).alias("f")).collect())
+    assert 1300 < len(a) < 1700 and 0.95 < len(a & b) / len(a | b) < 1
+    assert math.isclose(row["near_next"], len(a & b) / len(a | b), rel_tol=1e-9)
+
+
 def test_fingerprint_edges(spark):
     assert syncmers.fingerprints(odd(spark)).count() == len(EDGES) + 3
     assert syncmers.fingerprints(odd(spark).limit(0)).count() == 0
