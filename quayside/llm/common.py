@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 U = np.uint64
@@ -22,40 +22,83 @@ U = np.uint64
 SLICE_CHARS = 700_000
 
 
+#: Shuffle files of a finished write go at its end, instead of whenever the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: A key with more than 1 / HOT of all rows is joined by broadcast; there are fewer than HOT of them.
+HOT = 2000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (tests)."""
+    """The cluster's shared checkpoint folder.  Only a local session may do without: it has one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        sc = spark.sparkContext
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        found = sc._jsc.sc().getCheckpointDir().get()
-    return found
+    if found:
+        return found
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def shared_table(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends at stored files.
-
-    The files go when the session ends.  Shuffle files of a finished job go when the driver collects its
-    garbage, which a driver with little to do seldom does by itself; hence the call for it.
-    """
+    """Write ``df`` to the shared folder and read it back: lineage ends at stored files, which go with the session."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quayside-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_shared(df: DataFrame) -> None:
-    """Delete a table of ``shared_table`` that nothing reads any more."""
-    jvm, found = df.sparkSession._jvm, df.inputFiles()
-    if found:
-        at = jvm.org.apache.hadoop.fs.Path(found[0]).getParent()
-        if at.getName().startswith("quayside-"):
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+def drop_shared(*tables: DataFrame) -> None:
+    """Delete tables of ``shared_table`` that nothing reads any more."""
+    for df in tables:
+        jvm, found = df.sparkSession._jvm, df.inputFiles()
+        if found:
+            at = jvm.org.apache.hadoop.fs.Path(found[0]).getParent()
+            if at.getName().startswith("quayside-"):
+                at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``facts``: one row for each key, with ``n``, how many rows have the key.
+
+    Both are stored tables.  Keys with more than 1 / HOT of all rows, fewer than HOT of them, meet their facts
+    where they are; all others are dealt out by key.
+    """
+    total = facts.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT > total
+    often = F.broadcast(facts.where(hot))
+    rest = rows.join(F.broadcast(facts.where(hot).select(key)), key, "left_anti")
+    return rows.join(often, key).unionByName(rest.join(facts.where(~hot).hint("merge"), key))
+
+
+def with_rows(docs: DataFrame, id_col: str, payload: str, name: str = "_row") -> DataFrame:
+    """``docs`` with a number of their own for different rows, in the order of ids; null where the id is null.
+
+    Unique whole numbers are taken as they are.  Otherwise the different pairs of id and payload are numbered:
+    each range of the ordered pairs by itself, after the sizes of the ranges before it.
+    """
+    if docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long"):
+        again = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n")).where("n > 1")
+        if again.isEmpty():
+            return docs.withColumn(name, F.col(id_col).cast("long"))
+    keyed = docs.withColumn("_tie", F.xxhash64(payload))
+    pairs = keyed.select(F.col(id_col).alias("id"), F.col("_tie").alias("tie")).where("id is not null").distinct()
+    pairs = shared_table(pairs.repartitionByRange("id", "tie").withColumn("part", F.spark_partition_id()))
+    sizes = pairs.groupBy("part").agg(F.count("*").alias("n"))
+    line = Window.orderBy("part")  # one row for each range
+    before = F.broadcast(sizes.select("part", (F.sum("n").over(line) - F.col("n")).alias("before")))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("id", "tie"))
+    numbers = shared_table(pairs.join(before, "part").select("id", "tie", (F.col("before") + place).cast("long").alias(name)))
+    found = keyed.join(numbers.hint("merge"), (F.col(id_col) == F.col("id")) & (F.col("_tie") == F.col("tie")), "left")
+    return found.select(*(keyed[c] for c in docs.columns), name)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -144,6 +187,16 @@ def shingles(offsets: np.ndarray, h: np.ndarray, k: int = 5) -> tuple[np.ndarray
     return out, acc[at]
 
 
+def by_plane(x: np.ndarray) -> bytes:
+    """Numbers as bytes, first all their first bytes, then all second ones: small numbers compress well so."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, len(data) // size).T).view(kind).ravel()
+
+
 def rank_in_group(values: np.ndarray, group: np.ndarray) -> np.ndarray:
     """0, 1, 2, ... for the first, second, third time that a value occurs in its group."""
     order = np.lexsort((values, group))
@@ -164,7 +217,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest id reachable over undirected edges; only nodes with edges.
 
     Alternates large-star and small-star steps.  Each takes a minimum by key (summed before the
-    shuffle) and joins it back, so a node with very many neighbours is never gathered.
+    shuffle) and joins it back.  The minima are stored, so that both sides of such a join are dealt out
+    for it alone and the rows of a node with very many neighbours can be split at run time.
     """
     cur = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi > lo").distinct()
     cur = shared_table(cur)
@@ -179,12 +233,14 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         both = cur.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             cur.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-        large = large.unionByName(low.where("m < u").select(F.col("u").alias("hi"), F.col("m").alias("lo"))).distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        low = shared_table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+        large = shared_table(large.unionByName(low.where("m < u").select(F.col("u").alias("hi"), F.col("m").alias("lo"))).distinct())
+        least = shared_table(large.groupBy("hi").agg(F.min("lo").alias("m")))
         small = (
-            large.join(least, "hi").where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+            large.join(least.hint("merge"), "hi").where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
             .unionByName(least.select("hi", F.col("m").alias("lo")))
         )
-        cur = shared_table(small.distinct())
+        new = shared_table(small.distinct())
+        drop_shared(cur, low, large, least)
+        cur = new

@@ -1,46 +1,47 @@
 """LM scoring (operator 2): the cross-entropy difference of a target and a background model.
 
-Both are bigram word models over one vocabulary, every word of all documents, with one class besides for
-words that the models don't know and one for the start of text.  The background counts every document,
-the target those labelled as good.  Words and bigrams are counted exactly, by 64-bit keys, and the models
-grow with the corpus.  A bigram's probability is smoothed towards the word's, the word's towards the
-uniform one, alike in both models:
+Both are bigram word models over one vocabulary: every word of all documents, and one class for the start
+of text.  The background counts every document, the target those labelled as good.  Words and bigrams are
+counted exactly, by 64-bit keys, and the models grow with the corpus.  The models are matched: counts of
+the background are scaled to the target's number of words, so that smoothing weighs alike in both, and a
+document is scored by what the others say, its own counts taken out of the models that hold it:
 
-    p(w | v) = (c(v, w) + PRIOR p(w)) / (c(v) + PRIOR),   p(w) = (c(w) + 1) / (n + classes)
+    p(w) = (s c(w) + FLOOR) / (s n + FLOOR N),   p(w | v) = (s c(v, w) + PRIOR p(w)) / (s c(v) + PRIOR)
 
-A document's score is the mean over its words of target loss less background loss, in nats: the lower,
-the nearer to the target.
+with s = 1 in the target, its words by those of all documents in the background, and N the words of all
+documents, more than the vocabulary can have.  A document's score is the mean over its words of target
+loss less background loss, in nats: the lower, the nearer to the target.
 
 No model is held as a whole.  Texts are coded in slices of about ``CHARS`` characters, one row each.  A
-slice counts its own words and bigrams; the counts of those that other slices have too are summed by key
-over all slices and sent back to each, which then scores its texts.  Keys take their turn in ``PASSES``
-parts, and so do the slices that are scored, which bounds the disk at a time, not what is counted.
-
-Defined cases: null or empty text has no words, losses and score null, n_words 0; without any labelled
-document the target is uniform; several labels of one document count as good if one is; null ids and
-null labels are no target; repeated rows count and are scored each time; a caller may bound the vocabulary
-by ``size``, words of equal count are then in it all or none and the others are unknown; extra columns are
-ignored.
+slice counts its own words and bigrams and deals the sorted keys out in ranges, as many as there are
+slices, so a range holds about as much as a slice does.  Each range adds up its keys over all slices and
+sends every slice the whole counts of its keys, in the order of the keys.  A frequent word has one entry
+a slice, so no key is hot.
+
+Defined cases: null or empty text has no words, losses and score null, n_words 0; without any word of a
+labelled document the target is uniform and s = 1; several labels of one document count as good if one is;
+null ids and null labels are no target; repeated rows count and are scored each time; ids may be of any
+type; extra columns are ignored; an empty table has no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import U, mix, shared_table, slices, word_hashes, words
+from quayside.llm.common import U, by_plane, from_planes, mix, shared_table, slices, word_hashes, words
 
-CHARS, PASSES, PRIOR = 9_000_000, 4, 4.0
-#: Stand-ins for the hashes of an unknown word and of the start of text.
-UNKNOWN, START = U(1), U(2)
+CHARS, PRIOR, FLOOR = 9_000_000, 4.0, 0.01
+#: Up to so many labelled ids go to every executor (8 bytes each); beyond it texts and labels are merge-joined.
+FEW_LABELS = 1_000_000
+#: Stands in for the hash of the start of text.
+START = U(2)
+SLICE = "slice long, docs long, docs_good long, n long, n_good long"
 
 
 def cell_of(before: np.ndarray, now: np.ndarray) -> np.ndarray:
@@ -48,160 +49,154 @@ def cell_of(before: np.ndarray, now: np.ndarray) -> np.ndarray:
     return mix(before.astype(U) * U(0x9E3779B97F4A7C15) + now.astype(U))
 
 
-def vocabulary_of(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
-    """Hashes of the most frequent words of all texts, sorted."""
+def one(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, chars=8_000_000):
-                _, codes, names = words(part.column("text"))
-                yield pa.RecordBatch.from_arrays([pa.array(word_hashes(names).view(np.int64)), pa.array(np.bincount(codes, minlength=len(names)))], names=["word", "n"])
-
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counted = shared_table(counted)
-    # one row for each count that occurs; a top-k of the words would send every task's k to the driver
-    steps = counted.groupBy("n").agg(F.count("*").alias("m")).withColumn("upto", F.sum("m").over(Window.orderBy(F.desc("n"))))
-    least = steps.where(F.col("upto") <= size).agg(F.min("n")).first()[0]
-    if least is None:
-        return np.zeros(0, U)
-    rows = counted.where(F.col("n") >= least).select("word").toArrow()  # ``size`` words at most
-    return np.sort(rows["word"].to_numpy().view(U))
-
-
-@dataclass
-class Counts:
-    """What a slice counts: classes are 0 for unknown words, its words, and last the start of text."""
-
-    doc: np.ndarray  # each word's document
-    cell: np.ndarray  # each word's bigram
-    before: np.ndarray  # each bigram's classes
-    now: np.ndarray
-    bigram: np.ndarray  # (2, bigrams): background, target
-    word: np.ndarray  # (2, classes)
-    history: np.ndarray  # (2, classes)
-
-
-def counted(sizes: np.ndarray, good: np.ndarray, codes: np.ndarray, known: int) -> Counts:
-    """Counts of a slice of texts with ``sizes`` words each, in ``codes``, over ``known`` words."""
-    classes = known + 2
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    before = np.empty(len(codes), np.int64)
-    before[1:] = codes[:-1]
-    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = known + 1
-    cells, cell = np.unique(before * classes + codes, return_inverse=True)
-    mine = good[doc]
-    both = lambda rows, n: np.stack([np.bincount(rows, minlength=n), np.bincount(rows[mine], minlength=n)])
-    return Counts(doc, cell, cells // classes, cells % classes, both(cell, len(cells)), both(codes, classes), both(before, classes))
-
-
-def unpacked(row: pa.StructScalar) -> tuple[np.ndarray, Counts]:
-    """Words of each text and counts of a row of ``coded``."""
-    sizes, codes = (row[x].values.to_numpy().astype(np.int64) for x in ("sizes", "codes"))
-    return sizes, counted(sizes, row["good"].values.to_numpy(zero_copy_only=False), codes, row["known"].as_py())
-
-
-def coded(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, good_col: str, size: int | None) -> DataFrame:
-    """(slice, n, n_good, known, ids, good, sizes, codes, names): one row for each slice of the texts."""
-    spark = docs.sparkSession
-    shared = None if size is None else spark.sparkContext.broadcast(vocabulary_of(docs, text_col, size))  # ``size`` words at most
-    good = labels.where(F.col(good_col) == 1).select(F.col(id_col).alias("id")).distinct().withColumn("good", F.lit(True))
-    flagged = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(good.hint("merge"), "id", "left").select("id", "text", F.coalesce("good", F.lit(False)).alias("good"))
+
+def coded(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, good_col: str) -> DataFrame:
+    """One row for each slice of the texts: its totals, ids, good, sizes, codes of words, and the words' sorted hashes."""
+    good = shared_table(labels.where(F.col(good_col) == 1).select(F.col(id_col).alias("id")).where("id is not null").distinct()).withColumn("good", F.lit(True))
+    good = F.broadcast(good) if good.count() <= FEW_LABELS else good.hint("merge")
+    flagged = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(good, "id", "left").select("id", "text", F.coalesce("good", F.lit(False)).alias("good"))
     kind = flagged.schema["id"].dataType.simpleString()
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            total = pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
-            for part in slices(batch, chars=total // (total // CHARS + 1) + 1):  # of like size
-                offsets, codes, names = words(part.column("text"))
-                h = word_hashes(names)
-                kept = np.ones(len(h), bool) if shared is None else np.isin(h, shared.value)
-                codes = np.where(kept, np.cumsum(kept), 0)[codes]
+            for part in slices(batch, chars=CHARS):
+                offsets, codes, dictionary = words(part.column("text"))
+                names, place = np.unique(word_hashes(dictionary), return_inverse=True)
                 sizes, good = np.diff(offsets), part.column("good").to_numpy(zero_copy_only=False)
-                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                totals = [number, int((sizes > 0).sum()), int((sizes[good] > 0).sum()), len(codes), int(sizes[good].sum())]
+                steps = np.diff(names, prepend=U(0))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([number]), pa.array([len(codes)]), pa.array([int(sizes[good].sum())]), pa.array([int(kept.sum())]), one(part.column("id")), one(part.column("good")),
-                        one(pa.array(sizes.astype(np.int32))), one(pa.array(codes.astype(np.int32))), one(pa.array(h[kept].view(np.int64))),
-                    ],
-                    names=["slice", "n", "n_good", "known", "ids", "good", "sizes", "codes", "names"],
+                    [*(pa.array([x]) for x in totals), one(part.column("id")), one(part.column("good")), one(pa.array(sizes.astype(np.int32))),
+                     pa.array([by_plane(place[codes].astype(np.int32))]), pa.array([by_plane(steps)])],
+                    names=["slice", "docs", "docs_good", "n", "n_good", "ids", "good", "sizes", "codes", "names"],
                 )
                 number += 1
 
-    return flagged.mapInArrow(code, f"slice long, n long, n_good long, known long, ids array<{kind}>, good array<boolean>, sizes array<int>, codes array<int>, names array<long>")
-
-
-def shared_counts(texts: DataFrame, part: int) -> DataFrame:
-    """(slice, at, n, n_good, past, past_good): whole counts of the keys that several slices have."""
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return flagged.mapInArrow(code, f"{SLICE}, ids array<{kind}>, good array<boolean>, sizes array<int>, codes binary, names binary")
+
+
+class Slice:
+    """The events of a slice.  Classes are its words, in the order of their hashes, and last the start of text."""
+
+    def __init__(self, row: pa.StructScalar) -> None:
+        self.sizes = row["sizes"].values.to_numpy().astype(np.int64)
+        self.good = row["good"].values.to_numpy(zero_copy_only=False)
+        self.names = np.cumsum(from_planes(row["names"].as_py(), U), dtype=U)
+        self.word = from_planes(row["codes"].as_py(), np.int32).astype(np.int64)
+        known = len(self.names)
+        self.before = np.empty(len(self.word), np.int64)
+        self.before[1:] = self.word[:-1]
+        self.before[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = known
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        cells, self.cell = np.unique(self.before * (known + 1) + self.word, return_inverse=True)
+        hashes = np.append(self.names, START)
+        #: keys of words, then of bigrams, and their order
+        self.keys = np.concatenate([self.names, cell_of(hashes[cells // (known + 1)], hashes[cells % (known + 1)])])
+        self.order = np.argsort(self.keys, kind="stable")
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """How often each key occurs in all documents, and in those of the target."""
+        at = np.concatenate([self.word, self.cell + len(self.names)])
+        mine = np.tile(self.good[self.doc], 2)
+        return np.bincount(at, minlength=len(self.keys)), np.bincount(at[mine], minlength=len(self.keys))
+
+
+def own_counts(doc: np.ndarray, event: np.ndarray) -> np.ndarray:
+    """For each token, how often its document has its event; ``doc`` rises."""
+    order = np.argsort(event, kind="stable")
+    d, e = doc[order], event[order]
+    new = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (e[1:] != e[:-1]))) if len(e) else np.zeros(0, np.int64)
+    size = np.diff(np.append(new, len(e)))
+    out = np.empty(len(e), np.int64)
+    out[order] = np.repeat(size, size)
+    return out
+
+
+def dealt(texts: DataFrame, ranges: int) -> DataFrame:
+    """(part, slice, size, steps, n, good): each slice's keys in a range, as byte planes of their steps, and their counts."""
+    width = U(((1 << 64) - 1) // ranges)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_struct_array():
-                _, counts = unpacked(row)
-                names = np.concatenate([[UNKNOWN], row["names"].values.to_numpy().view(U), [START]])
-                keys = np.concatenate([names, cell_of(names[counts.before], names[counts.now])])
-                at = np.flatnonzero(keys % U(PASSES) == U(part))
-                n = np.concatenate([counts.word, counts.bigram], 1)[:, at]
-                past = np.concatenate([counts.history, np.zeros_like(counts.bigram)], 1)[:, at]
-                for lo in range(0, len(at), 100_000):
-                    k = slice(lo, lo + 100_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[at[k]].view(np.int64)), pa.array(np.full(len(at[k]), row["slice"].as_py())), pa.array(at[k].astype(np.int32)), *(pa.array(x[i, k]) for x in (n, past) for i in (0, 1))],
-                        names=["key", "slice", "at", "n", "n_good", "past", "past_good"],
-                    )
-
-    rows = texts.mapInArrow(spell, "key long, slice long, at int, n long, n_good long, past long, past_good long")
-    # a key has one row for each slice at most, so none is frequent
-    same = Window.partitionBy("key")
-    sums = [F.sum(c).over(same).alias(c) for c in ("n", "n_good", "past", "past_good")]
-    return rows.select("slice", "at", *sums, F.count("*").over(same).alias("slices")).where("slices > 1").drop("slices")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``shared_table``, with the shuffle files of what was stored before gone first."""
-    df.sparkSession._jvm.System.gc()
-    return shared_table(df)
-
-
-def cell_losses(counts: Counts, total: tuple[int, int], classes: int) -> np.ndarray:
-    """(2, bigrams): each bigram's loss under background and target."""
-    out = []
-    for kind in (0, 1):
-        single = (counts.word[kind][counts.now] + 1) / (total[kind] + classes)
-        out.append(-np.log((counts.bigram[kind] + PRIOR * single) / (counts.history[kind][counts.before] + PRIOR)))
-    return np.stack(out)
+                s = Slice(row)
+                n, good = (x[s.order].astype(np.int32) for x in s.counts())
+                keys = s.keys[s.order]
+                part = np.minimum(keys // width, U(ranges - 1)).astype(np.int64)
+                starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+                ends = np.append(starts[1:], len(keys))
+                planes = [[by_plane(f(a, b)) for a, b in zip(starts, ends)] for f in (lambda a, b: np.diff(keys[a:b], prepend=U(0)), lambda a, b: n[a:b], lambda a, b: good[a:b])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part[starts]), pa.array(np.full(len(starts), row["slice"].as_py(), np.int64)), *(pa.array(x, pa.binary()) for x in planes)],
+                    names=["part", "slice", "steps", "n", "good"],
+                )
+
+    return texts.select("slice", "good", "sizes", "codes", "names").mapInArrow(deal, "part long, slice long, steps binary, n binary, good binary")
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good_col: str = "quality", *, size: int | None = None) -> DataFrame:
-    """(id_col, n_words, target_loss, background_loss, score) of every document; ``size`` bounds the vocabulary."""
-    texts = shared_table(coded(docs, labels, id_col, text_col, good_col, size))
-    n, n_good = texts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_good"), F.lit(0))).first()
-    classes = texts.select(F.explode("names").alias("name")).distinct().count() + 2
-    whole = [stored(shared_counts(texts, part)) for part in range(PASSES)]
+def summed(group: pa.Table) -> pa.Table:
+    """Whole counts of a range's keys, for each slice in the order of its keys."""
+    rows = [[x.as_py() for x in group[c]] for c in ("steps", "n", "good")]
+    keys = [np.cumsum(from_planes(x, U), dtype=U) for x in rows[0]]
+    ends = np.cumsum([len(k) for k in keys])
+    key = np.concatenate(keys)
+    order = np.argsort(key, kind="stable")
+    new = np.append(True, key[order][1:] != key[order][:-1])
+    at = np.empty(len(key), np.int64)
+    at[order] = np.cumsum(new) - 1
+    out = []
+    for counts in rows[1:]:
+        total = np.add.reduceat(np.concatenate([from_planes(x, np.int32) for x in counts]).astype(np.int64)[order], np.flatnonzero(new))
+        out.append(pa.array([by_plane(x) for x in np.split(total[at], ends[:-1])], pa.binary()))
+    return pa.Table.from_arrays([group["slice"].combine_chunks(), group["part"].combine_chunks(), *out], names=["slice", "part", "n", "good"])
+
+
+def token_losses(s: Slice, whole: np.ndarray, good: np.ndarray, total: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Loss of each token under target and background, by the whole counts of the slice's keys."""
+    known, all_words = len(s.names), total["n"]
+    words_of, cells_of = own_counts(s.doc, s.word), own_counts(s.doc, s.cell)
+    # a history's own count is that of the word before, and 1 at the start
+    past_of = np.append(1, words_of[:-1])
+    past_of[s.before == known] = 1
+    size = s.sizes[s.doc]
+    out = []
+    for counts, n, docs, scale, mine in (
+        (good, total["n_good"], total["docs_good"], 1.0, s.good[s.doc].astype(np.int64)),
+        (whole, all_words, total["docs"], total["n_good"] / all_words if total["n_good"] else 1.0, 1),
+    ):
+        past = np.append(counts[:known], docs)
+        single = (scale * (counts[s.word] - mine * words_of) + FLOOR) / (scale * (n - mine * size) + FLOOR * all_words)
+        pair = scale * (counts[known:][s.cell] - mine * cells_of) + PRIOR * single
+        out.append(-np.log(pair / (scale * (past[s.before] - mine * past_of) + PRIOR)))
+    return out[0], out[1]
+
+
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good_col: str = "quality") -> DataFrame:
+    """(id_col, n_words, target_loss, background_loss, score) of every document."""
+    texts = shared_table(coded(docs, labels, id_col, text_col, good_col))
+    row = texts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("docs", "docs_good", "n", "n_good")), F.count("*").alias("slices")).first()
+    total = row.asDict()
+    whole = dealt(texts, max(1, total["slices"])).groupBy("part").applyInArrow(summed, "slice long, part long, n binary, good binary")
 
     def losses(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_batches()[0].to_struct_array()[0]
-        sizes, counts = unpacked(row)
-        at, k = right["at"].to_numpy(), counts.word.shape[1]
-        is_word = at < k
-        for kind, (c, past) in enumerate((("n", "past"), ("n_good", "past_good"))):
-            c, past = right[c].to_numpy(), right[past].to_numpy()
-            counts.word[kind][at[is_word]], counts.history[kind][at[is_word]] = c[is_word], past[is_word]
-            counts.bigram[kind][at[~is_word] - k] = c[~is_word]
-        each = cell_losses(counts, (n, n_good), classes)
-        low, high = (np.bincount(counts.doc, weights=x[counts.cell], minlength=len(sizes)) / np.maximum(sizes, 1) for x in each)
-        none = sizes == 0
+        s, right = Slice(row), right.sort_by("part")
+        whole, good = np.zeros(len(s.keys), np.int64), np.zeros(len(s.keys), np.int64)
+        for out, c in ((whole, "n"), (good, "good")):
+            if len(s.keys):
+                out[s.order] = np.concatenate([from_planes(x.as_py(), np.int64) for x in right[c]])
+        each = token_losses(s, whole, good, total)
+        high, low = (np.bincount(s.doc, weights=x, minlength=len(s.sizes)) / np.maximum(s.sizes, 1) for x in each)
+        none = s.sizes == 0
         return pa.Table.from_arrays(
-            [row["ids"].values, pa.array(sizes), pa.array(high, mask=none), pa.array(low, mask=none), pa.array(high - low, mask=none)],
+            [row["ids"].values, pa.array(s.sizes), pa.array(high, mask=none), pa.array(low, mask=none), pa.array(high - low, mask=none)],
             names=["id", "n_words", "target_loss", "background_loss", "score"],
         )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    sent = reduce(DataFrame.unionByName, whole)
-    texts = texts.select("slice", "known", "ids", "good", "sizes", "codes")
-
-    def scored(part: int) -> DataFrame:
-        left, right = (x.where(F.pmod(F.xxhash64("slice"), F.lit(PASSES)) == part).groupBy("slice") for x in (texts, sent))
-        return left.cogroup(right).applyInArrow(losses, f"id {kind}, n_words long, target_loss double, background_loss double, score double")
-
-    return reduce(DataFrame.unionByName, [stored(scored(part)) for part in range(PASSES)]).withColumnRenamed("id", id_col)
+    found = texts.groupBy("slice").cogroup(whole.groupBy("slice")).applyInArrow(losses, f"id {kind}, n_words long, target_loss double, background_loss double, score double")
+    return found.withColumnRenamed("id", id_col)
