@@ -79,16 +79,16 @@ def join_hot(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     return rows.join(often, key).unionByName(rest.join(facts.where(~hot).hint("merge"), key))
 
 
-def with_rows(docs: DataFrame, id_col: str, payload: str, name: str = "_row") -> DataFrame:
-    """``docs`` with a number of their own for different rows, in the order of ids; null where the id is null.
+def with_rows(docs: DataFrame, id_col: str, payload: str, name: str) -> tuple[DataFrame, bool]:
+    """``docs`` with a number of their own for different rows, in the order of ids, and whether the ids are it.
 
-    Unique whole numbers are taken as they are.  Otherwise the different pairs of id and payload are numbered:
+    The number of a null id is null.  Unique whole numbers are taken as they are.  Otherwise the different pairs of id and payload are numbered:
     each range of the ordered pairs by itself, after the sizes of the ranges before it.
     """
     if docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long"):
         again = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n")).where("n > 1")
         if again.isEmpty():
-            return docs.withColumn(name, F.col(id_col).cast("long"))
+            return docs.withColumn(name, F.col(id_col).cast("long")), True
     keyed = docs.withColumn("_tie", F.xxhash64(payload))
     pairs = keyed.select(F.col(id_col).alias("id"), F.col("_tie").alias("tie")).where("id is not null").distinct()
     pairs = shared_table(pairs.repartitionByRange("id", "tie").withColumn("part", F.spark_partition_id()))
@@ -98,7 +98,7 @@ def with_rows(docs: DataFrame, id_col: str, payload: str, name: str = "_row") ->
     place = F.row_number().over(Window.partitionBy("part").orderBy("id", "tie"))
     numbers = shared_table(pairs.join(before, "part").select("id", "tie", (F.col("before") + place).cast("long").alias(name)))
     found = keyed.join(numbers.hint("merge"), (F.col(id_col) == F.col("id")) & (F.col("_tie") == F.col("tie")), "left")
-    return found.select(*(keyed[c] for c in docs.columns), name)
+    return found.select(*(keyed[c] for c in docs.columns), name), False
 
 
 def numbered(docs: DataFrame) -> DataFrame:
