@@ -14,7 +14,10 @@ calibration rows have there than to that middle, is rejected, as is a text witho
 ``score`` is the posterior of the winner with a temperature fitted on the calibration rows.
 
 The models learn from a bounded sample: at most about ``PER_LANGUAGE`` labelled documents of each
-language, drawn by a hash of the id.  Every whole text is scored.
+language, drawn by a hash of the id where they are stored, after a count of the languages; a sixth of them
+calibrates, but for languages with under ``FEW_ROWS`` documents, which all teach.  The finished models hold
+at most ``CELLS`` log-probabilities (grams times languages): grams beyond that go from the rarest on.  Every
+whole text is scored.
 
 Defined cases: null text, or text without a letter: ``und``, score 0, rejected.  Null labels and null
 texts teach nothing.  Without any labelled row every text is ``und``.  Ties go to the language that
@@ -28,15 +31,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayside.llm.common import U, mix, slices, words
+from quayside.llm.common import U, mix, shared_table, slices, words
 
-ORDER, PER_LANGUAGE, REJECT_SPREADS = 5, 2000, 12.0
+ORDER, PER_LANGUAGE, REJECT_SPREADS, FEW_ROWS = 5, 2000, 12.0, 20
+#: Log-probabilities of the highest order that the models hold at most (4 bytes each).
+CELLS = 20_000_000
+#: Up to so many different labels (and their counts) go to every executor; beyond it the draw is a merge join.
+FEW_LABELS = 50_000
 FLOOR_CHARS = 1 << 12  # characters that the uniform floor spreads over
 SEED = 17
 
@@ -113,37 +119,42 @@ class Models:
         return out
 
 
-def kneser_ney(counts: pd.DataFrame, order: int = ORDER) -> Models:
+def kneser_ney(counts: pa.Table, order: int = ORDER) -> Models:
     """Models from rows (lang, gram, n): how often each language has each gram of ``order`` characters."""
-    languages = sorted(counts["lang"].unique())
-    table = counts.pivot_table(index="gram", columns="lang", values="n", aggfunc="sum", fill_value=0)[languages]
-    by_order = {order: table.astype(np.float64)}
-    for n in range(order - 1, 0, -1):
-        longer = by_order[n + 1]
-        by_order[n] = (longer > 0).astype(np.float64).groupby(longer.index.str[1:]).sum()
-    models, lower = Models(languages), None
+    coded = counts["lang"].combine_chunks().dictionary_encode()
+    languages = sorted(coded.dictionary.to_pylist())
+    k = len(languages)
+    number = np.array([languages.index(x) for x in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
+    rows = np.frombuffer("".join(counts["gram"].to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64).reshape(-1, order)
+
+    def tallied(rows: np.ndarray, lang: np.ndarray, weight: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Different rows in the order of their hashes: (hashes, rows, sums by language)."""
+        keys, first, place = np.unique(gram_hash(rows), return_index=True, return_inverse=True)
+        return keys, rows[first], np.bincount(place * k + lang, weights=weight, minlength=len(keys) * k).reshape(len(keys), k).astype(np.float64)
+
+    by_order = {order: tallied(rows, number, counts["n"].to_numpy())}
+    for n in range(order - 1, 0, -1):  # below the highest order: in how many longer grams
+        _, longer, c = by_order[n + 1]
+        at, lang = np.nonzero(c > 0)
+        by_order[n] = tallied(longer[at, 1:], lang, None)
+    models, below = Models(languages), None
     for n in range(1, order + 1):
-        t = by_order[n]
-        c = t.to_numpy()
+        keys, rows, c = by_order[n]
         ones, twos = (c == 1).sum(0), (c == 2).sum(0)
         discount = np.clip(np.where(ones + 2 * twos > 0, ones / np.maximum(ones + 2 * twos, 1), 0.5), 0.1, 0.9)
-        heads = t.index.str[:-1]
-        total = t.groupby(heads).sum()
-        kinds = (t > 0).groupby(heads).sum()
-        at = total.index.get_indexer(heads)
-        tot, kind = total.to_numpy()[at], kinds.to_numpy()[at].astype(np.float64)
-        shorter = lower[0][lower[1].get_indexer(t.index.str[1:])] if lower else np.full_like(c, 1.0 / FLOOR_CHARS)
-        safe = np.maximum(tot, 1)
-        p = np.where(tot > 0, np.maximum(c - discount, 0) / safe + discount * kind / safe * shorter, shorter)
+        contexts, at = np.unique(gram_hash(rows[:, :-1]), return_inverse=True)
+        total, kinds = np.zeros((len(contexts), k)), np.zeros((len(contexts), k))
+        np.add.at(total, at, c)
+        np.add.at(kinds, at, c > 0)
+        shorter = below[1][np.searchsorted(below[0], gram_hash(rows[:, 1:]))] if below else np.full_like(c, 1.0 / FLOOR_CHARS)
+        tot = np.maximum(total[at], 1)
+        p = np.where(total[at] > 0, np.maximum(c - discount, 0) / tot + discount * kinds[at] / tot * shorter, shorter)
         back = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
-        for names, values, keys, kept in ((t.index, p, models.keys, models.logp), (total.index, back, models.contexts, models.backoff)):
-            width = n if keys is models.keys else n - 1
-            codes = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32).astype(np.int64).reshape(len(names), width)
-            h = gram_hash(codes)
-            sort = np.argsort(h)
-            keys.append(h[sort])
-            kept.append(np.log(values[sort]).astype(np.float32))
-        lower = (p, t.index)
+        models.keys.append(keys)
+        models.logp.append(np.log(p).astype(np.float32))
+        models.contexts.append(contexts)
+        models.backoff.append(np.log(back).astype(np.float32))
+        below = keys, p
     return models
 
 
@@ -215,14 +226,26 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of ``counts`` if there are ``most`` at most, else those of greater ``n``: as many counts as fit."""
+    upto = counts.groupBy("n").agg(F.count("*").alias("rows")).withColumn("upto", F.sum("rows").over(Window.orderBy(F.desc("n"))))  # one row for each count that occurs
+    least, fits = upto.agg(F.min(F.when(F.col("upto") <= most, F.col("n"))), F.max("upto")).first()
+    return counts if not fits or fits <= most or least is None else counts.where(F.col("n") >= least)
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_language: int = PER_LANGUAGE) -> Models | None:
     """Train on at most about ``per_language`` labelled documents of each language; None without any."""
     known = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     named = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(SEED), F.col(id_col)).alias("h"))
-    sizes = named.groupBy("lang").agg(F.count("*").alias("size"))
+    sizes = shared_table(named.groupBy("lang").agg(F.count("*").alias("size")))
+    labels = sizes.count()
+    if not labels:
+        return None
     steps = 1 << 20
-    drawn = named.join(sizes, "lang").where(F.pmod("h", F.lit(steps)) < F.ceil(F.lit(float(per_language) * steps) / F.col("size")))
-    aside = F.pmod(F.shiftright("h", 24), F.lit(6)) == 0
+    # counted first, so that the draw needs no shuffle of texts
+    each = F.broadcast(sizes) if labels <= FEW_LABELS else sizes.hint("merge")
+    drawn = named.join(each, "lang").where(F.pmod("h", F.lit(steps)) < F.ceil(F.lit(float(per_language) * steps) / F.col("size")))
+    aside = (F.pmod(F.shiftright("h", 24), F.lit(6)) == 0) & (F.col("size") >= FEW_ROWS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,10 +267,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(found), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
     counted = drawn.where(~aside).select("lang", "text").mapInArrow(count, "lang string, gram string, n long")
-    counts = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # bounded by the sample
-    if counts.empty:
+    counts = shared_table(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    models = kneser_ney(frequent(counts, CELLS // labels).toArrow())
+    if not models.languages:
         return None
-    models = kneser_ney(counts)
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def lose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
