@@ -90,14 +90,14 @@ def with_rows(docs: DataFrame, id_col: str, payload: str, name: str) -> tuple[Da
         if again.isEmpty():
             return docs.withColumn(name, F.col(id_col).cast("long")), True
     keyed = docs.withColumn("_tie", F.xxhash64(payload))
-    pairs = keyed.select(F.col(id_col).alias("id"), F.col("_tie").alias("tie")).where("id is not null").distinct()
-    pairs = shared_table(pairs.repartitionByRange("id", "tie").withColumn("part", F.spark_partition_id()))
-    sizes = pairs.groupBy("part").agg(F.count("*").alias("n"))
-    line = Window.orderBy("part")  # one row for each range
-    before = F.broadcast(sizes.select("part", (F.sum("n").over(line) - F.col("n")).alias("before")))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("id", "tie"))
-    numbers = shared_table(pairs.join(before, "part").select("id", "tie", (F.col("before") + place).cast("long").alias(name)))
-    found = keyed.join(numbers.hint("merge"), (F.col(id_col) == F.col("id")) & (F.col("_tie") == F.col("tie")), "left")
+    pairs = keyed.select(F.col(id_col).alias("_own"), F.col("_tie").alias("_hash")).where("_own is not null").distinct()
+    pairs = shared_table(pairs.repartitionByRange("_own", "_hash").withColumn("_part", F.spark_partition_id()))
+    sizes = pairs.groupBy("_part").agg(F.count("*").alias("_n"))
+    line = Window.orderBy("_part")  # one row for each range
+    before = F.broadcast(sizes.select("_part", (F.sum("_n").over(line) - F.col("_n")).alias("_before")))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("_own", "_hash"))
+    numbers = shared_table(pairs.join(before, "_part").select("_own", "_hash", (F.col("_before") + place).cast("long").alias(name)))
+    found = keyed.join(numbers.hint("merge"), (F.col(id_col) == F.col("_own")) & (F.col("_tie") == F.col("_hash")), "left")
     return found.select(*(keyed[c] for c in docs.columns), name), False
 
 

@@ -8,14 +8,18 @@ each vector at home in one cell and as a guest in the others that its radius tou
 in the first block within budget, so the union of the blocks' candidates holds each pair once from each
 side, and it is verified by its cosine in double precision.
 
-Cells are compared in tiles of about ``TILE`` vectors a side, so a crowded cell is many tasks.  A tile
+Cells are compared in tiles of about ``TILE`` vectors a side, so a crowded cell is many tasks.  Inside a
+tile the rest of the block's coordinates are range-joined one after another: the first by a sorted search,
+and only pairs within the radius in every coordinate have their block distance worked out.  A tile
 yields, for each vector at home, the number of its links, and a forest that connects what it has linked;
 it never yields pairs.  Equal vectors of one label are one representative with a multiplicity.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and vectors
 with a null label, link with nothing and are their own component; vectors of different length never
-link; several rows of one id count as several vectors but share one node; a row with a null id links
-with nothing and has a null component; an empty table gives an empty result; extra columns are ignored.
+link; labels may be of any type that can be grouped and are equal by value; rows of one id are vectors of
+their own, and components are named by the smallest id in them; ids may be of any type that sorts; a row with
+a null id links with nothing and has a null component; an empty table gives an empty result; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import U, components, mix, shared_table
+from quayside.llm.common import U, components, mix, shared_table, with_rows
 
 LINK, BLOCKS, GRID, TILE, SLACK = 0.98, 8, 3, 1024, 1e-9
 
@@ -64,7 +68,7 @@ def cell_table(reps: DataFrame, link: float, blocks: int, grid: int) -> DataFram
         for batch in batches:
             for dim, part in by_dim(batch):
                 x = unit_rows(part.column("embedding"), dim) @ rotation(dim)
-                ids, label = part.column("id").to_numpy(), part.column("label").to_numpy().astype(np.int64).view(U)
+                ids, label = part.column("id").to_numpy(), part.column("mark").to_numpy().view(U)
                 for b, (lo, hi) in enumerate(cut_points(dim, blocks)):
                     radius = np.sqrt(near * (hi - lo) / dim + SLACK) + 1e-7
                     y = x[:, lo : min(hi, lo + grid)] / (4 * radius)
@@ -83,10 +87,30 @@ def cell_table(reps: DataFrame, link: float, blocks: int, grid: int) -> DataFram
                             names=["cell", "block", "id", "home"],
                         )
 
-    return reps.select("id", "label", "embedding").mapInArrow(place, "cell long, block int, id long, home boolean")
-
-
-def tile_links(tiles: DataFrame, link: float, blocks: int) -> DataFrame:
+    return reps.select("id", "mark", "embedding").mapInArrow(place, "cell long, block int, id long, home boolean")
+
+
+def close_pairs(rows: np.ndarray, cols: np.ndarray, radius: float, lead: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row, column) that lie within ``radius`` in every coordinate; coordinate ``lead`` is searched first."""
+    lead = min(lead, rows.shape[1] - 1)
+    order = np.argsort(cols[:, lead], kind="stable")
+    line = cols[order, lead]
+    lo, hi = np.searchsorted(line, rows[:, lead] - radius), np.searchsorted(line, rows[:, lead] + radius, side="right")
+    upto = np.append(0, np.cumsum(hi - lo))
+    at = 0
+    while at < len(rows):
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] + 500_000, side="right")) - 1)
+        n = hi[at:end] - lo[at:end]
+        i = np.repeat(np.arange(at, end), n)
+        j = order[np.arange(len(i)) - np.repeat(np.cumsum(n) - n - lo[at:end], n)]
+        for k in (*range(lead + 1, rows.shape[1]), *range(lead)):
+            near = np.abs(rows[i, k] - cols[j, k]) <= radius
+            i, j = i[near], j[near]
+        yield i, j
+        at = end
+
+
+def tile_links(tiles: DataFrame, link: float, blocks: int, grid: int) -> DataFrame:
     """(id, links, root) by tile: links found for a vector at home, or the root that it hangs on."""
     near = 2 - 2 * link
 
@@ -100,21 +124,18 @@ def tile_links(tiles: DataFrame, link: float, blocks: int) -> DataFrame:
         r, c = np.flatnonzero(row), np.flatnonzero(~row)
         found, heads, tails = np.zeros(len(r), np.int64), [], []
         lo, hi = cuts[block]
-        for at in range(0, len(r), 256):
-            part = r[at : at + 256]
-            d = np.zeros((len(part), len(c)))
-            for k in range(lo, hi):
-                d += (rot[part, k][:, None] - rot[c, k][None, :]) ** 2
-            i, j = np.nonzero(fits(d, lo, hi))
-            ok = ids[part[i]] != ids[c[j]]
-            i, j = part[i[ok]], c[j[ok]]
+        radius = np.sqrt(near * (hi - lo) / dim + SLACK) + 1e-7
+        for i, j in close_pairs(rot[r, lo:hi], rot[c, lo:hi], radius, grid):
+            i, j = r[i], c[j]
+            other = ids[i] != ids[j]
+            i, j = i[other], j[other]
             for s in range(0, len(i), 20_000):
                 a, b = i[s : s + 20_000], j[s : s + 20_000]
                 parts = (rot[a] - rot[b]) ** 2
-                first = np.ones(len(a), bool)
-                for p, q in cuts[:block]:
-                    first &= ~fits(sum(parts[:, k] for k in range(p, q)), p, q)
-                a, b = a[first], b[first]
+                taken = fits(sum(parts[:, k] for k in range(lo, hi)), lo, hi)
+                for p, q in cuts[:block]:  # the first block within budget counts
+                    taken &= ~fits(sum(parts[:, k] for k in range(p, q)), p, q)
+                a, b = a[taken], b[taken]
                 linked = (x[a] * x[b]).sum(axis=1) >= link
                 a, b = a[linked], b[linked]
                 np.add.at(found, np.searchsorted(r, a), times[b])
@@ -147,15 +168,18 @@ def linked_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", *, link: float = LINK, blocks: int = BLOCKS, grid: int = GRID,
 ) -> DataFrame:
     """(id_col, n_links, component_id, kept) of every vector."""
-    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("embedding"), F.col(label_col).cast("long").alias("label"))
+    v = vectors.select(F.col(id_col).alias("own"), F.col(vector_col).alias("embedding"), F.col(label_col).alias("label"))
+    v = v.withColumn("payload", F.struct("embedding", "label"))
+    v, same = with_rows(v, "own", "payload", "id")
     finite = F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False)))
     valid = F.col("id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("embedding", lambda x: x != 0)
     v = v.withColumn("valid", F.coalesce(valid, F.lit(False)))
     plain = F.transform("embedding", lambda x: x + F.lit(0.0).cast("float"))  # -0.0 and 0.0 are the same
     key = [F.xxhash64(plain).alias("h"), F.xxhash64(F.lit(1), plain, F.size("embedding")).alias("g")]
-    keyed = v.where("valid").select("id", "label", "embedding", *key)
-    reps = shared_table(keyed.groupBy("label", "h", "g").agg(F.min("id").alias("rep"), F.count("*").alias("times"), F.min_by("embedding", "id").alias("embedding")))
-    cells = cell_table(reps.select(F.col("rep").alias("id"), "label", "embedding"), link, blocks, grid)
+    keyed = v.where("valid").select("own", "id", "label", "embedding", *key)
+    reps = keyed.groupBy("label", "h", "g").agg(F.min("id").alias("rep"), F.count("*").alias("times"), F.min_by("embedding", "id").alias("embedding"))
+    reps = shared_table(reps.withColumn("mark", F.xxhash64("label")))
+    cells = cell_table(reps.select(F.col("rep").alias("id"), "mark", "embedding"), link, blocks, grid)
     cells = shared_table(cells)
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).where("n > 1 and homes > 0")
     placed = cells.join(sizes, "cell").withColumn("spot", F.xxhash64("id", F.lit(3)))
@@ -165,12 +189,17 @@ def linked_vectors(
     rows = placed.where("home").select("cell", "block", "id", F.lit(True).alias("row"), one("homes").alias("x"), every("n").alias("y"))
     cols = placed.select("cell", "block", "id", F.lit(False).alias("row"), every("homes").alias("x"), one("n").alias("y"))
     tiles = rows.unionByName(cols).join(reps.select(F.col("rep").alias("id"), "times", "embedding"), "id")
-    found = shared_table(tile_links(tiles, link, blocks))
+    found = shared_table(tile_links(tiles, link, blocks, grid))
     links = found.where("root is null").groupBy("id").agg(F.sum("links").alias("links"))
     parts = components(found.where("root is not null"), "id", "root").withColumnRenamed("node", "id")
     known = reps.select("label", "h", "g", F.col("rep").alias("id"), "times").join(links, "id", "left").join(parts, "id", "left")
     known = known.select("label", "h", "g", (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    out = keyed.select("id", "label", "h", "g").join(known, ["label", "h", "g"]).select("id", "n_links", "component_id")
-    rest = v.where("not valid").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    out = keyed.select("own", "label", "h", "g").join(known, ["label", "h", "g"]).select("own", "n_links", "component_id")
+    if same:
+        out = out.withColumn("component_id", F.col("component_id").cast(v.schema["own"].dataType))
+    else:  # numbers of rows back to ids
+        names = v.where("valid").select(F.col("id").alias("component_id"), F.col("own").alias("name")).distinct()
+        out = out.join(names.hint("merge"), "component_id").select("own", "n_links", F.col("name").alias("component_id"))
+    rest = v.where("not valid").select("own", F.lit(0).cast("long").alias("n_links"), F.col("own").alias("component_id"))
     out = out.unionByName(rest)
-    return out.select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return out.select(F.col("own").alias(id_col), "n_links", "component_id", (F.col("own") == F.col("component_id")).alias("kept"))
