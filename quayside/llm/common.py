@@ -188,13 +188,15 @@ def shingles(offsets: np.ndarray, h: np.ndarray, k: int = 5) -> tuple[np.ndarray
 
 
 def by_plane(x: np.ndarray) -> bytes:
-    """Numbers as bytes, first all their first bytes, then all second ones: small numbers compress well so."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    """Numbers in few bytes: first all their first bytes, then all second ones, and so on, compressed."""
+    flat = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return len(flat).to_bytes(8, "little") + pa.compress(flat, codec="zstd", asbytes=True)
 
 
 def from_planes(data: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, len(data) // size).T).view(kind).ravel()
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    flat = pa.decompress(data[8:], n, codec="zstd", asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(size, n // size).T).view(kind).ravel()
 
 
 def rank_in_group(values: np.ndarray, group: np.ndarray) -> np.ndarray:

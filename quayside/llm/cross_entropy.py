@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from quayside.llm.common import U, by_plane, from_planes, mix, shared_table, slices, word_hashes, words
 
-CHARS, PRIOR, FLOOR = 9_000_000, 4.0, 0.01
+CHARS, PRIOR, FLOOR = 4_500_000, 4.0, 0.01
 #: Up to so many labelled ids go to every executor (8 bytes each); beyond it texts and labels are merge-joined.
 FEW_LABELS = 1_000_000
 #: Stands in for the hash of the start of text.
