@@ -1,10 +1,11 @@
 """Document fingerprints (operator 6): closed syncmers, in DataFrame functions only.
 
-A text's tokens are its runs of up to ``TOKEN_CHARS`` characters without ASCII white space, lower-cased.
-A k-mer is ``K`` tokens; its inner s-mers are pairs of neighbouring tokens.  The k-mer is a closed
+A text's tokens are its lower-cased words: runs without ASCII white space.  In a run of more than
+``TOKEN_CHARS`` characters, as in scripts without blanks, each character is a token, so no cut depends on
+where the run begins.  A k-mer is ``K`` tokens; its inner s-mers are pairs of neighbouring tokens.  The k-mer is a closed
 syncmer if its least hashed s-mer is its first or its last one, which depends on its own tokens alone:
 an edit disturbs the syncmers that touch it and no others, so those of an untouched passage stay the
-same wherever the passage moves.
+same wherever the passage moves.  A text in which no k-mer is closed has its least hashed k-mer instead.
 
 A fingerprint lists anchors: all different syncmers, each as 16 hex digits, in the order of their first
 places in the text, joined by blanks.  The likeness of two fingerprints is the share of common anchors
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from quayside.llm.common import shared_table
 
 K, TOKEN_CHARS = 5, 24
-#: How many anchors a fingerprint may hold: all.
-ANCHORS = None
+#: A word between blanks, else one character of a longer run.
+TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{1,%d}(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]" % TOKEN_CHARS
 HASHES = "array<bigint>"
 
 
@@ -49,7 +50,7 @@ def written(x: Column) -> Column:
 
 def anchors(text: Column) -> Column:
     """The anchors of a text: hashes of its syncmers in the order of their first places."""
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[^\x20\x09-\x0D]{1,%d}" % TOKEN_CHARS), F.lit(0))
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
     return with_value(F.transform(tokens, lambda w: F.xxhash64(w)), anchored)
 
 
@@ -62,8 +63,9 @@ def anchored(h: Column) -> Column:
     def chosen(s: Column) -> Column:
         edge = lambda i: F.least(F.get(s, i), F.get(s, i + K - 2))
         inner = lambda i: F.least(*(F.get(s, i + j) for j in range(1, K - 2)))
-        closed = F.filter(F.sequence(F.lit(0), n - K), lambda i: edge(i) <= inner(i))
-        return F.array_distinct(F.transform(closed, lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(K)))))
+        mer = lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(K)))
+        closed = F.array_distinct(F.transform(F.filter(F.sequence(F.lit(0), n - K), lambda i: edge(i) <= inner(i)), mer))
+        return F.when(F.size(closed) > 0, closed).otherwise(F.array(F.array_min(F.transform(F.sequence(F.lit(0), n - K), mer))))
 
     return F.when(n == 0, F.array().cast(HASHES)).when(n < K, F.array(F.xxhash64(h))).otherwise(with_value(pairs, chosen))
 

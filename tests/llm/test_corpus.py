@@ -106,63 +106,57 @@ def test_encode_and_decode_tables(spark):
 # -- 2
 
 
-def test_cross_entropy_against_brute_force(spark):
-    texts = [prose(i, 40) + (" good stuff here" if i % 2 else "") for i in range(30)] + [None, ""]
-    docs = documents(spark, texts)
-    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(0, 30)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
-    size = 40
-    got = {r["doc_id"]: r for r in cross_entropy.score(docs, labels, size=size).collect()}
-    words = {i: (t or "").lower().split() for i, t in enumerate(texts)}
-    count = Counter(w for ws in words.values() for w in ws)
-    import pandas as pd
-
-    h = lambda w: int(pd.util.hash_array(np.array([w], dtype=object), categorize=False)[0])
-    least = min(n for n in count.values() if sum(m >= n for m in count.values()) <= size)
-    top = [w for w in count if count[w] >= least]
-    voc = {w: i + 1 for i, w in enumerate(sorted(top, key=h))}
-    start = len(top) + 1
-    cell = lambda a, b: int(cross_entropy.cell_of(np.array([a]), np.array([b]))[0])
-    seqs = {i: [voc.get(w, 0) for w in ws] for i, ws in words.items()}
+def brute_scores(seqs, good):
+    """Losses of each text under the target and the background, without its own counts."""
     models = []
-    for pick in (range(32), [i for i in range(30) if i % 2]):
-        uni, bi, past = Counter(), Counter(), Counter()
+    for pick in (good, seqs):
+        bi, uni = Counter(), Counter()
         for i in pick:
-            for a, b in zip([start, *seqs[i]], seqs[i]):
-                uni[b] += 1
-                bi[cell(a, b)] += 1
-                past[a] += 1
-        models.append((uni, bi, past))
-    for i in range(30):
+            uni.update(seqs[i])
+            bi.update(zip(["", *seqs[i]], seqs[i]))
+            uni[""] += bool(seqs[i])
+        models.append((bi, uni, sum(n for w, n in uni.items() if w)))
+    n, n_good = models[1][2], models[0][2]
+    out = {}
+    for i, s in seqs.items():
+        own, own_bi = Counter(s) + Counter({"": 1}), Counter(zip(["", *s], s))
         losses = []
-        for uni, bi, past in models:
-            total = 0.0
-            for a, b in zip([start, *seqs[i]], seqs[i]):
-                p1 = (uni[b] + 1) / (sum(uni.values()) + start + 1)
-                total -= math.log((min(bi[cell(a, b)], past[a]) + cross_entropy.PRIOR * p1) / (past[a] + cross_entropy.PRIOR))
-            losses.append(total / len(seqs[i]))
-        assert math.isclose(got[i]["background_loss"], losses[0], rel_tol=1e-9) and math.isclose(got[i]["target_loss"], losses[1], rel_tol=1e-9)
-        assert math.isclose(got[i]["score"], losses[1] - losses[0], abs_tol=1e-9)
-    assert got[30]["score"] is None and got[31]["n_words"] == 0
-    none = cross_entropy.score(odd(spark), labels.limit(0)).collect()
-    assert len(none) == len(EDGES) + 3
-
-
-def test_cross_entropy_models_grow_with_the_corpus(spark, monkeypatch):
-    monkeypatch.setattr(cross_entropy, "CHARS", 60_000)  # several slices in a task
-    texts = [" ".join(f"w{(i * 7 + j * j) % 60_000}" for j in range(1500)) for i in range(60)]
-    docs, labels = documents(spark, texts), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
-    got = {r["doc_id"]: r for r in cross_entropy.score(docs, labels).collect()}
-    seqs = [t.split() for t in texts]
-    known = len({w for s in seqs for w in s}) + 2
-    assert known > 1 << 15
-    models = []
-    for pick in (seqs, seqs[1::2]):
-        bi = Counter((a, b) for s in pick for a, b in zip(["", *s], s))
-        models.append((bi, Counter(w for s in pick for w in s), Counter(a for s in pick for a in ["", *s[:-1]])))
-    for i, s in enumerate(seqs):
-        for (bi, uni, past), name in zip(models, ("background_loss", "target_loss")):
-            p = [(bi[a, b] + 4 * (uni[b] + 1) / (sum(uni.values()) + known)) / (past[a] + 4) for a, b in zip(["", *s], s)]
-            assert math.isclose(got[i][name], -sum(map(math.log, p)) / len(s), rel_tol=1e-9)
+        for k, (bi, uni, total) in enumerate(models):
+            scale = n_good / n if k and n_good else 1.0
+            mine = 1 if k or i in good else 0
+            loss = 0.0
+            for v, w in zip(["", *s], s):
+                single = (scale * (uni[w] - mine * own[w]) + cross_entropy.FLOOR) / (scale * (total - mine * len(s)) + cross_entropy.FLOOR * n)
+                loss -= math.log((scale * (bi[v, w] - mine * own_bi[v, w]) + cross_entropy.PRIOR * single) / (scale * (uni[v] - mine * own[v]) + cross_entropy.PRIOR))
+            losses.append(loss / len(s) if s else None)
+        out[i] = losses
+    return out
+
+
+@pytest.mark.parametrize("chars, merged", [(cross_entropy.CHARS, False), (3_000, True)])
+def test_cross_entropy_against_brute_force(spark, monkeypatch, chars, merged):
+    monkeypatch.setattr(cross_entropy, "CHARS", chars)  # one slice, or many in a task
+    monkeypatch.setattr(cross_entropy, "FEW_LABELS", 0 if merged else 1000)
+    texts = [prose(i, 20 + i) + (" good stuff here" if i % 2 else "") + f" only{i} once{i}" for i in range(60)] + [None, "", prose(3, 23)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(0, 50)] + [(None, 1, 0), (1, 0, 0), (61, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = cross_entropy.score(documents(spark, texts), labels).collect()
+    got = {r["doc_id"]: r for r in rows}
+    assert len(rows) == len(texts)
+    want = brute_scores({i: (t or "").lower().split() for i, t in enumerate(texts)}, {i for i in range(50) if i % 2} | {61})
+    for i, (target, background) in want.items():
+        if target is None:
+            assert got[i]["score"] is None and got[i]["n_words"] == 0
+            continue
+        assert math.isclose(got[i]["target_loss"], target, rel_tol=1e-9) and math.isclose(got[i]["background_loss"], background, rel_tol=1e-9)
+        assert math.isclose(got[i]["score"], target - background, abs_tol=1e-9)
+
+
+def test_cross_entropy_edges(spark):
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert len(cross_entropy.score(odd(spark), labels).collect()) == len(EDGES) + 3
+    rows = cross_entropy.score(documents(spark, ["a b", "a c", None]), labels.limit(0)).collect()  # a uniform target
+    assert all(r["score"] is None or math.isclose(r["target_loss"], math.log(4)) for r in rows)
+    assert cross_entropy.score(odd(spark).limit(0), labels).count() == 0
 
 
 # -- 3
@@ -244,6 +238,26 @@ def test_vectors_against_brute_force(spark):
     assert got == brute_links(rows)
 
 
+def test_vectors_of_repeated_and_text_ids_and_labels_by_value(spark):
+    e = [float(x) for x in np.random.default_rng(1).standard_normal(64)]
+    rows = [(1, e, 1.2), (2, e, 1.7), (3, e, 1.2), (5, e, 2.0), (5, [-x for x in e], 2.0), (6, [x * 1.001 for x in e], 2.0)]
+    got = sorted(tuple(r)[:3] for r in subspace_join.linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label double")).collect())
+    assert got == [(1, 1, 1), (2, 0, 2), (3, 1, 1), (5, 0, 5), (5, 1, 5), (6, 1, 5)]
+    rows = [("a", e, "x"), ("b", e, "y"), ("c", e, "x"), (None, e, "x")]
+    got = {tuple(r)[:3] for r in subspace_join.linked_vectors(spark.createDataFrame(rows, "vec_id string, embedding array<float>, label string")).collect()}
+    assert got == {("a", 1, "a"), ("b", 0, "b"), ("c", 1, "a"), (None, 0, None)}
+
+
+def test_few_pairs_of_a_block_are_compared():
+    x = np.random.default_rng(7).standard_normal((800, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ subspace_join.rotation(64)
+    n = 0
+    for lo, hi in subspace_join.cut_points(64, subspace_join.BLOCKS):
+        radius = np.sqrt(0.04 * (hi - lo) / 64)
+        n += sum(len(i) for i, _ in subspace_join.close_pairs(x[:, lo:hi], x[:, lo:hi], radius, subspace_join.GRID)) - 800
+    assert n < 0.1 * 800 * 799
+
+
 def test_vectors_tiles_and_empty(spark, monkeypatch):
     monkeypatch.setattr(subspace_join, "TILE", 16)
     rng = np.random.default_rng(3)
@@ -269,15 +283,6 @@ def test_compact_windows_cover_each_range_once():
                 assert len(own) == 1 and h[c[own[0]]] == h[a : b + 1].min() and c[own[0]] == a + int(h[a : b + 1].argmin())
 
 
-def test_thinned_spans_cover_the_same_runs():
-    r = random.Random(9)
-    for _ in range(300):
-        spans = [(a, a + r.randrange(6, 30), 0, 0) for a in (r.randrange(0, 60) for _ in range(r.randrange(1, 12)))]
-        kept = compact_windows.thinned(spans, 6)
-        runs = lambda found: {x for a, b, _, _ in found for x in range(a, b - 5)}
-        assert runs(kept) == runs(spans) and set(kept) <= set(spans)
-
-
 def test_passages_are_found_and_others_left(spark):
     shared, near = prose(100, 80), prose(101, 120)
     texts = [prose(i, 150) for i in range(40)]
@@ -319,6 +324,38 @@ def test_exact_repeats_against_brute_force(spark):
                 assert any(a <= k and k + 50 <= b for a, b in got.get(i, [])), (i, k)
 
 
+def test_near_passages_behind_crowding_leads(spark):
+    texts, want = [], set()
+    near = lambda p, i: [x if k != random.Random(i).randrange(5, 55) else "changed" for k, x in enumerate(p)]
+    for i in range(60):  # earlier documents share 45 words of each passage
+        texts.append(prose(i, 80) + " " + " ".join(prose(5000 + i, 60).split()[8:53]) + " " + prose(9000 + i, 40))
+    texts += [prose(1000 + i, 60) + " " + prose(5000 + i, 60) + " " + prose(11000 + i, 30) for i in range(60)]
+    texts += [prose(2000 + i, 60) + " " + " ".join(near(prose(5000 + i, 60).split(), i)) + " " + prose(12000 + i, 30) for i in range(60)]
+    want = {(120 + i, 60 + i) for i in range(60)}
+    got = {(r["doc_id"], r["first_id"]) for r in compact_windows.repeated_passages(documents(spark, texts)).collect()}
+    assert len(want & got) >= 0.95 * len(want) and got <= want
+
+
+def test_repeated_and_text_ids_keep_their_texts(spark):
+    shared = prose(77, 60)
+    rows = [(1, prose(1, 100) + " " + shared), (2, shared + " " + prose(3, 80)), (2, prose(4, 200))]
+    cut = compact_windows.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in cut) == sorted([rows[0], (2, prose(3, 80)), rows[2]])
+    named = spark.createDataFrame([("a", rows[0][1]), ("b", rows[1][1]), (None, shared)], "doc_id string, text string")
+    assert [(r["doc_id"], r["first_id"], r["start_word"], r["end_word"]) for r in compact_windows.repeated_passages(named).collect()] == [("b", "a", 0, 60)]
+
+
+def test_repetitive_long_texts(spark):
+    a, b = ("x y z " * 3000) + prose(1, 100), prose(2, 100) + (" x y z" * 4000)
+    rows = compact_windows.repeated_passages(documents(spark, [a, b, "word " * 9000, "word " * 7000])).collect()
+    assert {(r["doc_id"], r["first_id"]) for r in rows} == {(1, 0), (3, 2)}
+    covered = np.zeros(13000, bool)
+    for r in rows:
+        if r["doc_id"] == 1:
+            covered[r["start_word"] : r["end_word"]] = True
+    assert covered[105:12000].all()
+
+
 def test_passages_edges(spark):
     rows = compact_windows.repeated_passages(odd(spark)).collect()
     assert {(r["doc_id"], r["first_id"]) for r in rows} == {(9, 8)}
@@ -359,8 +396,7 @@ def test_fingerprint_anchors_are_closed_syncmers(spark):
     closed = [i for i in range(len(h) - 4) if min(s[i], s[i + 3]) <= min(s[i + 1], s[i + 2])]
     mers = spark.createDataFrame([(i, *h[i : i + 5]) for i in closed], "i int, a long, b long, c long, d long, e long")
     x = {r["i"]: r["x"] for r in mers.select("i", F.xxhash64("a", "b", "c", "d", "e").alias("x")).collect()}
-    keep = set(sorted(set(x.values()))[: syncmers.ANCHORS])
-    want = " ".join(f"{x[i] & (2**64 - 1):016x}" for i in closed if x[i] in keep)
+    want = " ".join(f"{x[i] & (2**64 - 1):016x}" for i in closed)
     got = documents(spark, [text]).select(syncmers.fingerprint(F.col("text")).alias("f")).first()["f"]
     assert got == want
 
@@ -374,6 +410,44 @@ def test_fingerprints_grow_with_the_text(spark):
     assert math.isclose(row["near_next"], len(a & b) / len(a | b), rel_tol=1e-9)
 
 
+def test_fingerprints_of_short_and_unspaced_texts(spark):
+    short = [" ".join(f"w{i}x{j}" for j in range(5 + i % 3)) for i in range(30)]
+    rows = {r["doc_id"]: r for r in syncmers.fingerprints(documents(spark, short)).collect()}
+    assert all(r["fingerprint"] and r["near_next"] < 0.2 for r in rows.values())
+    r = random.Random(11)
+    line = "".join(chr(0x4E00 + r.randrange(2000)) for _ in range(4000))
+    rows = {r["doc_id"]: r for r in syncmers.fingerprints(documents(spark, [line, "新" + line, "".join(reversed(line))])).collect()}
+    assert rows[1]["near_next"] > 0.9 and rows[2]["near_next"] < 0.05
+
+
+def test_likeness_against_brute_force(spark):
+    r = random.Random(12)
+    base = prose(60, 300).split()
+    texts = []
+    for _ in range(25):
+        w = list(base)
+        for _ in range(r.randrange(0, 40)):
+            w[r.randrange(len(w))] = r.choice(WORDS)
+        at = r.randrange(300)
+        texts.append(" ".join(w[at:] + w[:at]) if r.random() < 0.3 else " ".join(w))
+    rows = {x["doc_id"]: x for x in syncmers.fingerprints(documents(spark, texts)).collect()}
+
+    def like(x, y):
+        x, y = x.split(), y.split()
+        both = set(x) & set(y)
+        if not both:
+            return 0.0
+        at = [y.index(h) for h in x if h in both]
+        order = sum(q > p for p, q in zip([y_ for y_ in at], at[1:])) / (len(at) - 1) if len(at) > 1 else 1.0
+        follow = [h for h in x if h in both]
+        return len(both) / len(set(x) | set(y)) * (order if follow else 1.0)
+
+    for i in rows:
+        nxt = rows[i - 1 if i else len(texts) - 1]
+        assert math.isclose(rows[i]["near_next"], like(rows[i]["fingerprint"], nxt["fingerprint"]), abs_tol=1e-9)
+        assert math.isclose(rows[i]["near_edited"], like(rows[i]["fingerprint"], rows[i]["edited_fingerprint"]), abs_tol=1e-9)
+
+
 def test_fingerprint_edges(spark):
     assert syncmers.fingerprints(odd(spark)).count() == len(EDGES) + 3
     assert syncmers.fingerprints(odd(spark).limit(0)).count() == 0
@@ -469,12 +543,50 @@ def test_language_models_and_held_out_accuracy(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == list(range(240))
 
 
-def test_kneser_ney_sums_to_one():
-    import pandas as pd
-
+def gram_counts():
     r = random.Random(2)
-    rows = Counter(("xx" if i % 3 else "yy", "".join(r.choice("ab ") for _ in range(5))) for i in range(400))
-    models = language_id.kneser_ney(pd.DataFrame([(a, g, n) for (a, g), n in rows.items()], columns=["lang", "gram", "n"]))
+    return Counter(("xx" if i % 3 else "yy", "".join(r.choice("ab ") for _ in range(5))) for i in range(400))
+
+
+def gram_table(counts):
+    return pa.table({"lang": [a for a, _ in counts], "gram": [g for _, g in counts], "n": list(counts.values())})
+
+
+def test_kneser_ney_against_plain_recursion():
+    counts = gram_counts()
+    models = language_id.kneser_ney(gram_table(counts))
+    for k, lang in enumerate(("xx", "yy")):
+        levels = {5: Counter({g: n for (a, g), n in counts.items() if a == lang})}
+        for n in range(4, 0, -1):
+            levels[n] = Counter(g[1:] for g in levels[n + 1])
+
+        def p(gram):
+            if not gram:
+                return 1.0 / language_id.FLOOR_CHARS
+            c = levels[len(gram)]
+            ones, twos = (sum(n == x for n in c.values()) for x in (1, 2))
+            d = min(max(ones / (ones + 2 * twos) if ones + 2 * twos else 0.5, 0.1), 0.9)
+            same = [n for g, n in c.items() if g[:-1] == gram[:-1]]
+            return (max(c[gram] - d, 0) + d * len(same) * p(gram[1:])) / sum(same) if same else p(gram[1:])
+
+        grams = ["".join(random.Random(i).choice("ab c") for _ in range(5)) for i in range(200)]
+        got = models.score(np.array([[ord(x) for x in g] for g in grams]))[:, k]
+        assert np.allclose(got, [math.log(p(g)) for g in grams], atol=1e-4)
+
+
+def test_rare_languages_teach_and_grams_are_bounded(spark, monkeypatch):
+    texts, langs = language_docs(spark)
+    texts += ["xyq xyq qyx wqx"] * 2
+    docs = documents(spark, texts, langs | {240: "rare", 241: "rare"})
+    rows = {r["doc_id"]: r for r in language_id.identify(docs).collect()}
+    assert rows[240]["lang_pred"] == "rare" == rows[241]["lang_pred"]
+    monkeypatch.setattr(language_id, "CELLS", 400)
+    rows = {r["doc_id"]: r for r in language_id.identify(docs).collect()}
+    assert sum(rows[i]["lang_pred"] == langs[i] for i in range(240)) > 200
+
+
+def test_kneser_ney_sums_to_one():
+    models = language_id.kneser_ney(gram_table(gram_counts()))
     for context in ("    ", "a ba", "zzzz", "bbbb", "zzab"):
         grid = np.array([[ord(c) for c in context + x] for x in "ab "])
         p = np.exp(models.score(grid).astype(float)).sum(0)
