@@ -24,6 +24,7 @@ from quayside.operators import text_reader as T
 from quayside.plans import demo as D
 from quayside.plans import twins as X
 from quayside.plans.reconcile import reconcile
+from quayside.sources import intake as N
 from quayside.sources.intake import admit, detect_format
 from quayside.sources.report import assemble_report
 
@@ -69,8 +70,8 @@ _SPACED = "trim(lower(regexp_replace(field_key, '([A-Z])', ' \\1', 'g')))"
 scalar_on_fields("n15_label_for", f"coalesce({X.label('field_key')}, upper(left({_SPACED}, 1)) || substr({_SPACED}, 2))", lambda: S.label_for("field_key"))
 
 
-@register(f"""{D.cte('fields')}, x AS (SELECT a.shipment_id, a.field_key, {X.canonical_port('a.raw')} AS p, {X.canonical_port('b.raw')} AS q FROM fields a JOIN fields b
-  ON a.shipment_id = b.shipment_id AND a.field_key = b.field_key AND a.side = 'A' AND b.side = 'B' WHERE a.field_key IN ('portOfLoading', 'portOfDischarge', 'finalDestination'))
+@register(f"""{D.cte('fields')}, ports AS MATERIALIZED (SELECT shipment_id, side, field_key, {X.canonical_port('raw')} AS port FROM fields WHERE field_key IN ('portOfLoading', 'portOfDischarge', 'finalDestination')),
+  x AS (SELECT a.shipment_id, a.field_key, a.port AS p, b.port AS q FROM ports a JOIN ports b USING (shipment_id, field_key) WHERE a.side = 'A' AND b.side = 'B')
   SELECT shipment_id, field_key, {X.port_relation('p', 'q')} AS relation FROM x""")
 def n09_port_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = D.fields(spark, sf_dir).where(F.col("field_key").isin("portOfLoading", "portOfDischarge", "finalDestination"))
@@ -104,10 +105,10 @@ def n17_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.docs(spark, sf_dir).select("shipment_id", "doc_seq", "side", S.printed_text("text").alias("printed"), S.strip_notes("text").alias("stripped"))
 
 
-@register("SELECT doc_id, regexp_replace(upper(replace(regexp_replace(left(text, 80), '[（(][^）)]*[）)]', '', 'g'), 'ß', 'SS')), '[^A-Z0-9一-鿿]', '', 'g') AS label_key FROM documents")
+@register("SELECT doc_id, regexp_replace(upper(replace(regexp_replace(text, '[（(][^）)]*[）)]', '', 'g'), 'ß', 'SS')), '[^A-Z0-9一-鿿]', '', 'g') AS label_key FROM documents")
 def n18_label_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The key of a label as long as a document's first 80 characters."""
-    return D.table(spark, sf_dir, "documents").select("doc_id", S.label_key(F.substring("text", 1, 80)).alias("label_key"))
+    """The key of each whole text, taken as a label."""
+    return D.table(spark, sf_dir, "documents").select("doc_id", S.label_key(F.col("text")).alias("label_key"))
 
 
 @register(r"""SELECT doc_id, CASE WHEN regexp_replace(text, '^\s+|\s+$', '', 'g') = '' THEN 'empty'
@@ -148,6 +149,38 @@ def s3_admit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admit(manifest(spark, sf_dir))
 
 
+@register(f"""WITH m AS ({_MANIFEST.replace('{lineitem}', 'lineitem')}) SELECT shipment_id, side,
+  CAST(row_number() OVER (PARTITION BY shipment_id, side ORDER BY file_name, size_bytes) - 1 AS INT) AS doc_seq, file_name, mime, size_bytes FROM m WHERE size_bytes > 0""")
+def s2_read_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.submitted(manifest(spark, sf_dir).drop("doc_seq"))
+
+
+def decoded(spark: SparkSession, sf_dir: str, sql: str, of: str, clean: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A reader's cleaning over a derived table."""
+    return clean(D.derived(spark, sf_dir, sql, of))
+
+
+@register(f"""{D.cte('rough_lines')} SELECT shipment_id, side, doc_seq, line_no, regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g') AS text FROM rough_lines""")
+def s4_read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decoded(spark, sf_dir, D.ROUGH_LINES, "orders", N.clean_lines)
+
+
+@register(f"""{D.cte('rough_cells')}, c AS (SELECT * EXCLUDE (text), trim(regexp_replace(regexp_replace(text, chr(13) || chr(10) || '?', chr(10), 'g'), '[ ' || chr(9) || ']+', ' ', 'g'), ' ' || chr(10)) AS text FROM rough_cells)
+SELECT * FROM c WHERE text <> ''""")
+def s4_read_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decoded(spark, sf_dir, D.ROUGH_CELLS, "orders", N.clean_cells)
+
+
+@register(f"""{D.cte('rough_items', of='customer')} SELECT shipment_id, side, doc_seq, page, item_seq, x, y, coalesce(w, 0) AS w, s FROM rough_items WHERE trim(s) <> ''""")
+def s4_read_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decoded(spark, sf_dir, D.ROUGH_ITEMS, "customer", N.clean_items)
+
+
+@register(f"""{D.cte('rough_regions', of='customer')}, c AS (SELECT shipment_id, side, doc_seq, line_idx, pos, x, y, w, h, trim(text) AS text, confidence FROM rough_regions) SELECT * FROM c WHERE text <> ''""")
+def s4_read_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decoded(spark, sf_dir, D.ROUGH_REGIONS, "customer", N.clean_regions)
+
+
 # -- reading text
 
 def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -625,3 +658,16 @@ def q1_score_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = fields.where("side = 'A' and doc_seq = 0").join(F.broadcast(first), F.col("shipment_id") == F.col("k0"))
     probes = fields.where("side = 'B'").select(F.col("shipment_id").cast("string").alias("condition"), "field_key", "raw", (F.col("shipment_id") % 2).alias("n_warnings"))
     return Q.score_extraction(base, probes, 0).select("condition", "n_right", "n_absent", "n_wrong", "verdict")
+
+
+# -- tilt of scans
+
+@register(f"""{D.SCANS_CTE}, angles AS (SELECT n, tan(radians(-8 + n * 0.25)) AS slope FROM range(65) t(n)),
+bands AS (SELECT k, n, floor(y - x * slope + 0.5) AS band, count(*) AS c FROM ink CROSS JOIN angles GROUP BY ALL),
+scored AS (SELECT k, n, sum(c * c) AS score FROM bands GROUP BY ALL),
+best AS (SELECT k, arg_max(n, struct_pack(s := score, first := -n)) AS n FROM scored GROUP BY k),
+sizes AS (SELECT k, count(*) AS ink FROM ink GROUP BY k)
+SELECT k AS shipment_id, 'B' AS side, 0 AS doc_seq, CASE WHEN ink < 2000 THEN 0.0::DOUBLE ELSE -8 + n * 0.25::DOUBLE END AS skew FROM best JOIN sizes USING (k)""")
+def e26_estimate_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tilt of a ruled scan for each supplier."""
+    return I.estimate_skew(D.scans(spark, sf_dir))

@@ -74,10 +74,12 @@ ROWS = [
     (*_B, "sealNo", f"'SEAL' || {pad('k % 100000', 5)}", "n > 0", "NULL"),
     (*_B, "freightTerms", "'Freight Prepaid'", "n > 0 AND k % 2 = 0", "NULL"),
 ]
-FIELDS = " UNION ALL ".join(
-    f"SELECT k AS shipment_id, '{side}' AS side, {seq} AS doc_seq, '{key}' AS field_key, {raw} AS raw, CAST({source} AS STRING) AS source, '{file}' AS file FROM base WHERE {when}"
+_STRUCTS = ", ".join(
+    f"struct_pack(stated := ({when}), side := '{side}', doc_seq := {seq}, field_key := '{key}', raw := {raw}, source := CAST({source} AS VARCHAR), file := '{file}')"
     for side, seq, file, key, raw, when, source in ROWS
 )
+#: DuckDB: the long fields, all of an order's values in one pass over the base
+FIELDS = f"SELECT k AS shipment_id, x.side, x.doc_seq, x.field_key, x.raw, x.source, x.file FROM (SELECT k, unnest([{_STRUCTS}]) AS x FROM base) WHERE x.stated"
 
 MAIL = f"'ops' || {s('k % 10')} || '@demo.com'"
 INSTRUCTION = [
@@ -144,6 +146,34 @@ REGIONS = " UNION ALL ".join(
 )
 
 
+#: inputs as a decoder may leave them: mixed line ends, tabs, blank cells, items and regions
+_ENDS = "CASE k % 3 WHEN 0 THEN chr(13) || chr(10) || 'more' WHEN 1 THEN chr(13) || 'more' ELSE '' END"
+ROUGH_LINES = f"SELECT k AS shipment_id, 'A' AS side, 0 AS doc_seq, 1 AS line_no, cname || {_ENDS} AS text FROM base UNION ALL SELECT k, 'A', 0, 2, CASE WHEN k % 2 = 0 THEN '' ELSE {PORT_A} END FROM base"
+ROUGH_CELLS = " UNION ALL ".join(
+    f"SELECT k AS shipment_id, 'B' AS side, 0 AS doc_seq, 0 AS sheet_seq, 'S1' AS sheet, {r} AS \"row\", 1 AS \"col\", {t} AS text FROM base"
+    for r, t in enumerate(("' ' || cname || chr(9) || ' ' || chr(9) || 'LTD  '", f"{PORT_A} || {_ENDS}", "CASE WHEN k % 4 = 0 THEN chr(9) || '  ' ELSE 'x' || chr(9) || 'y' END"), 1)
+)
+ROUGH_ITEMS = " UNION ALL ".join(
+    f"SELECT k AS shipment_id, 'B' AS side, 0 AS doc_seq, 1 AS page, {n} AS item_seq, CAST({n} AS DOUBLE) AS x, CAST(k % 700 AS DOUBLE) AS y, CASE WHEN k % 5 <> {n} THEN CAST(4 AS DOUBLE) END AS w, {t} AS s FROM base"
+    for n, t in enumerate(("cname", "CASE WHEN k % 2 = 0 THEN '  ' ELSE 'N/M' END", "''"))
+)
+ROUGH_REGIONS = " UNION ALL ".join(
+    f"SELECT k AS shipment_id, 'B' AS side, 0 AS doc_seq, {n} AS line_idx, 0 AS pos, CAST(1 AS DOUBLE) AS x, CAST(2 AS DOUBLE) AS y, CAST(3 AS DOUBLE) AS w, CAST(4 AS DOUBLE) AS h, {t} AS text, CAST(k % 100 AS DOUBLE) / 100 AS confidence FROM base"
+    for n, t in enumerate(("'  ' || cname || ' '", "CASE WHEN k % 3 = 0 THEN ' ' ELSE '1.Exporter ' END"))
+)
+#: a ruled page of SIDE x SIDE pixels for each supplier: its lines rise by the supplier's angle, every 9th page has few
+SIDE, _ANGLE, _GAP = 120, "((k % 65) - 32) * 0.25", "CASE WHEN k % 9 = 0 THEN 12 ELSE 6 END"
+_INK = f"pmod(CAST(y - round(x * tan(radians({_ANGLE})), 0) AS INT), {_GAP}) = 0"
+SCANS = f"""SELECT s_suppkey AS shipment_id, 'B' AS side, 0 AS doc_seq, {SIDE} AS width, {SIDE} AS height, unhex(array_join(transform(sequence(0, {SIDE * SIDE - 1}),
+  i -> CASE WHEN {_INK.replace('k %', 's_suppkey %').replace('(y -', f'(i div {SIDE} -').replace('round(x *', f'round((i % {SIDE}) *')} THEN '00' ELSE 'FF' END), '')) AS grey FROM {{supplier}}"""
+SCANS_CTE = f"""WITH pixels AS (SELECT s_suppkey AS k, i // {SIDE} AS y, i % {SIDE} AS x FROM supplier, range({SIDE * SIDE}) t(i)),
+ink AS MATERIALIZED (SELECT * FROM pixels WHERE {_INK.replace('pmod(CAST', '((CAST').replace('AS INT), ', f'AS INT) % ({_GAP}) + ({_GAP})) % (').replace(') = 0', ')) = 0', 1)})"""
+
+
+def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(SCANS, supplier=table(spark, sf_dir, "supplier"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -175,6 +205,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cte(*names: str, of: str = "orders") -> str:
     """DuckDB: WITH base and the named derived tables."""
-    known = {"fields": FIELDS, "docs": DOCS, "cells": CELLS, "merges": MERGES, "items": ITEMS, "regions": REGIONS}
+    known = {"fields": FIELDS, "docs": DOCS, "cells": CELLS, "merges": MERGES, "items": ITEMS, "regions": REGIONS,
+             "rough_lines": ROUGH_LINES, "rough_cells": ROUGH_CELLS, "rough_items": ROUGH_ITEMS, "rough_regions": ROUGH_REGIONS}
     start = (BASE if of == "orders" else CUSTOMERS).replace("{", "").replace("}", "")
-    return f"WITH base AS ({start})" + "".join(f", {n} AS ({known[n]})" for n in names)
+    return f"WITH base AS MATERIALIZED ({start})" + "".join(f", {n} AS MATERIALIZED ({known[n]})" for n in names)

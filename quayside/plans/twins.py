@@ -115,7 +115,7 @@ def printed(x: str) -> str:
 SPECS = "(VALUES " + ", ".join(f"({n}, {q(k)}, {q(l)}, {q(c)}, {a}, {b})" for n, (k, l, c, a, b) in enumerate(R.FIELD_SPECS)) + ") AS specs(ord, field_key, label, comparator, ra, rb)"  # noqa: E741
 
 #: side_fields: the value of the first document
-SIDE = "side_fields AS (SELECT shipment_id, side, field_key, arg_min(raw, doc_seq) AS raw, arg_min(coalesce(source, ''), doc_seq) AS source, arg_min(file, doc_seq) AS file FROM fields GROUP BY ALL)"
+SIDE = "side_fields AS MATERIALIZED (SELECT shipment_id, side, field_key, arg_min(raw, doc_seq) AS raw, arg_min(coalesce(source, ''), doc_seq) AS source, arg_min(file, doc_seq) AS file FROM fields GROUP BY ALL)"
 
 _FAMILY = any_of(R.DESTINATION)
 

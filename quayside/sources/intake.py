@@ -27,13 +27,13 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     part = lambda n: F.regexp_extract("path", r"/([^/]+)/([AB])/([^/]+)\z", n)
     rows = files.select(part(1).try_cast("long").alias("shipment_id"), part(2).alias("side"), part(3).alias("file_name"), F.lit(None).cast("string").alias("mime"), F.col("length").alias("size_bytes"))
-    return numbered(rows.where("size_bytes > 0 and side <> ''"))
+    return submitted(rows.where("side <> ''"))
 
 
-def numbered(manifest: DataFrame) -> DataFrame:
-    """A manifest with ``doc_seq`` by file name within each side."""
-    order = Window.partitionBy("shipment_id", "side").orderBy("file_name")
-    return manifest.select("shipment_id", "side", (F.row_number().over(order) - 1).alias("doc_seq"), "file_name", "mime", "size_bytes")
+def submitted(manifest: DataFrame) -> DataFrame:
+    """A manifest's files that aren't empty, with ``doc_seq`` by file name (then size) within each side."""
+    order = Window.partitionBy("shipment_id", "side").orderBy("file_name", "size_bytes")
+    return manifest.where("size_bytes > 0").select("shipment_id", "side", (F.row_number().over(order) - 1).cast("int").alias("doc_seq"), "file_name", "mime", "size_bytes")
 
 
 def admit(manifest: DataFrame, max_files: int = R.MAX_FILES, max_bytes: int = R.MAX_BYTES) -> DataFrame:
@@ -58,22 +58,38 @@ def admit(manifest: DataFrame, max_files: int = R.MAX_FILES, max_bytes: int = R.
     return both.select("shipment_id", reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def clean_lines(lines: DataFrame) -> DataFrame:
     """Text lines (key, line_no, text) with one line end for all systems."""
-    return spark.read.parquet(path).select(*KEY, "line_no", F.regexp_replace("text", "\r\n?", "\n").alias("text"))
+    return lines.select(*KEY, "line_no", F.regexp_replace("text", "\r\n?", "\n").alias("text"))
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
+def clean_cells(cells: DataFrame) -> DataFrame:
     """Cells (key, sheet_seq, sheet, row, col, text), blanks and tabs collapsed, empty ones dropped."""
     text = trim(F.regexp_replace(F.regexp_replace("text", "\r\n?", "\n"), r"[ \t]+", " "))
-    return spark.read.parquet(path).select(*KEY, "sheet_seq", "sheet", "row", "col", text.alias("text")).where("text <> ''")
+    return cells.select(*KEY, "sheet_seq", "sheet", "row", "col", text.alias("text")).where("text <> ''")
 
 
-def read_items(spark: SparkSession, path: str) -> DataFrame:
+def clean_items(items: DataFrame) -> DataFrame:
     """Positioned items (key, page, item_seq, x, y, w, s), blank ones dropped."""
-    return spark.read.parquet(path).select(*KEY, "page", "item_seq", "x", "y", F.coalesce("w", F.lit(0.0)).alias("w"), "s").where(trim("s") != "")
+    return items.select(*KEY, "page", "item_seq", "x", "y", F.coalesce("w", F.lit(0.0)).alias("w"), "s").where(trim("s") != "")
 
 
-def read_regions(spark: SparkSession, path: str) -> DataFrame:
+def clean_regions(regions: DataFrame) -> DataFrame:
     """Recognised regions (key, line_idx, pos, x, y, w, h, text, confidence), blank ones dropped."""
-    return spark.read.parquet(path).select(*KEY, "line_idx", "pos", "x", "y", "w", "h", trim("text").alias("text"), "confidence").where("text <> ''")
+    return regions.select(*KEY, "line_idx", "pos", "x", "y", "w", "h", trim("text").alias("text"), "confidence").where("text <> ''")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    return clean_lines(spark.read.parquet(path))
+
+
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    return clean_cells(spark.read.parquet(path))
+
+
+def read_items(spark: SparkSession, path: str) -> DataFrame:
+    return clean_items(spark.read.parquet(path))
+
+
+def read_regions(spark: SparkSession, path: str) -> DataFrame:
+    return clean_regions(spark.read.parquet(path))
