@@ -1,19 +1,21 @@
 """Reading text documents as they arrive (Structured Streaming).
 
 Scans that need one document alone run on the stream itself; merging and comparing need all documents of
-a shipment and run in each micro-batch on the shipments that it touches.
+a shipment and run in each micro-batch on the shipments that it touches, their earlier documents included.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quayside.functions.scalars import find_emails, find_hs_codes, printed_text
 from quayside.operators.text_reader import KEY, reg_and_phone, shape_scan
 
+BUCKETS = 256
 DOCS = "shipment_id long, side string, doc_seq int, file_name string, kind string, format string, text string"
 
 
@@ -33,6 +35,24 @@ def printed_stream(docs: DataFrame) -> DataFrame:
     return docs.select(*KEY, "file_name", find_hs_codes(printed).alias("codes"), find_emails(printed).alias("emails"))
 
 
-def reconcile_stream(docs: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Call ``batch`` with the documents of each micro-batch; the checkpoint folder lets it resume."""
-    return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def reconcile_stream(docs: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, store: str) -> StreamingQuery:
+    """Call ``batch`` with all documents, old and new, of the shipments that each micro-batch touches.
+
+    Documents are kept under ``store``, a shared folder, by micro-batch and by ``BUCKETS`` parts of the shipment
+    ids, so a batch that is run again replaces what it has written, and a batch reads back the parts that it
+    touches.  A document that comes again counts as it came last.  The checkpoint folder lets the stream resume.
+    """
+
+    def settle(new: DataFrame, number: int) -> None:
+        spark = new.sparkSession
+        part = F.pmod(F.xxhash64("shipment_id"), F.lit(BUCKETS)).cast("int")
+        new.withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(f"{store}/batch={number}")
+        known = spark.read.schema(f"{DOCS}, batch long, part int").parquet(store).where(F.col("batch") <= number)
+        fresh = known.where(F.col("batch") == number)
+        parts = [r["part"] for r in fresh.select("part").distinct().collect()]  # BUCKETS at most
+        touched = fresh.select("shipment_id").distinct()
+        last = Window.partitionBy(*KEY).orderBy(F.desc("batch"))
+        rows = known.where(F.col("part").isin(parts)).join(touched, "shipment_id", "left_semi")
+        batch(rows.withColumn("_nth", F.row_number().over(last)).where("_nth = 1").select(*new.columns), number)
+
+    return docs.writeStream.foreachBatch(settle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -168,10 +168,23 @@ def test_stream_of_documents(spark, tmp_path):
         f = T.read_text(df)
         tallies.extend(reconcile(df, f, T.extract_directives(df))["summary"].collect())
 
-    reconcile_stream(stream, batch, str(tmp_path / "check")).awaitTermination()
+    folders = str(tmp_path / "check"), str(tmp_path / "known")
+    reconcile_stream(stream, batch, *folders).awaitTermination()
     assert len(tallies) == 1 and tallies[0]["violations"] == 2
 
 
+def test_a_shipment_may_come_in_two_batches(spark, tmp_path):
+    from quayside.streaming.intake import document_stream, reconcile_stream
+
+    seen = []
+    folders = str(tmp_path / "check"), str(tmp_path / "known")
+    for doc in (("A", 0, "i.docx", "SI", "docx", INST), ("B", 0, "d.pdf", "BL", "pdf", "first"), ("B", 0, "d.pdf", "BL", "pdf", DRAFT)):
+        docs(spark, doc).write.mode("append").parquet(str(tmp_path / "in"))
+        run = lambda df, n: seen.append((n, sorted((r["side"], r["text"]) for r in df.collect())))
+        reconcile_stream(document_stream(spark, str(tmp_path / "in")), run, *folders).awaitTermination()
+    assert seen == [(0, [("A", INST)]), (1, [("A", INST), ("B", "first")]), (2, [("A", INST), ("B", DRAFT)])]
+
+
 def test_flagship_and_registry(spark):
     import __spark_entry__ as entry
 
