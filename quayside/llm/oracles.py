@@ -3,7 +3,7 @@
 MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id AS id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS source_docs FROM d GROUP BY source),
 p AS (SELECT *, (row_number() OVER (ORDER BY encode(source) ASC NULLS LAST) - 1)::BIGINT AS place, source_size * 3 AS cap FROM s),
 w AS (SELECT *, (place % 3 + 1)::DOUBLE AS w FROM p),
 l AS (
@@ -12,23 +12,32 @@ l AS (
   FROM w WINDOW o AS (ORDER BY cap / w, place)),
 v AS (SELECT arg_min(level, turn) AS level FROM l WHERE level * w <= cap),
 t AS (
-  SELECT source AS s, source_size, least(cap::DOUBLE, coalesce(v.level * w, cap::DOUBLE)) AS target FROM l LEFT JOIN v ON true),
+  SELECT source AS s, source_size, source_docs, least(cap::DOUBLE, coalesce(v.level * w, cap::DOUBLE)) AS target FROM l LEFT JOIN v ON true),
 c AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12) ELSE 0 END::BIGINT AS certain FROM t),
 e AS (SELECT *, greatest(0.0::DOUBLE, target - certain * source_size) AS "open" FROM c),
 q AS (
   SELECT d.*, e.source_size, e.target, e.certain, e."open",
-    least(greatest(CASE WHEN e.source_size > 0 THEN e."open" / e.source_size ELSE 0 END, 1e-9::DOUBLE), (1 - 1e-9)::DOUBLE) AS p,
+    least(greatest(CASE WHEN e.source_size > 0 THEN e."open" / e.source_size * least(greatest(size * source_docs / e.source_size, 0.5::DOUBLE), 2.0::DOUBLE) ELSE 0 END, 1e-9::DOUBLE), (1 - 1e-9)::DOUBLE) AS p,
     (('0x' || substr(md5('29:' || coalesce(id::VARCHAR, '')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
   FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.s),
-r AS (SELECT *, (u / (1 - u)) / (p / (1 - p)) AS q FROM q),
-k AS (
-  SELECT *, CASE WHEN "open" >= sum(size) OVER (PARTITION BY source) THEN "open" > 0
-      ELSE sum(size) OVER (PARTITION BY source ORDER BY q, id, size ROWS UNBOUNDED PRECEDING) <= "open" END AS kept FROM r),
-g AS (SELECT source AS s, max("open") - sum(CASE WHEN kept THEN size ELSE 0 END) AS gap FROM k GROUP BY source),
+r0 AS (SELECT *, (u / (1 - u)) / (p / (1 - p)) AS q, false AS kept FROM q),
+f1 AS (SELECT *, max("open") OVER w - sum(CASE WHEN kept THEN size ELSE 0 END) OVER w AS room FROM r0 WINDOW w AS (PARTITION BY source)),
+r1 AS MATERIALIZED (
+  SELECT * EXCLUDE (kept, room), kept OR (room > 0 AND size <= room AND
+    sum(CASE WHEN NOT kept AND size <= room THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q, id, size ROWS UNBOUNDED PRECEDING) <= room) AS kept FROM f1),
+f2 AS (SELECT *, max("open") OVER w - sum(CASE WHEN kept THEN size ELSE 0 END) OVER w AS room FROM r1 WINDOW w AS (PARTITION BY source)),
+r2 AS MATERIALIZED (
+  SELECT * EXCLUDE (kept, room), kept OR (room > 0 AND size <= room AND
+    sum(CASE WHEN NOT kept AND size <= room THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q, id, size ROWS UNBOUNDED PRECEDING) <= room) AS kept FROM f2),
+f3 AS (SELECT *, max("open") OVER w - sum(CASE WHEN kept THEN size ELSE 0 END) OVER w AS room FROM r2 WINDOW w AS (PARTITION BY source)),
+r3 AS MATERIALIZED (
+  SELECT * EXCLUDE (kept, room), kept OR (room > 0 AND size <= room AND
+    sum(CASE WHEN NOT kept AND size <= room THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q, id, size ROWS UNBOUNDED PRECEDING) <= room) AS kept FROM f3),
+g AS (SELECT source AS s, max("open") - sum(CASE WHEN kept THEN size ELSE 0 END) AS gap FROM r3 GROUP BY source),
 x AS (
   SELECT source AS s, arg_min(id, struct_pack(a := abs(gap - size), b := q, c := id)) AS extra
-  FROM k JOIN g ON k.source IS NOT DISTINCT FROM g.s WHERE NOT kept AND abs(gap - size) < gap AND certain < 3 GROUP BY source)
+  FROM r3 JOIN g ON r3.source IS NOT DISTINCT FROM g.s WHERE NOT kept AND abs(gap - size) < gap AND certain < 3 GROUP BY source)
 SELECT id AS doc_id, size, source_size, target, size * (certain + CASE WHEN kept OR coalesce(id = extra, false) THEN 1 ELSE 0 END)::BIGINT AS taken,
   source, (certain + CASE WHEN kept OR coalesce(id = extra, false) THEN 1 ELSE 0 END)::INTEGER AS copies
-FROM k LEFT JOIN x ON k.source IS NOT DISTINCT FROM x.s
+FROM r3 LEFT JOIN x ON r3.source IS NOT DISTINCT FROM x.s
 """
