@@ -3,10 +3,11 @@
 Texts have A-Z lower-cased; words are runs of letters, digits and characters beyond ASCII.  Base labels
 come from places where a phrase's words stand one after another.
 
-The method adds labels of its own from licence templates.  The inverse document frequency of every
+The method adds labels of its own from licence templates: one-line notices and whole licence texts.  The inverse document frequency of every
 template word is counted over all texts.  A text is looked up by each template's ``LOOKUP`` words of
 highest IDF: each place of such a word and each posting (template, place) of the word
-vote for a start of the template in the text, and starts within ``DRIFT`` words join.  Where the words
+vote for a start of the template in the text, and starts within ``DRIFT`` words join (a twelfth of the words
+of a long template).  Where the words
 found carry ``SHARE`` of the template's rare weight (the IDF of its ``LOOKUP`` highest words), the
 template's mandatory key phrases are looked for in the words that it would cover; with all of them there,
 the label counts.  ``score`` is the greatest such share of any template that is found, 1 if only base
@@ -57,6 +58,61 @@ TEMPLATES = [
     ("cc-notice", "licensed under a creative commons attribution 4 0 international license", ["creative commons attribution"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software", "public domain"]),
 ]
+#: Whole licence texts, fixed values: label, words, mandatory key phrases.
+WHOLE = [
+    ("mit-text", """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software
+to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the
+software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall
+be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited
+to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim
+damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software""",
+     ["permission is hereby granted", "the software is provided as is"]),
+    ("bsd-2-clause-text", """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1
+redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce
+the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is
+provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and
+fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or
+consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on
+any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of
+the possibility of such damage""",
+     ["redistributions of source code must retain", "redistributions in binary form must reproduce"]),
+    ("bsd-3-clause-text", """redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation
+and or other materials provided with the distribution 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission""",
+     ["endorse or promote products", "prior written permission"]),
+    ("isc-text", """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice
+and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied
+warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting
+from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software""",
+     ["with or without fee", "the author disclaims all warranties"]),
+    ("zlib-text", """this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of
+this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the
+following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product
+an acknowledgment in the product documentation would be appreciated but is not required 2 altered source versions must be plainly marked as such and must not be misrepresented
+as being the original software 3 this notice may not be removed or altered from any source distribution""",
+     ["must not be misrepresented", "altered source versions"]),
+    ("boost-text", """permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this
+license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom
+the software is furnished to do so all subject to the following""",
+     ["prepare derivative works of the software"]),
+    ("unlicense-text", """this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software
+either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or
+authors of this software dedicate any and all copyright interest in the software to the public domain""",
+     ["free and unencumbered software", "copyright interest in the software"]),
+    ("gpl-header", """this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software
+foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without
+even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu
+general public license along with this program if not see https www gnu org licenses""",
+     ["free software foundation", "in the hope that it will be useful"]),
+    ("apache-header", """licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the
+license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is
+basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license""",
+     ["apache license", "unless required by applicable law or agreed to in writing"]),
+    ("mpl-header", """this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at
+https mozilla org mpl 2 0""",
+     ["mozilla public license", "a copy of the mpl was not distributed"]),
+]
+TEMPLATES += WHOLE
 VOCABULARY = sorted({w for _, text, keys in TEMPLATES for part in (text, *keys) for w in part.split()} | {w for x in BASE for w in x.split()})
 NUMBER = {w: i for i, w in enumerate(VOCABULARY)}
 
@@ -138,7 +194,8 @@ class Index:
             order = np.lexsort((word, starts))
             starts, word = starts[order], word[order]
             first = np.flatnonzero(np.append(True, starts[1:] != starts[:-1])) if len(starts) else np.zeros(0, np.int64)
-            end = np.searchsorted(starts, starts[first] + DRIFT, side="right")
+            drift = max(DRIFT, self.length[t] // 12)
+            end = np.searchsorted(starts, starts[first] + drift, side="right")
             # repeated words count here, so that nothing is passed over that reaches the share
             upto = np.append(0.0, np.cumsum(self.share[word, t]))
             for k in np.flatnonzero(upto[end] - upto[first] >= SHARE - 1e-9).tolist():
@@ -146,7 +203,7 @@ class Index:
                 if share < SHARE - 1e-12 or share <= score and TEMPLATES[t][0] in labels:
                     continue
                 start = int(starts[first[k]])
-                window = number[max(0, start - DRIFT) : start + self.length[t] + 2 * DRIFT]
+                window = number[max(0, start - drift) : start + self.length[t] + 2 * drift]
                 if all(len(places(window, key)) for key in self.keys[t]):
                     labels.add(TEMPLATES[t][0])
                     score = max(score, min(1.0, float(share)))

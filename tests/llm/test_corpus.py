@@ -191,6 +191,16 @@ def test_mix_targets_and_sample(spark):
     assert sorted((x["doc_id"], x["taken"]) for x in rows) == sorted((x["doc_id"], x["taken"]) for x in again)
 
 
+def test_mix_goes_past_a_document_that_does_not_fit(spark):
+    texts = [prose(1, 20_000)] + [prose(i, 10) for i in range(2, 1002)] + [prose(5000 + i, 10) for i in range(2000)]
+    sources = {i: "a" if i < 1001 else "b" for i in range(3001)}
+    rows = pareto_mix.mix(documents(spark, texts, sources=sources), F.when(F.col("source") == "a", 0.3).otherwise(0.7)).collect()
+    took = {s: sum(r["taken"] for r in rows if r["source"] == s) for s in "ab"}
+    target = {r["source"]: r["target"] for r in rows}
+    assert math.isclose(target["a"], 15_000) and took["a"] == 10_000  # all short ones; the long one would be 5,000 too much
+    assert abs(took["b"] - target["b"]) <= 10
+
+
 def test_mix_edges(spark):
     assert pareto_mix.mix(odd(spark), pareto_mix.repeating_weight()).count() == len(EDGES) + 3
     assert pareto_mix.mix(odd(spark).limit(0), pareto_mix.repeating_weight()).count() == 0
@@ -514,6 +524,20 @@ def test_licences_of_long_texts(spark):
     assert all(label in got[i]["labels"].split(",") for i, (label, _, _) in enumerate(licence_scan.TEMPLATES, 1))
 
 
+def test_edited_whole_licences(spark):
+    texts = []
+    for i, (_, text, keys) in enumerate(licence_scan.WHOLE):
+        w, fixed = text.split(), {x for k in keys for x in k.split()}
+        r = random.Random(i)
+        for _ in range(len(w) // 30):  # words left out or put in outside of the key phrases
+            k = r.choice([k for k in range(len(w) - 1) if not fixed & {w[k], w[k + 1]}])
+            w[k : k + 1] = [w[k], "indeed"] if r.random() < 0.5 else []
+        texts.append(prose(i, 200) + "\n" + " ".join(w) + "\n" + prose(900 + i, 50))
+    got = {r["doc_id"]: r["labels"].split(",") for r in licence_scan.scan(documents(spark, texts + [prose(i, 80) for i in range(100)])).collect()}
+    assert sum(label in got[i] for i, (label, _, _) in enumerate(licence_scan.WHOLE)) >= len(licence_scan.WHOLE) - 1
+    assert all(got[i] == [""] for i in range(len(texts), len(texts) + 100))
+
+
 # -- 9
 
 
