@@ -121,11 +121,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Both sides of the two joins below are dealt out once, by the same exchange.
     base = d.select("id", "tie", "text").repartition("id", "tie")
     heads = base.join(wants, (F.col("id") == F.col("next_id")) & (F.col("tie") == F.col("next_tie")))
-    heads = heads.select("of", "of_tie", "m", F.substring("text", F.lit(1), F.col("m").cast("int")).alias("head"), anchors(F.col("text")).alias("next_print"))
+    # the whole next text travels: its anchors, of eight bytes that don't compress, would be more
+    heads = heads.select("of", "of_tie", "m", F.col("text").alias("next_text"))
     heads = heads.dropDuplicates(["of", "of_tie"])
     e = base.join(heads, (F.col("id") == F.col("of")) & (F.col("tie") == F.col("of_tie")))
     n = F.length("text")
-    e = e.select("id", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), (n - F.col("m")).cast("int")), "head").alias("edited"), anchors(F.col("text")).alias("print"), "next_print")
+    e = e.select("id", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), (n - F.col("m")).cast("int")), F.substring("next_text", F.lit(1), F.col("m").cast("int"))).alias("edited"), anchors(F.col("text")).alias("print"), anchors(F.col("next_text")).alias("next_print"))
     e = e.withColumn("edited_print", anchors(F.col("edited")))
     return e.select(
         F.when(F.col("id") != none, F.col("id")).alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
