@@ -134,19 +134,26 @@ def reg_and_phone(docs: DataFrame, style: str = "docx") -> DataFrame:
     return _scanned(docs, rows, "ocr" if style == "image" else None)
 
 
-def without_contacts(raw: Column, text: Column) -> Column:
-    """Lines that aren't a phone line and don't hold the text's registration number."""
-    number = trim(F.regexp_extract(text, R.REGISTRATION, 0))
+def printed_number(text: Column) -> Column:
+    """The first registration number as a text prints it, with its brackets, or ''."""
+    return trim(F.regexp_extract(text, R.REGISTRATION, 0))
+
+
+def without_contacts(raw: Column, number: Column) -> Column:
+    """Lines that aren't a phone line and don't hold the registration number ``number``."""
     kept = F.filter(F.split(raw, "\n"), lambda x: ~trim(x).rlike(R.PHONE_LINE) & ~((number != "") & F.contains(x, number)))
     return trim(F.array_join(kept, "\n"))
 
 
 def clean_party(fields: DataFrame, docs: DataFrame, keys: tuple[str, ...] = ("consignee",)) -> DataFrame:
-    """Party names without contact lines; a value of which nothing would be left stays."""
-    texts = docs.select(*KEY, F.col("text").alias("_text"))
-    cut = without_contacts(F.col("raw"), F.col("_text"))
+    """Party names without contact lines; a value of which nothing would be left stays.
+
+    What is joined to a document's fields is its registration number, not its text.
+    """
+    numbers = docs.select(*KEY, printed_number(F.col("text")).alias("_number"))
+    cut = without_contacts(F.col("raw"), F.col("_number"))
     raw = F.when(F.col("field_key").isin(*keys) & (cut != ""), cut).otherwise(F.col("raw"))
-    return fields.join(texts, KEY).withColumn("raw", raw).drop("_text")
+    return fields.join(numbers, KEY).withColumn("raw", raw).drop("_number")
 
 
 def goods_names(raw: Column) -> Column:

@@ -367,7 +367,7 @@ def q3_box_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT c_custkey AS shipment_id, s AS shift, 0::BIGINT AS n_changed, '' AS changed FROM customer, (VALUES (1), (2), (3)) v(s)")
 def q2_drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shifts = spark.createDataFrame([(1, 3.0, "page"), (2, -6.0, "page"), (3, 7.8, "consignee")], "shift int, dy double, scope string")
+    shifts = [(1, 3.0, "page"), (2, -6.0, "page"), (3, 7.8, "consignee")]
     return Q.drift_report(*pages(spark, sf_dir), shifts).select("shipment_id", "shift", "n_changed", "changed")
 
 
