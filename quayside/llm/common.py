@@ -219,8 +219,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest id reachable over undirected edges; only nodes with edges.
 
     Alternates large-star and small-star steps.  Each takes a minimum by key (summed before the
-    shuffle) and joins it back.  The minima are stored, so that both sides of such a join are dealt out
-    for it alone and the rows of a node with very many neighbours can be split at run time.
+    shuffle) and joins it back.  The minima are stored; a node with very many neighbours meets its
+    minimum where its rows are (``join_hot``), so that no task gets all of them.
     """
     cur = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi > lo").distinct()
     cur = shared_table(cur)
@@ -235,8 +235,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         both = cur.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             cur.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
-        low = shared_table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+        low = shared_table(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = join_hot(both.where("v > u"), low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         large = shared_table(large.unionByName(low.where("m < u").select(F.col("u").alias("hi"), F.col("m").alias("lo"))).distinct())
         least = shared_table(large.groupBy("hi").agg(F.min("lo").alias("m")))
         small = (
