@@ -101,6 +101,17 @@ def with_rows(docs: DataFrame, id_col: str, payload: str, name: str) -> tuple[Da
     return found.select(*(keyed[c] for c in docs.columns), name), False
 
 
+def in_order(rows: DataFrame, *by: str, name: str = "_at") -> DataFrame:
+    """``rows`` with their place, from 0 without gaps, in the order of ``by``: each range is numbered by itself,
+    after the sizes of the ranges before it.  The ranges are stored; what is broadcast has one row for each of them."""
+    cut = shared_table(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_m", F.monotonically_increasing_id()))
+    part, within = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = cut.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    found = cut.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return found.select(*rows.columns, (F.col("_before") + within).alias(name))
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with columns _0, _1, ..., so that no name clashes with an operator's own."""
     return docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))

@@ -41,3 +41,52 @@ SELECT id AS doc_id, size, source_size, target, size * (certain + CASE WHEN kept
   source, (certain + CASE WHEN kept OR coalesce(id = extra, false) THEN 1 ELSE 0 END)::INTEGER AS copies
 FROM r3 LEFT JOIN x ON r3.source IS NOT DISTINCT FROM x.s
 """
+
+MANIFEST_SQL = r"""
+WITH RECURSIVE told AS (
+  SELECT doc_id AS id, coalesce('=' || source, '') AS grp,
+    coalesce(octet_length(encode(doc_id::VARCHAR))::VARCHAR || ':' || doc_id::VARCHAR, '-') || coalesce(octet_length(encode(source))::VARCHAR || ':' || source, '-')
+      || coalesce(octet_length(encode(lang))::VARCHAR || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR))::VARCHAR || ':' || n_chars::VARCHAR, '-') AS head,
+    text,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))) AS crc
+  FROM documents),
+leaf AS (
+  SELECT id, grp, sha256(head || coalesce(octet_length(encode(text))::VARCHAR || ':' || text, '-')) AS leaf,
+    sha256(head || CASE WHEN text IS NULL THEN '-' WHEN (xor(crc, 4294967295) & 1) = 0
+      THEN octet_length(encode(replace(text, chr(10), '')))::VARCHAR || ':' || replace(text, chr(10), '') ELSE octet_length(encode(text))::VARCHAR || ':' || text END) AS now
+  FROM told),
+placed AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM leaf),
+low AS (
+  SELECT grp, 0 AS level, pos, n, leaf AS node FROM placed
+  UNION ALL
+  SELECT grp, level + 1, pos // 3, (n + 2) // 3, sha256(node || coalesce(second, '') || coalesce(third, '')) FROM (
+    SELECT *, lead(node) OVER run AS second, lead(node, 2) OVER run AS third, row_number() OVER run AS slot FROM low WHERE n > 1
+    WINDOW run AS (PARTITION BY grp, level, pos // 3 ORDER BY pos)) WHERE slot = 1),
+subs AS (SELECT grp, node AS subroot, row_number() OVER (ORDER BY encode(grp)) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS level, pos, n, subroot AS node FROM subs
+  UNION ALL
+  SELECT level + 1, pos // 3, (n + 2) // 3, sha256(node || coalesce(second, '') || coalesce(third, '')) FROM (
+    SELECT *, lead(node) OVER run AS second, lead(node, 2) OVER run AS third, row_number() OVER run AS slot FROM high WHERE n > 1
+    WINDOW run AS (PARTITION BY level, pos // 3 ORDER BY pos)) WHERE slot = 1),
+low_links AS (
+  SELECT a.grp, a.level, a.pos, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS "left", coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS "right"
+  FROM low a JOIN low b ON a.grp = b.grp AND a.level = b.level AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY ALL),
+high_links AS (
+  SELECT a.level, a.pos, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS "left", coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS "right"
+  FROM high a JOIN high b ON a.level = b.level AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY ALL),
+steps AS (
+  SELECT p.grp, p.pos, l.level, l."left", l."right" FROM placed p JOIN low_links l ON p.grp = l.grp AND l.pos = p.pos // power(3, l.level)::BIGINT
+  UNION ALL
+  SELECT p.grp, p.pos, 1000 + h.level, h."left", h."right" FROM placed p JOIN subs s USING (grp) JOIN high_links h ON h.pos = s.pos // power(3, h.level)::BIGINT),
+paths AS (SELECT grp, pos, list({'l': "left", 'r': "right"} ORDER BY level) AS path FROM steps GROUP BY grp, pos),
+done AS (
+  SELECT p.id, p.leaf, s.subroot, (SELECT node FROM high WHERE n = 1) AS root, coalesce(q.path, []) AS path, p.now
+  FROM placed p JOIN subs s USING (grp) LEFT JOIN paths q ON p.grp = q.grp AND p.pos = q.pos),
+folded AS (
+  SELECT *, list_reduce(list_prepend({'l': now, 'r': ''}, path), lambda a, x: {'l': sha256(x.l || a.l || x.r), 'r': ''}).l AS folded_root FROM done)
+SELECT id AS doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda x: x.l || x.r), '')) AS proof_sha256, folded_root,
+  folded_root = root AS verified, len(path)::INTEGER AS levels
+FROM folded
+"""

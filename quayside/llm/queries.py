@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quayside.llm import (
-    compact_windows, cross_entropy, dart_minhash, language_id, licence_scan, pareto_mix, piece_codec, subspace_join, syncmers, url_filter,
+    compact_windows, cross_entropy, dart_minhash, language_id, licence_scan, merkle_manifest, pareto_mix, piece_codec, reshard, subspace_join, syncmers,
+    token_alignment, url_filter,
 )
-from quayside.llm.oracles import MIX_SQL
+from quayside.llm.oracles import MANIFEST_SQL, MIX_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,11 +69,29 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified, levels of every document."""
+    return merkle_manifest.verified(table(spark, sf_dir, "documents"), merkle_manifest.newlines_deleted())
+
+
+def op12_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard, moved: from 12 shards by source to 16 of equal bytes."""
+    old = F.pmod(F.crc32(F.col("source").cast("binary")), F.lit(reshard.OLD_SHARDS))
+    out = reshard.reshard(table(spark, sf_dir, "documents"), old)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, n_overlaps, n_best, count_sum, groups_sha256 of every document."""
+    return token_alignment.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_piece_codec, op2_cross_entropy, op3_pareto_mix, op4_subspace_join, op5_compact_windows,
         op6_syncmers, op7_url_filter, op8_licence_scan, op9_language_id, op10_dart_minhash,
+        op11_merkle_manifest, op12_flow_reshard, op13_token_alignment,
     )
 }
-ORACLE_SQL = {"op3_pareto_mix": MIX_SQL}
+ORACLE_SQL = {"op3_pareto_mix": MIX_SQL, "op11_merkle_manifest": MANIFEST_SQL}
