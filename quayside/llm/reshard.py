@@ -215,10 +215,10 @@ def commit_files(spark: SparkSession, root: str, files: dict[str, int]) -> None:
 
 
 def write_shards(docs: DataFrame, shard: str, root: str, keep: dict[str, int] | None = None) -> dict[str, int]:
-    """Write ``docs`` as files of their shards below ``root`` and commit them, with the files to ``keep``, as a generation."""
+    """Write ``docs``, without the column ``shard``, as files of their shards below ``root`` and commit them, with the files to ``keep``, as a generation."""
     spark = docs.sparkSession
     folder = f"data-{uuid.uuid4().hex}"
-    docs.withColumn("_shard", F.col(shard)).sortWithinPartitions("_shard").write.partitionBy("_shard").parquet(f"{root}/{folder}")
+    docs.withColumn("_shard", F.col(shard)).drop(shard).sortWithinPartitions("_shard").write.partitionBy("_shard").parquet(f"{root}/{folder}")
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{folder}")
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     files = dict(keep or {})
