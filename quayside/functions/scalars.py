@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,12 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def literal_map(pairs: dict[str, str]) -> Column:
+    """A map of fixed texts, as one parsed expression: a call for each entry would cost more than the job's planning."""
+    text = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr("map(" + ", ".join(f"{text(k)}, {text(v)}" for k, v in pairs.items()) + ")")
+
+
 def trim(c: Column | str) -> Column:
     """Without outer white space of any kind."""
     return F.regexp_replace(col(c), rf"^{R.WS}+|{R.WS}+\z", "")
@@ -34,13 +42,20 @@ def norm_phone(c: Column | str) -> Column:
 
 
 def plain_number(x: Column) -> Column:
-    """A double as its shortest decimal text, rounded to three places with ties upwards."""
-    fixed = (F.floor(x * 1000 + 0.5).cast("decimal(38,0)") / 1000).cast("decimal(38,3)").cast("string")
-    return F.regexp_replace(F.regexp_replace(fixed, r"\.?0+$", ""), "^-0$|^$", "0")
+    """A double as its shortest decimal text, rounded to three places with ties upwards; from 1e21 on with an exponent.
+
+    Where a thousandth of it can't be told any more, the double itself is the value.
+    """
+    tidy = lambda c: F.regexp_replace(F.regexp_replace(c.cast("string"), r"\.?0+$", ""), "^-0$|^$", "0")
+    fixed = (F.floor(x * 1000 + 0.5).cast("decimal(38,0)") / 1000).cast("decimal(38,3)")
+    large = x * 1000 / 1000
+    powered = F.regexp_replace(F.regexp_replace(large.cast("string"), r"\.0E", "E"), "E", "e+")
+    size = F.abs(x)
+    return F.when(size < 9e12, tidy(fixed)).when(size < 1e21, tidy(large.try_cast("decimal(38,3)"))).when(size < float("inf"), powered)
 
 
 def norm_number(c: Column | str) -> Column:
-    """The first number, canonical; null without one."""
+    """The first number, canonical; null without one, or if no double can hold it."""
     found = F.regexp_extract(F.translate(col(c), ",", ""), r"-?[0-9]+(?:\.[0-9]+)?", 0)
     return F.when(found != "", plain_number(found.try_cast("double")))
 
@@ -51,7 +66,7 @@ def norm_packages(c: Column | str, units: dict[str, str] = R.UNITS) -> Column:
     text = F.upper(col(c))
     count, unit = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
     digits = F.regexp_replace(F.regexp_replace(F.translate(count, ",", ""), "^0+", ""), "^$", "0")
-    known = F.create_map(*(F.lit(x) for pair in units.items() for x in pair))
+    known = literal_map(units)
     return F.when(unit != "", F.concat_ws(" ", digits, F.coalesce(F.try_element_at(known, unit), unit)))
 
 
@@ -68,7 +83,7 @@ def norm_list(c: Column | str, separators: str | None = None) -> Column:
 
 def port_map(ports: list[list[str]]) -> Column:
     pairs = {"".join(ch for ch in alias.upper() if ch.isascii() and ch.isalnum()): group[0] for group in ports for alias in group}
-    return F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair))
+    return literal_map(pairs)
 
 
 def canonical_port(c: Column | str, ports: list[list[str]] = R.PORTS) -> Column:
@@ -80,7 +95,7 @@ def canonical_port(c: Column | str, ports: list[list[str]] = R.PORTS) -> Column:
 
 def same_port(x: Column, y: Column) -> Column:
     """Whether one of two canonical names is a terminal of the other."""
-    inside = F.create_map(*(F.lit(v) for pair in R.TERMINALS.items() for v in pair))
+    inside = literal_map(R.TERMINALS)
     return F.coalesce((F.try_element_at(inside, x) == y) | (F.try_element_at(inside, y) == x), F.lit(False))
 
 
@@ -140,34 +155,56 @@ def find_emails(c: Column | str) -> Column:
 
 def label_for(key: Column | str) -> Column:
     """A field's label, or its key in words."""
-    known = F.create_map(*(F.lit(x) for pair in R.LABEL.items() for x in pair))
+    known = literal_map(R.LABEL)
     spaced = F.trim(F.lower(F.regexp_replace(col(key), "([A-Z])", " $1")))
     return F.coalesce(F.try_element_at(known, col(key)), F.concat(F.upper(F.substring(spaced, 1, 1)), F.substring(spaced, F.lit(2), F.length(spaced))))
 
 
+#: Stands between the groups of a label match; no label has it.
+_MARK = "\x01"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it, inside other lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def first_label(c: Column | str, same_line: bool = True, labels: list[tuple[str, str]] = R.LABELS) -> Column:
+    """(key, rest): the field whose label begins the trimmed text, and the text after the label and an optional colon.
+
+    One match finds both.  The labels are the groups of one alternation, which tries them in their declared order; the match is
+    replaced by all groups with a mark between them, so the number of marks before the label is the label's number.
+    Without a label both are null.
+    """
+    gap = R.WS_LINE if same_line else R.WS
+    n = len(labels)
+    one_of = "|".join(f"({pattern})" for _, pattern in labels)
+    pattern = rf"(?i)^(?:(?:{one_of}){gap}*[:：]?{gap}*([\s\S]*)|[\s\S]*)\z"
+    told = F.regexp_replace(trim(c), pattern, _MARK.join(f"${k}" for k in range(1, n + 2)))
+    names = F.array(*(F.lit(key) for key, _ in labels))
+
+    def taken(told: Column) -> Column:
+        label = F.ltrim(told, F.lit(_MARK))
+        number = F.length(told) - F.length(label)
+        rest = F.substring(label, F.instr(label, _MARK) + n - number, F.length(label))
+        return F.when(label != "", F.struct(F.element_at(names, number + 1).alias("key"), trim(rest).alias("rest")))
+
+    return let(told, taken)
+
+
 def classify_label(c: Column | str, labels: list[tuple[str, str]] = R.LABELS) -> Column:
     """The field whose label begins the text; null if none does."""
-    text = trim(c)
-    out = None
-    for key, pattern in labels:
-        fits = text.rlike(rf"(?i)^(?:{pattern})")
-        out = F.when(fits, key) if out is None else out.when(fits, key)
-    # one test for all labels first: most lines have none
-    return F.when(text.rlike("(?i)^(?:" + "|".join(f"(?:{p})" for _, p in labels) + ")"), out)
+    return first_label(c, labels=labels)["key"]
 
 
-def is_label(c: Column | str) -> Column:
-    return classify_label(c).isNotNull()
+def is_label(c: Column | str, labels: list[tuple[str, str]] = R.LABELS) -> Column:
+    return trim(c).rlike("(?i)^(?:" + "|".join(f"(?:{p})" for _, p in labels) + ")")
 
 
 def strip_label(c: Column | str, key: Column | str, same_line: bool = True, labels: list[tuple[str, str]] = R.LABELS) -> Column:
-    """The text after its label and an optional colon."""
-    gap = R.WS_LINE if same_line else R.WS
-    out = None
-    for name, pattern in labels:
-        cut = F.regexp_replace(col(c), rf"(?i)^(?:{pattern}){gap}*[:：]?{gap}*", "")
-        out = F.when(col(key) == name, cut) if out is None else out.when(col(key) == name, cut)
-    return trim(out.otherwise(col(c)))
+    """The text after its label and an optional colon, if its label is that of ``key``; else the text."""
+    found = first_label(c, same_line, labels)
+    return F.coalesce(F.when(found["key"] == col(key), found["rest"]), trim(c))
 
 
 def _marked(markers: list[str]) -> str:

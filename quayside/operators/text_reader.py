@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from quayside import rules as R
 from quayside.functions.scalars import (
-    canonical_port, classify_label, find_emails, find_hs_codes, is_label, label_key, norm_id, strip_label, strip_notes, trim,
+    canonical_port, find_emails, find_hs_codes, first_label, is_label, label_key, let, norm_id, strip_notes, trim,
 )
 
 KEY = ["shipment_id", "side", "doc_seq"]
 FIELD = [*KEY, "field_key", "raw", "where", "source", "file"]
 #: Order in which a document's readings of one key count.
 LABELLED, BARE_PORT, SHAPE, REGISTRATION = 0, 1_000_000_000, 2_000_000_000, 3_000_000_000
+RANKED = "array<struct<field_key:string,raw:string,where:string,rank:bigint>>"
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -26,59 +27,105 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select(*KEY, F.posexplode(F.split("text", "\n")).alias("pos", "text")).select(*KEY, (F.col("pos") + 1).alias("line_no"), "text")
 
 
-def line_entries(lines: DataFrame) -> DataFrame:
-    """Non-blank lines, trimmed, with the number of blank lines that follow."""
-    doc = Window.partitionBy(*KEY)
-    rows = lines.withColumn("text", trim("text")).withColumn("last_no", F.max("line_no").over(doc)).where("text <> ''")
-    after = F.coalesce(F.lead("line_no").over(doc.orderBy("line_no")), F.col("last_no") + 1)
-    return rows.withColumn("gap_after", after - F.col("line_no") - 1).drop("last_no")
+def entries(text: Column) -> Column:
+    """E1 in a document's row: an array of (line_no, text, gap_after): non-blank lines, trimmed, and the blank lines that follow."""
 
+    def gaps(lines: Column) -> Column:
+        kept = F.filter(F.transform(lines, lambda x, i: F.struct((i + 1).alias("line_no"), trim(x).alias("text"))), lambda x: x["text"] != "")
 
-def block_break_gap(entries: DataFrame) -> DataFrame:
-    """(key, break_gap): 2 for double-spaced documents, else 1."""
-    last = F.max("line_no").over(Window.partitionBy(*KEY))
-    inner = entries.withColumn("last_no", last)
-    gap = F.when(F.col("line_no") < F.col("last_no"), F.col("gap_after"))
-    return inner.groupBy(*KEY).agg(
-        F.when((F.count_if(gap == 1) >= F.count(gap) * 0.5) & (F.count_if(gap >= 2) > 0), 2).otherwise(1).alias("break_gap")
-    )
+        def with_gap(kept: Column) -> Column:
+            after = F.concat(F.slice(F.transform(kept, lambda x: x["line_no"]), F.lit(2), F.size(kept)), F.array(F.size(lines) + 1))
+            rows = F.zip_with(kept, after, lambda x, y: F.struct(x["line_no"].alias("line_no"), x["text"].alias("text"), (y - x["line_no"] - 1).alias("gap_after")))
+            return F.slice(rows, F.lit(1), F.size(kept))
 
+        return let(kept, with_gap)
 
-def labelled_blocks(entries: DataFrame, docs: DataFrame) -> DataFrame:
-    """Values of labelled lines and the lines that belong to them, as ranked fields."""
-    doc = Window.partitionBy(*KEY)
-    order = doc.orderBy("line_no")
-    gap = F.when(F.col("line_no") < F.max("line_no").over(doc), F.col("gap_after"))
-    rows = entries.withColumn("gap", gap).withColumn("label", classify_label("text"))
-    wide = (F.count_if(F.col("gap") == 1).over(doc) >= F.count("gap").over(doc) * 0.5) & (F.count_if(F.col("gap") >= 2).over(doc) > 0)
-    rows = rows.withColumn("break_gap", F.when(wide, 2).otherwise(1))
-    # an island starts at a label, or after a break; only a label's island has a value
-    starts = F.col("label").isNotNull() | F.coalesce(F.lag("gap_after").over(order) >= F.col("break_gap"), F.lit(True))
-    rows = rows.withColumn("island", F.sum(starts.cast("int")).over(order))
-    value = F.when(F.col("label").isNotNull(), strip_label("text", "label", same_line=False)).otherwise(F.col("text"))
-    parts = F.array_sort(F.collect_list(F.struct("line_no", value.alias("v"))))
-    head = F.min_by(F.struct("label", "text", "line_no"), "line_no")
-    blocks = rows.groupBy(*KEY, "island").agg(head.alias("h"), parts.alias("parts")).where("h.label is not null")
-    text = F.array_join(F.filter(F.transform("parts", lambda p: p["v"]), lambda v: v != ""), "\n")
-    where = F.concat(F.lit("SI line "), F.col("h.line_no"), F.lit(" ("), trim(F.element_at(F.split("h.text", "[:：]"), 1)), F.lit(")"))
-    found = blocks.select(*KEY, F.col("h.label").alias("field_key"), strip_notes(text).alias("raw"), where.alias("where"), F.col("h.line_no").cast("long").alias("rank"))
-    return _named(found.where("raw <> ''"), docs)
-
-
-def _named(found: DataFrame, docs: DataFrame, source: str | None = None) -> DataFrame:
-    files = docs.select(*KEY, F.col("file_name").alias("file"))
-    return found.join(files, KEY).select(*KEY, "field_key", "raw", "where", F.lit(source).cast("string").alias("source"), "file", "rank")
-
-
-def bare_port_lines(entries: DataFrame, fields: DataFrame, docs: DataFrame) -> DataFrame:
-    """In documents without a discharge port, the first short line that is a port's name fills the destination keys."""
+    return let(F.split(text, "\n"), gaps)
+
+
+def break_gap(rows: Column) -> Column:
+    """E2 in a document's row: how many blank lines end a block: 2 for double-spaced documents, else 1."""
+
+    def judged(gaps: Column) -> Column:
+        single, wide = F.size(F.filter(gaps, lambda g: g == 1)), F.exists(gaps, lambda g: g >= 2)
+        return F.when((single >= F.size(gaps) * 0.5) & wide, 2).otherwise(1)
+
+    # the last line's gap ends the document, not a block
+    return let(F.transform(F.slice(rows, F.lit(1), F.greatest(F.size(rows) - 1, F.lit(0))), lambda x: x["gap_after"]), judged)
+
+
+def blocks(rows: Column) -> Column:
+    """E3 in a document's row: an array of (field_key, raw, where, rank), one for each labelled block with a value.
+
+    A block starts at a label or after a break; only those that start at a label have a value.  Each block is a slice of the lines, so
+    the work is in proportion to the lines.
+    """
+
+    def cut(lines: Column, gap: Column) -> Column:
+        # (line, its label or null, the lines' gap before)
+        before = F.concat(F.array(F.lit(1 << 30)), F.transform(lines, lambda x: x["gap_after"]))
+        marked = F.zip_with(lines, before, lambda x, g: F.struct(x.alias("line"), first_label(x["text"], same_line=False).alias("label"), g.alias("before")))
+        return let(F.slice(marked, F.lit(1), F.size(lines)), lambda marked: sliced(marked, gap))
+
+    def sliced(marked: Column, gap: Column) -> Column:
+        begins = F.filter(F.transform(marked, lambda m, i: F.when(m["label"].isNotNull() | (m["before"] >= gap), i + 1)), lambda i: i.isNotNull())
+
+        def each(begins: Column) -> Column:
+            ends = F.concat(F.slice(begins, F.lit(2), F.size(begins)), F.array(F.size(marked) + 1))
+            spans = F.zip_with(begins, ends, lambda i, j: F.struct(F.element_at(marked, i).alias("head"), F.slice(marked, i + 1, j - i - 1).alias("rest")))
+            spans = F.filter(F.slice(spans, F.lit(1), F.size(begins)), lambda b: b["head"]["label"].isNotNull())
+            return F.transform(spans, valued)
+
+        return F.when(F.size(begins) > 0, let(begins, each)).otherwise(F.array().cast(RANKED))
+
+    def valued(b: Column) -> Column:
+        head = b["head"]
+        parts = F.concat(F.array(head["label"]["rest"]), F.transform(b["rest"], lambda m: m["line"]["text"]))
+        raw = strip_notes(F.array_join(F.filter(parts, lambda v: v != ""), "\n"))
+        where = F.concat(F.lit("SI line "), head["line"]["line_no"], F.lit(" ("), trim(F.element_at(F.split(head["line"]["text"], "[:：]"), 1)), F.lit(")"))
+        return F.struct(head["label"]["key"].alias("field_key"), raw.alias("raw"), where.alias("where"), head["line"]["line_no"].cast("long").alias("rank"))
+
+    return F.filter(let(rows, lambda lines: let(break_gap(lines), lambda gap: cut(lines, gap))), lambda f: f["raw"] != "")
+
+
+def bare_ports(rows: Column, stated: Column) -> Column:
+    """E4 in a document's row: if ``stated`` has no discharge port, the first short line that is a port's name, for each destination key."""
     names = F.array(*(F.lit("".join(ch for ch in a.upper() if ch.isascii() and ch.isalnum())) for group in R.PORTS for a in group))
-    ports = entries.where((F.length("text") <= 40) & F.array_contains(names, norm_id("text")))
-    stated = fields.where("field_key = 'portOfDischarge'").select(*KEY).distinct()
-    first = ports.groupBy(*KEY).agg(F.min(F.struct("line_no", "text")).alias("f")).join(stated, KEY, "left_anti")
-    where = F.concat(F.lit("SI line "), F.col("f.line_no"), F.lit(" (unlabelled port)"))
-    found = first.select(*KEY, F.explode(F.array(*map(F.lit, R.DESTINATION))).alias("field_key"), F.col("f.text").alias("raw"), where.alias("where"), F.lit(BARE_PORT).cast("long").alias("rank"))
-    return _named(found, docs)
+    first = F.get(F.filter(rows, lambda x: (F.length(x["text"]) <= 40) & F.array_contains(names, norm_id(x["text"]))), F.lit(0))
+
+    def named(line: Column) -> Column:
+        where = F.concat(F.lit("SI line "), line["line_no"], F.lit(" (unlabelled port)"))
+        return F.array(*(F.struct(F.lit(k).alias("field_key"), line["text"].alias("raw"), where.alias("where"), F.lit(BARE_PORT).cast("long").alias("rank")) for k in R.DESTINATION))
+
+    lacks = ~F.exists(stated, lambda f: f["field_key"] == "portOfDischarge")
+    return let(F.when(lacks, first), lambda line: F.when(line.isNotNull(), named(line)).otherwise(F.array().cast(RANKED)))
+
+
+def line_entries(docs: DataFrame) -> DataFrame:
+    """(key, line_no, text, gap_after)."""
+    return docs.select(*KEY, F.inline(entries(F.col("text"))))
+
+
+def block_break_gap(docs: DataFrame) -> DataFrame:
+    """(key, break_gap) of documents that have a line."""
+    rows = docs.select(*KEY, entries(F.col("text")).alias("_e")).where(F.size("_e") > 0)
+    return rows.select(*KEY, break_gap(F.col("_e")).alias("break_gap"))
+
+
+def _listed(docs: DataFrame, found: Column, source: Column | None = None) -> DataFrame:
+    """An array of (field_key, raw, where, rank) in each document's row as fields in the long form."""
+    rows = docs.select(*KEY, F.col("file_name").alias("file"), F.inline(found))
+    return rows.select(*KEY, "field_key", "raw", "where", (F.lit(None) if source is None else source).cast("string").alias("source"), "file", "rank")
+
+
+def labelled_blocks(docs: DataFrame) -> DataFrame:
+    """Values of labelled lines and the lines that belong to them, as ranked fields."""
+    return _listed(docs, blocks(entries(F.col("text"))))
+
+
+def bare_port_lines(docs: DataFrame) -> DataFrame:
+    """In documents without a labelled discharge port, the first short line that is a port's name fills the destination keys."""
+    return _listed(docs, let(entries(F.col("text")), lambda rows: bare_ports(rows, blocks(rows))))
 
 
 def line_at(text: Column, pattern: str) -> Column:
@@ -87,29 +134,29 @@ def line_at(text: Column, pattern: str) -> Column:
     return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
 
 
-def shape_scan(docs: DataFrame, style: str = "docx") -> DataFrame:
-    """E5: values known by their shape, anywhere in the text.  Styles: docx, xlsx, image."""
-    shapes = [
+def shapes(style: str = "docx") -> Column:
+    """E5 in a document's row: an array of (field_key, raw, where, rank)."""
+    known = [
         ("grossWeight", R.WEIGHT, "gross weight"), ("measurement", R.VOLUME, "measurement"), ("packages", R.PACKAGES, "packages"),
         ("containerNo", R.CONTAINER, "container no."), ("freightTerms", R.FREIGHT, "freight terms"),
     ]
     if style == "image":  # certificates state weight and packages otherwise
-        shapes = [s for s in shapes if s[0] not in ("grossWeight", "packages")]
+        known = [s for s in known if s[0] not in ("grossWeight", "packages")]
     if style != "docx":
-        shapes.append(("containerType", R.CONTAINER_TYPE, "container type"))
+        known.append(("containerType", R.CONTAINER_TYPE, "container type"))
     rows = []
-    for n, (key, pattern, what) in enumerate(shapes):
+    for n, (key, pattern, what) in enumerate(known):
         raw = trim(F.regexp_extract("text", pattern, 0))
         if key == "containerType":
             raw = F.regexp_replace(F.upper(raw), R.WS, "")
         where = F.concat(F.lit("SI line "), line_at(F.col("text"), pattern), F.lit(f" ({what})")) if style == "docx" else F.concat("file_name", F.lit(f" ({what})"))
         rows.append(F.struct(F.lit(key).alias("field_key"), strip_notes(raw).alias("raw"), where.alias("where"), F.lit(SHAPE + n).cast("long").alias("rank")))
-    return _scanned(docs, rows, "ocr" if style == "image" else None)
+    return F.filter(F.array(*rows), lambda f: f["raw"] != "")
 
 
-def _scanned(docs: DataFrame, rows: list[Column], source: str | None = None) -> DataFrame:
-    found = docs.select(*KEY, F.col("file_name").alias("file"), F.explode(F.array(*rows)).alias("r")).where("r.raw <> ''")
-    return found.select(*KEY, "r.field_key", "r.raw", "r.where", F.lit(source).cast("string").alias("source"), "file", "r.rank")
+def shape_scan(docs: DataFrame, style: str = "docx") -> DataFrame:
+    """E5: values known by their shape, anywhere in the text.  Styles: docx, xlsx, image."""
+    return _listed(docs, shapes(style), F.lit("ocr") if style == "image" else None)
 
 
 def registration(text: Column) -> Column:
@@ -122,8 +169,8 @@ def phone(text: Column) -> Column:
     return trim(F.regexp_extract(text, R.PHONE, 1))
 
 
-def reg_and_phone(docs: DataFrame, style: str = "docx") -> DataFrame:
-    """Registration number and phone of the whole text."""
+def contacts(style: str = "docx") -> Column:
+    """E6 in a document's row: an array of (field_key, raw, where, rank)."""
     text = F.col("text")
     names = ["SI consignee block (registration no.)", "SI consignee block (tel/fax)"]
     where = [F.lit(n) for n in names] if style == "docx" else [F.concat("file_name", F.lit(f" ({n})")) for n in ("registration no.", "tel/fax")]
@@ -131,7 +178,12 @@ def reg_and_phone(docs: DataFrame, style: str = "docx") -> DataFrame:
         F.struct(F.lit(key).alias("field_key"), raw.alias("raw"), w.alias("where"), F.lit(REGISTRATION + n).cast("long").alias("rank"))
         for n, (key, raw, w) in enumerate((("consigneeRegNo", registration(text), where[0]), ("consigneePhone", phone(text), where[1])))
     ]
-    return _scanned(docs, rows, "ocr" if style == "image" else None)
+    return F.filter(F.array(*rows), lambda f: f["raw"] != "")
+
+
+def reg_and_phone(docs: DataFrame, style: str = "docx") -> DataFrame:
+    """Registration number and phone of the whole text."""
+    return _listed(docs, contacts(style), F.lit("ocr") if style == "image" else None)
 
 
 def printed_number(text: Column) -> Column:
@@ -161,15 +213,17 @@ def goods_names(raw: Column) -> Column:
     return F.array_join(F.filter(names, lambda x: x != ""), ", ")
 
 
+def goods_and_codes(key: Column, raw: Column) -> Column:
+    """E8 of one field: an array of (field_key, raw); goods give their names and, if they hold any, their tariff codes."""
+    codes = F.array_join(find_hs_codes(raw), ", ")
+    one = lambda k, v: F.struct(k.alias("field_key"), v.alias("raw"))
+    both = let(codes, lambda c: F.when(c != "", F.array(one(F.lit("goods"), goods_names(raw)), one(F.lit("hsCodes"), c))).otherwise(F.array(one(F.lit("goods"), goods_names(raw)))))
+    return F.when(key == "goods", both).otherwise(F.array(one(key, raw)))
+
+
 def split_goods(fields: DataFrame) -> DataFrame:
     """Tariff codes out of the goods into a field of their own."""
-    goods = F.col("field_key") == "goods"
-    codes = F.array_join(find_hs_codes("raw"), ", ")
-    both = F.array(
-        F.struct(F.lit("goods").alias("field_key"), goods_names(F.col("raw")).alias("raw")), F.struct(F.lit("hsCodes").alias("field_key"), codes.alias("raw")),
-    )
-    one = F.array(F.struct("field_key", "raw"))
-    out = fields.withColumn("_x", F.explode(F.when(goods, both).otherwise(one)))
+    out = fields.withColumn("_x", F.explode(goods_and_codes(F.col("field_key"), F.col("raw"))))
     out = out.withColumns({"field_key": F.col("_x.field_key"), "raw": F.col("_x.raw")}).drop("_x")
     return out.where("field_key <> 'hsCodes' or raw <> ''")
 
@@ -243,12 +297,28 @@ def doc_warnings(docs: DataFrame, fields: DataFrame, style: str = "docx") -> Dat
     return rows.select(*KEY, F.posexplode(F.array_compact(F.array(*lacks, none))).alias("pos", "message"))
 
 
+def text_fields() -> Column:
+    """E1-E8 in a document's row (text, file_name): an array of (field_key, raw, where, rank), the first reading of each key."""
+    text = F.col("text")
+    found = let(entries(text), lambda rows: let(blocks(rows), lambda own: F.concat(own, bare_ports(rows, own), shapes(), contacts())))
+
+    def first_of_each(found: Column, number: Column) -> Column:
+        # in the order of their ranks already
+        keys = F.transform(found, lambda f: f["field_key"])
+        first = let(keys, lambda keys: F.filter(found, lambda f, i: F.array_position(keys, f["field_key"]) == i + 1))
+        return F.flatten(F.transform(first, lambda f: cleaned(f, number)))
+
+    def cleaned(f: Column, number: Column) -> Column:
+        cut = let(without_contacts(f["raw"], number), lambda cut: F.when(cut != "", cut).otherwise(f["raw"]))
+        parts = goods_and_codes(f["field_key"], F.when(f["field_key"] == "consignee", cut).otherwise(f["raw"]))
+        return F.transform(parts, lambda p: F.struct(p["field_key"].alias("field_key"), p["raw"].alias("raw"), f["where"].alias("where"), f["rank"].alias("rank")))
+
+    return let(found, lambda found: let(printed_number(text), lambda number: first_of_each(found, number)))
+
+
 def read_text(docs: DataFrame) -> DataFrame:
-    """E1-E8 together: one row for each field of each text document."""
-    entries = line_entries(lines_of(docs))
-    labelled = labelled_blocks(entries, docs)
-    found = labelled.unionByName(bare_port_lines(entries, labelled, docs)).unionByName(shape_scan(docs)).unionByName(reg_and_phone(docs))
-    return split_goods(clean_party(first_readings(found), docs)).select(*FIELD)
+    """E1-E8 together: one row for each field of each text document, out of the document's own row: no exchange, no join."""
+    return _listed(docs, text_fields()).select(*FIELD)
 
 
 def discover_pairs(docs: DataFrame) -> DataFrame:

@@ -96,8 +96,8 @@ _LINE_LABEL = "CASE line_no WHEN 3 THEN 'consignee' WHEN 8 THEN CASE WHEN k % 2
   CASE line_no WHEN 3 THEN cname || ' SDN. BHD.' WHEN 8 THEN 'WEST PORT' WHEN 10 THEN 'BOLTS 7318.15.00' WHEN 15 THEN 'PREPAID' END AS value
   FROM base, (VALUES (3), (8), (10), (15)) AS l(line_no) WHERE ({_LINE_LABEL}) IS NOT NULL""")
 def n16_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = T.lines_of(D.docs(spark, sf_dir).where("file_name = 'inst.docx'")).withColumn("label", S.classify_label("text"))
-    return lines.where(S.is_label("text")).select("shipment_id", "line_no", "label", S.strip_label("text", "label").alias("value"))
+    lines = T.lines_of(D.docs(spark, sf_dir).where("file_name = 'inst.docx'")).select("shipment_id", "line_no", S.first_label("text").alias("l"))
+    return lines.where("l is not null").select("shipment_id", "line_no", F.col("l.key").alias("label"), F.col("l.rest").alias("value"))
 
 
 @register(f"""{D.cte('docs')} SELECT shipment_id, doc_seq, side, {X.printed('text')} AS printed, trim(regexp_replace({X.printed('text')}, '\\n{{2,}}', chr(10), 'g'), ' ' || chr(10)) AS stripped FROM docs""")
@@ -194,12 +194,12 @@ _LAST = "CASE WHEN k % 31 = 0 OR k % 7 = 0 OR k % 41 = 0 THEN 17 ELSE 16 END"
 @register(f"""{D.cte()} SELECT k AS shipment_id, line_no, CASE WHEN line_no = 16 AND ({_LAST}) = 16 THEN 1 ELSE {_GAPS} END AS gap_after
   FROM base, (SELECT CAST(x AS INT) AS line_no FROM range(1, 18) t(x)) WHERE line_no NOT IN (2, 7, 9, 12) AND line_no <= {_LAST}""")
 def e1_line_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.line_entries(T.lines_of(instructions(spark, sf_dir))).select("shipment_id", "line_no", "gap_after")
+    return T.line_entries(instructions(spark, sf_dir)).select("shipment_id", "line_no", "gap_after")
 
 
 @register("SELECT o_orderkey AS shipment_id, 1 AS break_gap FROM orders o JOIN customer ON o_custkey = c_custkey")
 def e2_block_break_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.block_break_gap(T.line_entries(T.lines_of(instructions(spark, sf_dir)))).select("shipment_id", "break_gap")
+    return T.block_break_gap(instructions(spark, sf_dir)).select("shipment_id", "break_gap")
 
 
 _REG = "'20230100' || lpad((k % 10000)::VARCHAR, 4, '0') || ' / JM' || lpad((k % 1000000)::VARCHAR, 6, '0')"
@@ -227,15 +227,12 @@ _BLOCK = [
 
 @register(planted(_BLOCK))
 def e3_labelled_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = instructions(spark, sf_dir)
-    return T.labelled_blocks(T.line_entries(T.lines_of(docs)), docs).select("shipment_id", "field_key", "raw")
+    return T.labelled_blocks(instructions(spark, sf_dir)).select("shipment_id", "field_key", "raw")
 
 
 @register(planted([(k, "'NORTH PORT'", "k % 2 = 1") for k in R.DESTINATION]))
 def e4_bare_port_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = instructions(spark, sf_dir)
-    entries = T.line_entries(T.lines_of(docs))
-    return T.bare_port_lines(entries, T.labelled_blocks(entries, docs), docs).select("shipment_id", "field_key", "raw")
+    return T.bare_port_lines(instructions(spark, sf_dir)).select("shipment_id", "field_key", "raw")
 
 
 _PLACE = {"grossWeight": "SI line 13 (gross weight)", "measurement": "SI line 13 (measurement)", "packages": "SI line 13 (packages)", "containerNo": "SI line 14 (container no.)", "freightTerms": "SI line 15 (freight terms)"}
@@ -258,7 +255,7 @@ _READ_TEXT = [(k, v if k != "freightTerms" else next(b for n, b, _ in _BLOCK if
 @register(planted([r for r in _READ_TEXT if r[0] in ("consignee", "goods", "hsCodes")]))
 def e7_e8_clean_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = instructions(spark, sf_dir)
-    found = T.first_readings(T.labelled_blocks(T.line_entries(T.lines_of(docs)), docs))
+    found = T.first_readings(T.labelled_blocks(docs))
     out = T.split_goods(T.clean_party(found, docs))
     return out.where("field_key in ('consignee', 'goods', 'hsCodes')").select("shipment_id", "field_key", "raw")
 

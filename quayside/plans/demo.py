@@ -178,13 +178,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str = "k") -> DataFrame:
+    """Rows dealt out by their key to a fixed number of tasks.
+
+    They are a few bytes each, so partitions sized by bytes would be few; what is made of them, a shipment's texts and their reading, costs
+    time.  Whatever is grouped by the same key afterwards stays where it is.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(BASE, **{t: table(spark, sf_dir, t) for t in ("orders", "customer", "lineitem")})
+    return dealt(spark.sql(BASE, **{t: table(spark, sf_dir, t) for t in ("orders", "customer", "lineitem")}))
 
 
 def derived(spark: SparkSession, sf_dir: str, sql: str, of: str = "orders") -> DataFrame:
     """A derived table; the derivation's base is its own query."""
-    rows = base(spark, sf_dir) if of == "orders" else spark.sql(CUSTOMERS, customer=table(spark, sf_dir, "customer"))
+    rows = base(spark, sf_dir) if of == "orders" else dealt(spark.sql(CUSTOMERS, customer=table(spark, sf_dir, "customer")))
     return spark.sql(sql.replace("FROM base", "FROM {base}").replace('"', "`"), base=rows)
 
 
