@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside import rules as R
-from quayside.functions.scalars import find_emails, label_for, norm_text, normalize_for
+from quayside.functions.scalars import find_emails, label_for, literal_map, norm_text, normalize_for
 
 SIDE = ["shipment_id", "side"]
 
@@ -22,7 +22,7 @@ def merge_side(fields: DataFrame) -> DataFrame:
 
 
 def comparator_of(key: Column | str) -> Column:
-    kinds = F.create_map(*(F.lit(x) for pair in R.COMPARATOR.items() for x in pair))
+    kinds = literal_map(R.COMPARATOR)
     return F.coalesce(F.try_element_at(kinds, F.col(key) if isinstance(key, str) else key), F.lit("text"))
 
 

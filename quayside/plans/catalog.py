@@ -19,14 +19,14 @@ from quayside.operators import image_reader as I
 from quayside.operators import merge as M
 from quayside.operators import page_reader as P
 from quayside.operators import quality as Q
-from quayside.operators import review as A
 from quayside.operators import text_reader as T
 from quayside.plans import demo as D
 from quayside.plans import twins as X
-from quayside.plans.reconcile import reconcile
+from quayside.plans.reconcile import answered, compared, concluded, inputs, reconcile, review
 from quayside.sources import intake as N
 from quayside.sources.intake import admit, detect_format
 from quayside.sources.report import assemble_report
+from quayside.sources.shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -532,6 +532,11 @@ def c6_match_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.match_discovered(M.merge_discovered(T.discover_pairs(D.docs(spark, sf_dir)))).select("shipment_id", "label", "verdict", "rank")
 
 
+def read(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The first stage of the derived paperwork: what is derived stands by shipment already."""
+    return inputs(D.docs(spark, sf_dir), D.fields(spark, sf_dir), directives(spark, sf_dir), lambda df: stored(df, dealt=True))
+
+
 _TALLY = f"""{_JUDGED}, {X.CONFLICTS}, {X.DIRECTIVES}, {X.INTERNAL},
 votes AS (SELECT shipment_id, verdict AS v FROM judged UNION ALL SELECT shipment_id, 'violation' FROM directives WHERE verdict = 'violated' UNION ALL SELECT shipment_id, 'violation' FROM internal
   UNION ALL SELECT shipment_id, 'violation' FROM conflicts)"""
@@ -541,8 +546,7 @@ votes AS (SELECT shipment_id, verdict AS v FROM judged UNION ALL SELECT shipment
   count(*) FILTER (v = 'match') AS matches, count(*) FILTER (v = 'violation') AS violations FROM votes GROUP BY shipment_id""")
 def c7_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: for each shipment, how many fields disagree, lack, match, and what is violated."""
-    fields = D.fields(spark, sf_dir)
-    return C.summary(verdicts(spark, sf_dir), checked(spark, sf_dir), internal(spark, sf_dir), M.side_conflicts(fields))
+    return concluded(compared(read(spark, sf_dir)))["summary"]
 
 
 _FOUND = """found AS (SELECT shipment_id, 'conflict' AS kind, label || ' — documents on ' || side || ' disagree with each other' AS title FROM conflicts
@@ -553,9 +557,8 @@ _FOUND = """found AS (SELECT shipment_id, 'conflict' AS kind, label || ' — doc
 
 @register(f"{_TALLY}, {_FOUND} SELECT *, count(*) OVER (PARTITION BY shipment_id) AS total FROM found")
 def c8_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = D.fields(spark, sf_dir)
-    out = C.findings(verdicts(spark, sf_dir), checked(spark, sf_dir), internal(spark, sf_dir), M.side_conflicts(fields))
-    return out.select("shipment_id", "kind", "title", "total")
+    results = {name: stored(df) for name, df in compared(read(spark, sf_dir)).items()}
+    return concluded(results)["findings"].select("shipment_id", "kind", "title", "total")
 
 
 @register(f"{_JUDGED} SELECT shipment_id, ord, label, CASE verdict {' '.join(f'WHEN {X.q(k)} THEN {X.q(v)}' for k, v in R.VERDICT_LABELS.items())} END AS verdict_label FROM judged WHERE verdict <> 'absent_both'")
@@ -579,13 +582,11 @@ def c10_s5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- review
 
-def assessed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(side fields read from the texts, documents, A1's result): the text reader finds nothing in packing lists' headings."""
+def reviewed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The review of the fields read from the texts: the text reader finds nothing in packing lists' headings."""
     docs = D.docs(spark, sf_dir)
-    fields = T.read_text(docs)
     doubt = docs.where("shipment_id % 5 = 0 and doc_seq = 0").select(*KEY, F.lit(0).alias("pos"), F.concat("file_name", F.lit(": no consignee cell found.")).alias("message"))
-    side = M.merge_side(fields)
-    return side, docs, A.assess_side(side, docs, doubt)
+    return review(docs, T.read_text(docs), doubt)
 
 
 _ASSESSED = f"""{D.cte()}, sides AS (SELECT k, 'A' AS side, '' AS missing FROM base UNION ALL SELECT k, 'B', 'consignee,goods,portOfDischarge' FROM base WHERE n > 0)"""
@@ -594,22 +595,21 @@ _ASSESSED = f"""{D.cte()}, sides AS (SELECT k, 'A' AS side, '' AS missing FROM b
 @register(f"""{_ASSESSED} SELECT k AS shipment_id, side, missing, CASE WHEN missing <> '' THEN 'B: rules found no consignee, goods, portOfDischarge.' ELSE '' END || CASE WHEN missing <> '' AND k % 5 = 0 THEN '|' ELSE '' END ||
   CASE WHEN k % 5 = 0 THEN CASE side WHEN 'A' THEN 'A: inst.docx was read with doubt.' ELSE 'B: draft.pdf was read with doubt.' END ELSE '' END AS reasons FROM sides""")
 def a1_assess_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assessed(spark, sf_dir)[2].select("shipment_id", "side", F.array_join("missing", ",").alias("missing"), F.array_join("reasons", "|").alias("reasons"))
+    return reviewed(spark, sf_dir)["assessed"].select("shipment_id", "side", F.array_join("missing", ",").alias("missing"), F.array_join("reasons", "|").alias("reasons"))
 
 
 @register(f"""{_ASSESSED} SELECT k AS shipment_id, side, 1 AS queue_pos, 0 AS doc_seq, CASE WHEN missing <> '' THEN missing ELSE 'consignee,packages,goods' END AS asked FROM sides WHERE missing <> '' OR k % 5 = 0""")
 def a2_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, docs, need = assessed(spark, sf_dir)
-    return A.review_queue(need, docs).select("shipment_id", "side", "queue_pos", "doc_seq", F.array_join("asked", ",").alias("asked"))
+    return reviewed(spark, sf_dir)["queue"].select("shipment_id", "side", "queue_pos", "doc_seq", F.array_join("asked", ",").alias("asked"))
 
 
-def answered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    side, docs, need = assessed(spark, sf_dir)
-    queue = A.review_queue(need, docs)
+def asked(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The review with the responses of a service that is busy for every 11th order."""
+    found = reviewed(spark, sf_dir)
     k = F.col("shipment_id")
     body = F.when(k % 11 != 0, F.concat(F.lit('{"goods": " NUTS\\\\nBOLTS ", "consignee": "", "shipper": "X", "portOfDischarge": "PORT '), k.cast("string"), F.lit('"}')))
-    responses = queue.where("side = 'B'").select("shipment_id", "side", "queue_pos", F.lit("svc").alias("provider"), body.alias("body"), F.when(k % 11 == 0, "busy").alias("error"))
-    return side, docs, need, queue, responses
+    responses = found["queue"].where("side = 'B'").select("shipment_id", "side", "queue_pos", F.lit("svc").alias("provider"), body.alias("body"), F.when(k % 11 == 0, "busy").alias("error"))
+    return found | answered(found, responses)
 
 
 _ANSWERS = "FROM base WHERE n > 0 AND k % 11 <> 0"
@@ -617,26 +617,20 @@ _ANSWERS = "FROM base WHERE n > 0 AND k % 11 <> 0"
 
 @register(f"""{D.cte()} SELECT k AS shipment_id, 'goods' AS field_key, 'NUTS' || chr(92) || 'nBOLTS' AS raw {_ANSWERS} UNION ALL SELECT k, 'portOfDischarge', 'PORT ' || k::VARCHAR {_ANSWERS}""")
 def a3_parse_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, _, queue, responses = answered(spark, sf_dir)
-    return A.parse_answers(responses, queue).select("shipment_id", "field_key", "raw")
+    return asked(spark, sf_dir)["answers"].select("shipment_id", "field_key", "raw")
 
 
 @register(f"""{D.cte()} SELECT k AS shipment_id, 'goods' AS field_key, 'NUTS' || chr(10) || 'BOLTS' AS raw, 'llm' AS source {_ANSWERS} UNION ALL SELECT k, 'portOfDischarge', 'PORT ' || k::VARCHAR, 'llm' {_ANSWERS}
   UNION ALL SELECT k, 'goods', 'BOLTS, NUTS', NULL FROM base UNION ALL SELECT k, 'portOfDischarge', CASE WHEN k % 2 = 0 THEN 'WEST PORT' ELSE 'NORTH PORT' END, NULL FROM base""")
 def a4_fill_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    side, _, _, queue, responses = answered(spark, sf_dir)
-    out = A.fill_gaps(side, A.parse_answers(responses, queue), queue)
-    return out.where("field_key in ('goods', 'portOfDischarge')").select("shipment_id", "field_key", "raw", "source")
+    return asked(spark, sf_dir)["filled"].where("field_key in ('goods', 'portOfDischarge')").select("shipment_id", "field_key", "raw", "source")
 
 
 @register(f"""{D.cte()} SELECT k AS shipment_id, n > 0 AND k % 11 <> 0 AS used, CASE WHEN n > 0 THEN 'svc' ELSE 'none' END AS provider, CASE WHEN n > 0 AND k % 11 <> 0 THEN 'draft.pdf' ELSE '' END AS docs,
   CASE WHEN n > 0 AND k % 11 <> 0 THEN 'draft.pdf: goods|draft.pdf: portOfDischarge' ELSE '' END AS filled, (CASE WHEN n = 0 AND k % 5 <> 0 THEN 1 ELSE 0 END + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END +
   CASE WHEN n > 0 THEN 1 ELSE 0 END + CASE WHEN n > 0 AND k % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN n > 0 AND k % 11 = 0 THEN 1 ELSE 0 END)::BIGINT AS n_reasons FROM base""")
 def a5_assist_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    side, _, need, queue, responses = answered(spark, sf_dir)
-    after = A.fill_gaps(side, A.parse_answers(responses, queue), queue)
-    out = A.assist_report(need, queue, responses, side, after)
-    return out.select("shipment_id", "used", "provider", F.array_join("docs", "|").alias("docs"), F.array_join("filled", "|").alias("filled"), F.size("reasons").cast("long").alias("n_reasons"))
+    return asked(spark, sf_dir)["report"].select("shipment_id", "used", "provider", F.array_join("docs", "|").alias("docs"), F.array_join("filled", "|").alias("filled"), F.size("reasons").cast("long").alias("n_reasons"))
 
 
 _PROBED = ", ".join(f"({X.q(k)})" for k in Q.PROBED)
