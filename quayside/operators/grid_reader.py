@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.functions.scalars import classify_label, strip_notes
-from quayside.operators.text_reader import FIELD, KEY, LABELLED, clean_party, first_readings, reg_and_phone, shape_scan, split_goods
+from quayside.operators.text_reader import FIELD, KEY, LABELLED, Reading, clean_party, first_readings, reg_and_phone, said_by, shape_scan, split_goods
+from quayside.sources.shared import stored
 
 
 def unmerge_cells(cells: DataFrame, merges: DataFrame) -> DataFrame:
@@ -53,10 +56,12 @@ def grid_values(cells: DataFrame, docs: DataFrame) -> DataFrame:
     return found.select(*KEY, "field_key", "raw", where.alias("where"), F.lit(None).cast("string").alias("source"), "file", "rank")
 
 
-def read_grid(cells: DataFrame, merges: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(fields, docs with text) of spreadsheets: E11-E13, then shapes, registration, clean-ups."""
-    own = unmerge_cells(cells, merges)
+def read_grid(cells: DataFrame, merges: DataFrame, docs: DataFrame, keep: Callable[[DataFrame], DataFrame] = stored) -> Reading:
+    """Spreadsheets: E11-E13, then shapes, registration, clean-ups; the cells and what is read of them are written once."""
+    own = keep(unmerge_cells(cells, merges))
+    names = own.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_set(F.struct("sheet_seq", "sheet"))), lambda x: x["sheet"]).alias("sheets"))
     read = sheet_text(own, docs)
+    read = keep(read if "sheets" in docs.columns else read.join(names, KEY, "left"))
     found = grid_values(own, docs).unionByName(shape_scan(read, "xlsx")).unionByName(reg_and_phone(read, "xlsx"))
-    fields = split_goods(clean_party(first_readings(found), read, ("consignee", "notifyParty")))
-    return fields.select(*FIELD), read
+    fields = keep(split_goods(clean_party(first_readings(found), read, ("consignee", "notifyParty"))).select(*FIELD))
+    return Reading(fields, read, said_by(read, fields, "xlsx"))

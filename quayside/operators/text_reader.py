@@ -7,6 +7,9 @@ the smallest rank of a key wins.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -268,33 +271,67 @@ def extract_directives(docs: DataFrame, style: str = "docx") -> DataFrame:
     )
 
 
-def doc_warnings(docs: DataFrame, fields: DataFrame, style: str = "docx") -> DataFrame:
-    """(key, pos, message): what a reading lacks."""
-    port_keys = {"docx": R.DESTINATION[:1], "xlsx": ["portOfDischarge", "finalDestination"], "image": ["portOfDischarge", "finalDestination", "placeOfDelivery"], "pdf": []}[style]
-    held = fields.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("field_key", "raw"))).alias("m"))
-    rows = docs.join(held, KEY, "left")
+class Reading(NamedTuple):
+    """What a reader makes of documents: their fields, the documents with their text, and (key, pos, message) of its warnings."""
+
+    fields: DataFrame
+    docs: DataFrame
+    warnings: DataFrame
+
+
+PORT_KEYS = {"docx": R.DESTINATION[:1], "xlsx": ["portOfDischarge", "finalDestination"], "image": ["portOfDischarge", "finalDestination", "placeOfDelivery"], "pdf": []}
+
+
+def said_by(docs: DataFrame, fields: DataFrame, style: str, more: Iterable[tuple[int, DataFrame]] = ()) -> DataFrame:
+    """(key, pos, message): all warnings of a reading, in the order of the reader's steps.
+
+    ``more``: (step, (key, message)) of what the steps themselves have told.  ``docs`` may have ``n_pages`` (pdf) and ``sheets`` (xlsx), the
+    names of a workbook's sheets.
+    """
+    needed = ["consignee", "containerNo", *R.DESTINATION]
+    held = fields.where(F.col("field_key").isin(*needed)).groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("field_key", "raw"))).alias("m"))
     get = lambda k: F.try_element_at("m", F.lit(k))
-    port = F.coalesce(*map(get, port_keys)) if port_keys else F.lit(None).cast("string")
-    file = F.col("file_name")
+    port = F.coalesce(*map(get, PORT_KEYS[style])) if PORT_KEYS[style] else F.lit(None).cast("string")
+    file, text = F.col("file_name"), F.coalesce(F.col("text"), F.lit(""))
     unknown = F.when(port.isNotNull() & canonical_port(port).isNull(), F.concat(F.lit('Port "'), port, F.lit('" is not in the alias table, so it is compared as plain text.')))
-    none = F.lit(None).cast("string")
+    pages = F.col("n_pages") if "n_pages" in docs.columns else F.lit(None).cast("int")
+    sheets = F.col("sheets") if "sheets" in docs.columns else F.lit(None).cast("array<string>")
     lacks = {
         "docx": [
             F.when(get("consignee").isNull(), "No CONSIGNEE block found in the SI."),
             F.when(port.isNull(), "No discharge port found in the SI — no label, and no line matching a known port name.").otherwise(unknown),
         ],
         "xlsx": [
-            F.when(F.coalesce(F.col("text"), F.lit("")) == "", "This spreadsheet has no readable cells."),
+            F.when(F.size(sheets) > 1, F.concat(F.lit("Workbook has "), F.size(sheets).cast("string"), F.lit(" sheets ("), F.array_join(sheets, ", "), F.lit("); all were read as one form."))),
+            F.when(text == "", "This spreadsheet has no readable cells."),
             F.when(get("consignee").isNull(), F.concat(file, F.lit(": no consignee cell found."))),
             F.when(port.isNull(), F.concat(file, F.lit(": no discharge port or final destination found."))).otherwise(unknown),
         ],
-        "image": [F.when(get("consignee").isNull(), F.concat(file, F.lit(": no consignee could be located."))), unknown],
+        "image": [None, None, None, None, None, F.when(get("consignee").isNull(), F.concat(file, F.lit(": no consignee could be located."))), unknown],
         "pdf": [
+            F.when(text == "", "This PDF has no text layer — it is probably a pure scan. Field extraction needs a text-based PDF (OCR it first)."),
+            F.when(pages > 1, F.concat(F.lit("PDF has "), pages.cast("string"), F.lit(" pages; all pages were read as one form."))),
+            None, None,
             F.when(get("containerNo").isNull(), "No container number (4 letters + 7 digits) found on the B/L."),
             F.when(get("consignee").isNull(), "Consignee box read as empty — check the B/L layout matches the expected form."),
         ],
-    }[style]
-    return rows.select(*KEY, F.posexplode(F.array_compact(F.array(*lacks, none))).alias("pos", "message"))
+    }[style]
+    told = F.array(*(F.struct(F.lit(step).alias("step"), said.alias("message")) for step, said in enumerate(lacks) if said is not None))
+    rows = docs.join(held, KEY, "left").withColumn("_own", F.filter(told, lambda x: x["message"].isNotNull()))
+    more = list(more)
+    if not more:
+        return rows.select(*KEY, F.posexplode("_own").alias("pos", "_w")).select(*KEY, "pos", "_w.message")
+    steps = more[0][1].select(*KEY, F.lit(more[0][0]).alias("step"), "message")
+    for step, df in more[1:]:
+        steps = steps.unionByName(df.select(*KEY, F.lit(step).alias("step"), "message"))
+    by_doc = steps.groupBy(*KEY).agg(F.collect_list(F.struct("step", "message")).alias("_more"))
+    every = F.sort_array(F.concat("_own", F.coalesce("_more", F.array().cast("array<struct<step:int,message:string>>"))))
+    return rows.join(by_doc, KEY, "left").select(*KEY, F.posexplode(every).alias("pos", "_w")).select(*KEY, "pos", "_w.message")
+
+
+def doc_warnings(docs: DataFrame, fields: DataFrame, style: str = "docx") -> DataFrame:
+    """(key, pos, message): what a reading lacks."""
+    return said_by(docs, fields, style)
 
 
 def text_fields() -> Column:
