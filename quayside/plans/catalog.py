@@ -70,9 +70,12 @@ _SPACED = "trim(lower(regexp_replace(field_key, '([A-Z])', ' \\1', 'g')))"
 scalar_on_fields("n15_label_for", f"coalesce({X.label('field_key')}, upper(left({_SPACED}, 1)) || substr({_SPACED}, 2))", lambda: S.label_for("field_key"))
 
 
-@register(f"""{D.cte('fields')}, ports AS MATERIALIZED (SELECT shipment_id, side, field_key, {X.canonical_port('raw')} AS port FROM fields WHERE field_key IN ('portOfLoading', 'portOfDischarge', 'finalDestination')),
-  x AS (SELECT a.shipment_id, a.field_key, a.port AS p, b.port AS q FROM ports a JOIN ports b USING (shipment_id, field_key) WHERE a.side = 'A' AND b.side = 'B')
-  SELECT shipment_id, field_key, {X.port_relation('p', 'q')} AS relation FROM x""")
+@register(f"""{D.cte(fields=R.PORT_FIELDS)}, known(bare, port) AS (VALUES {X.ALIASES}), inside(terminal, port) AS (VALUES {X.INSIDE}),
+f AS (SELECT shipment_id, side, field_key, {X.norm_id('raw')} AS whole, {X.norm_id(X.CUT_COUNTRY.format('raw'))} AS cut FROM fields WHERE field_key IN ('portOfLoading', 'portOfDischarge', 'finalDestination')),
+p AS (SELECT f.shipment_id, f.side, f.field_key, coalesce(w.port, c.port) AS port FROM f LEFT JOIN known w ON w.bare = f.whole LEFT JOIN known c ON c.bare = f.cut)
+SELECT a.shipment_id, a.field_key, CASE WHEN a.port IS NULL OR b.port IS NULL THEN 'unknown' WHEN a.port = b.port THEN 'same' WHEN i.port IS NOT NULL THEN 'compatible' ELSE 'different' END AS relation
+FROM p a JOIN p b ON a.shipment_id = b.shipment_id AND a.field_key = b.field_key AND a.side = 'A' AND b.side = 'B'
+LEFT JOIN inside i ON (a.port = i.terminal AND b.port = i.port) OR (b.port = i.terminal AND a.port = i.port)""")
 def n09_port_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = D.fields(spark, sf_dir).where(F.col("field_key").isin("portOfLoading", "portOfDischarge", "finalDestination"))
     a, b = (f.where(F.col("side") == s).select("shipment_id", "field_key", F.col("raw").alias(f"raw_{s}")) for s in "AB")
@@ -94,9 +97,12 @@ _LINE_LABEL = "CASE line_no WHEN 3 THEN 'consignee' WHEN 8 THEN CASE WHEN k % 2
 
 @register(f"""{D.cte()} SELECT k AS shipment_id, line_no, {_LINE_LABEL} AS label,
   CASE line_no WHEN 3 THEN cname || ' SDN. BHD.' WHEN 8 THEN 'WEST PORT' WHEN 10 THEN 'BOLTS 7318.15.00' WHEN 15 THEN 'PREPAID' END AS value
-  FROM base, (VALUES (3), (8), (10), (15)) AS l(line_no) WHERE ({_LINE_LABEL}) IS NOT NULL""")
+  FROM base, (VALUES (3), (8), (10), (15)) AS l(line_no) WHERE ({_LINE_LABEL}) IS NOT NULL
+  UNION ALL SELECT k, 100, label, 'V' || k::VARCHAR FROM base JOIN (VALUES {', '.join(f'({n}, {X.q(key)})' for n, (key, _) in enumerate(D.HEADINGS) if key)}) h(n, label) ON k % {len(D.HEADINGS)} = h.n""")
 def n16_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = T.lines_of(D.docs(spark, sf_dir).where("file_name = 'inst.docx'")).select("shipment_id", "line_no", S.first_label("text").alias("l"))
+    """The lines of each instruction, and for each order a heading, all labels in turn."""
+    lines = T.lines_of(D.docs(spark, sf_dir).where("file_name = 'inst.docx'")).select("shipment_id", "line_no", "text")
+    lines = lines.unionByName(D.headings(spark, sf_dir)).select("shipment_id", "line_no", S.first_label("text").alias("l"))
     return lines.where("l is not null").select("shipment_id", "line_no", F.col("l.key").alias("label"), F.col("l.rest").alias("value"))
 
 
@@ -197,9 +203,11 @@ def e1_line_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.line_entries(instructions(spark, sf_dir)).select("shipment_id", "line_no", "gap_after")
 
 
-@register("SELECT o_orderkey AS shipment_id, 1 AS break_gap FROM orders o JOIN customer ON o_custkey = c_custkey")
+@register("SELECT o_orderkey AS shipment_id, CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 1 END AS break_gap FROM orders o JOIN customer ON o_custkey = c_custkey")
 def e2_block_break_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.block_break_gap(instructions(spark, sf_dir)).select("shipment_id", "break_gap")
+    """Every fourth instruction is written with double spacing."""
+    spaced = F.when(F.col("shipment_id") % 4 == 0, F.replace("text", F.lit("\n"), F.lit("\n\n"))).otherwise(F.col("text"))
+    return T.block_break_gap(instructions(spark, sf_dir).withColumn("text", spaced)).select("shipment_id", "break_gap")
 
 
 _REG = "'20230100' || lpad((k % 10000)::VARCHAR, 4, '0') || ' / JM' || lpad((k % 1000000)::VARCHAR, 6, '0')"
@@ -282,6 +290,29 @@ def e10_doc_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.doc_warnings(docs, T.read_text(docs)).select("shipment_id", "doc_seq", "pos", "message")
 
 
+@register(D.told(D.SAID_PDF, "customer"))
+def e10_page_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every warning of positioned pages."""
+    items, docs = D.faulty_pages(spark, sf_dir)
+    return P.read_pages(items, docs).warnings.select("shipment_id", "pos", "message")
+
+
+@register(D.told(D.SAID_XLSX, "orders"))
+def e10_sheet_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every warning of spreadsheets."""
+    cells, merges, docs = sheet(spark, sf_dir)
+    return G.read_grid(D.faulty_cells(cells), merges, docs).warnings.select("shipment_id", "pos", "message")
+
+
+@register(D.told(D.SAID_IMAGE, "customer"))
+def e10_image_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every warning of recognised certificates."""
+    regions, docs = certificates(spark, sf_dir)
+    k = F.col("shipment_id")
+    readings = docs.select(*KEY, F.when(k % 3 == 0, 0.85).otherwise(0.95).alias("confidence"), F.when(k % 5 == 0, 1.5).otherwise(0.0).alias("corrected_by"))
+    return I.read_images(D.faulty_regions(regions), docs, readings).warnings.select("shipment_id", "pos", "message")
+
+
 @register(f"""{D.cte()} SELECT k AS shipment_id, 'A' AS side, pos, CASE pos WHEN 0 THEN '船公司' ELSE '开航日期' END AS label, CASE pos WHEN 0 THEN 'WHL' ELSE '2026-08-' || lpad((k % 28 + 1)::VARCHAR, 2, '0') END AS value
   FROM base, (VALUES (0), (1)) v(pos) UNION ALL SELECT k, 'B', 0, '船公司', CASE WHEN k % 5 = 0 THEN 'YML' ELSE 'WHL' END FROM base WHERE n > 0""")
 def e27_discover_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -485,7 +516,9 @@ def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.align_sides(M.merge_side(D.fields(spark, sf_dir).repartition("shipment_id")))
 
 
-@register(f"{D.cte('fields')}, {X.SIDE}, {X.ALIGNED} SELECT shipment_id, ord, field_key, a0 AS a, b0 AS b FROM pairs")
+@register(f"""{D.cte('fields')}, specs(ord, field_key) AS (VALUES {', '.join(f'({n}, {X.q(s[0])})' for n, s in enumerate(R.FIELD_SPECS))}),
+held AS (SELECT shipment_id, field_key, arg_min(raw, doc_seq) FILTER (side = 'A') AS a, arg_min(raw, doc_seq) FILTER (side = 'B') AS b FROM fields GROUP BY ALL)
+SELECT s.shipment_id, c.ord, c.field_key, h.a, h.b FROM (SELECT DISTINCT shipment_id FROM fields) s CROSS JOIN specs c LEFT JOIN held h USING (shipment_id, field_key)""")
 def c1_align_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned(spark, sf_dir).select("shipment_id", "ord", "field_key", F.col("a.raw").alias("a"), F.col("b.raw").alias("b"))
 

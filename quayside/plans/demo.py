@@ -212,8 +212,96 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, DOCS)
 
 
-def cte(*names: str, of: str = "orders") -> str:
-    """DuckDB: WITH base and the named derived tables."""
+#: label and a spelling of it; the last is none
+HEADINGS = [
+    ("shipper", "Exporter"), ("consignee", "CNEE"), ("consignee", "Products consigned to"), ("notifyParty", "NOTIFY PARTY"), ("placeOfReceipt", "PLACE OF RECEIPT"), ("portOfLoading", "POL"),
+    ("portOfDischarge", "卸货港"), ("placeOfDelivery", "PLACE OF DELIVERY"), ("finalDestination", "FINAL DESTINATION"), ("vesselVoyage", "OCEAN VESSEL"), ("goods", "COMMODITY"), ("packages", "NO. OF PKGS"),
+    ("grossWeight", "GROSS WEIGHT"), ("measurement", "CBM"), ("marks", "MARKS AND NUMBERS"), ("freightTerms", "FREIGHT"), ("containerNo", "CONTAINER NO"), ("sealNo", "封号"), ("soNo", "BOOKING NO"), (None, "REMARK"),
+]
+
+
+def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each order one line with a heading, and a value behind it in one of three ways."""
+    k = F.col("k")
+    names = F.array(*(F.lit(text) for _, text in HEADINGS))
+    gap = F.when(k % 3 == 0, ": ").when(k % 3 == 1, "：").otherwise(" ")
+    text = F.concat(F.element_at(names, (k % len(HEADINGS)).cast("int") + 1), gap, F.lit("V"), k.cast("string"))
+    return base(spark, sf_dir).select(k.alias("shipment_id"), F.lit(100).alias("line_no"), text.alias("text"))
+
+
+#: what is wrong with the pages, sheets and certificates of the warnings' queries: (step, condition, message), in DuckDB's SQL
+SAID_PDF = [
+    (0, "k % 5 = 0", "'This PDF has no text layer — it is probably a pure scan. Field extraction needs a text-based PDF (OCR it first).'"),
+    (1, "k % 5 <> 0 AND k % 4 = 0", "'PDF has 2 pages; all pages were read as one form.'"),
+    # the place with most clearance is one point above where the form was filled in
+    (2, f"k % 5 <> 0 AND abs({SHIFT} + 1) > 2", f"'This B/L sits ' || CAST(-({SHIFT} + 1) AS VARCHAR) || 'pt down from the expected form layout; the boxes were realigned to fit. Check a few values against the PDF.'"),
+    (3, "k % 5 <> 0 AND k % 7 = 0", "'1 block(s) on the B/L were not read into any field: \"STRAY\".'"),
+    (4, "k % 5 = 0 OR k % 6 = 0", "'No container number (4 letters + 7 digits) found on the B/L.'"),
+    (5, "k % 5 = 0 OR k % 8 = 0", "'Consignee box read as empty — check the B/L layout matches the expected form.'"),
+]
+_NOWHERE = "k % 5 = 0 OR k % 2 = 1"
+SAID_XLSX = [
+    (0, "k % 5 <> 0 AND k % 4 = 0", "'Workbook has 2 sheets (S1, S2); all were read as one form.'"),
+    (1, "k % 5 = 0", "'This spreadsheet has no readable cells.'"),
+    (2, "k % 5 = 0 OR k % 3 = 0", "'conf.xlsx: no consignee cell found.'"),
+    (3, _NOWHERE, "'conf.xlsx: no discharge port or final destination found.'"),
+    (4, f"NOT ({_NOWHERE}) AND k % 14 = 0", "'Port \"ROTTERDAM\" is not in the alias table, so it is compared as plain text.'"),
+]
+_LOW = "cert.jpeg: recognition confidence is 85%. Check the values against the picture, or supply the source PDF or spreadsheet instead."
+SAID_IMAGE = [
+    (0, "k % 5 = 0", "'cert.jpeg: the page was tilted 1.5° and was straightened before reading.'"),
+    (1, "k % 10 = 0", "'cert.jpeg: no text could be recognised in this image.'"),
+    (1, "k % 10 <> 0 AND k % 4 = 1", "'cert.jpeg: the page is only 340px across, far too small to read reliably. Re-photograph it larger, or supply the source PDF or spreadsheet.'"),
+    (1, "k % 10 <> 0 AND k % 4 = 2", "'cert.jpeg: the page is only 650px across. Values may be misread — check them against the picture.'"),
+    (1, "k % 10 <> 0 AND k % 4 IN (0, 3) AND k % 3 = 0", f"'{_LOW}'"),
+    (2, "k % 10 <> 0 AND k % 6 <> 1", "'cert.jpeg: no single gross weight is stated; 10 + 12.5 were added to give 22.5 KGS.'"),
+    (2, "k % 10 <> 0 AND k % 6 = 1", "'cert.jpeg: the per-item weights could not be read as a complete set, so no gross weight is reported. Read it off the document, or supply the source file.'"),
+    (3, "k % 10 <> 0 AND k % 9 = 0", "'cert.jpeg: 2 commodity lines are present but only 1 could be read (NUTS). Check the description against the document.'"),
+    (4, "k % 10 <> 0 AND k % 4 = 0", "'cert.jpeg: discarded implausible readings for portOfDischarge (reads as a routing sentence, not a port).'"),
+    (5, "k % 10 = 0 OR k % 7 = 0", "'cert.jpeg: no consignee could be located.'"),
+]
+
+
+def told(said: list[tuple[int, str, str]], of: str) -> str:
+    """DuckDB: the warnings of each document, in the order of their steps."""
+    rows = " UNION ALL ".join(f"SELECT k, {step} AS step, {message} AS message FROM base WHERE {when}" for step, when, message in said)
+    return f"{cte(of=of)} SELECT k AS shipment_id, CAST(row_number() OVER (PARTITION BY k ORDER BY step) - 1 AS INT) AS pos, message FROM ({rows})"
+
+
+def faulty_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pages of which some have no text, a second page, a stray block, no container or no consignee."""
+    items, docs = derived(spark, sf_dir, ITEMS, "customer"), derived(spark, sf_dir, PAGES, "customer")
+    k, n = F.col("shipment_id"), F.col("item_seq")
+    left = (k % 5 != 0) & ~((k % 6 == 0) & (n == 18)) & ~((k % 8 == 0) & n.isin(3, 4))
+    second = F.when((k % 4 == 0) & (n == 19), 2).otherwise(F.col("page"))
+    stray = items.where((k % 5 != 0) & (k % 7 == 0) & (n == 0)).withColumns({"item_seq": F.lit(20), "x": F.lit(500.0), "y": F.lit(620.0), "w": F.lit(20.0), "s": F.lit("STRAY")})
+    return items.where(left).withColumn("page", second).unionByName(stray), docs
+
+
+def faulty_cells(cells: DataFrame) -> DataFrame:
+    """Sheets of which some are empty, have a second sheet, no consignee or an unknown port."""
+    k = F.col("shipment_id")
+    left = cells.where((k % 5 != 0) & ~((k % 3 == 0) & F.col("row").isin(4, 5)))
+    text = F.when((k % 14 == 0) & (F.col("text") == "NORTH PORT"), "ROTTERDAM").otherwise(F.col("text"))
+    second = left.where((k % 4 == 0) & (F.col("row") == 12)).withColumns({"sheet_seq": F.lit(1), "sheet": F.lit("S2"), "row": F.lit(30), "text": F.lit("EXTRA")})
+    return left.withColumn("text", text).unionByName(second)
+
+
+def faulty_regions(regions: DataFrame) -> DataFrame:
+    """Certificates of which some have no text, are narrow, lack a consignee, a weight or a name of goods."""
+    k, line = F.col("shipment_id"), F.col("line_idx")
+    wide = (line == 0) & (F.col("pos") == 2)
+    left = regions.where((k % 10 != 0) & ~((k % 7 == 0) & line.isin(2, 3) & (F.col("x") < 60)) & ~((k % 4 == 1) & wide))
+    text = F.when((k % 6 == 1) & (line == 7), F.regexp_replace("text", "12.5 KGS ", "")).when((k % 9 == 0) & (line == 6), F.regexp_replace("text", "OF BOLTS ", "OF ")).otherwise(F.col("text"))
+    return left.withColumns({"x": F.when((k % 4 == 2) & wide, 550.0).otherwise(F.col("x")), "text": text})
+
+
+def cte(*names: str, of: str = "orders", fields: list[str] | None = None) -> str:
+    """DuckDB: WITH base and the named derived tables; ``fields``: the long fields of these keys only."""
+    if fields:
+        few = [r for r in _STRUCTS.split(", struct_pack(") if any(f"field_key := '{k}'" in r for k in fields)]
+        own = ", ".join(r if r.startswith("struct_pack(") else f"struct_pack({r}" for r in few)
+        return f"{cte(*names, of=of)}, fields AS MATERIALIZED ({FIELDS.replace(_STRUCTS, own)})"
     known = {"fields": FIELDS, "docs": DOCS, "cells": CELLS, "merges": MERGES, "items": ITEMS, "regions": REGIONS,
              "rough_lines": ROUGH_LINES, "rough_cells": ROUGH_CELLS, "rough_items": ROUGH_ITEMS, "rough_regions": ROUGH_REGIONS}
     start = (BASE if of == "orders" else CUSTOMERS).replace("{", "").replace("}", "")

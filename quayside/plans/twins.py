@@ -55,6 +55,12 @@ def norm_list(x: str) -> str:
     return f"array_to_string(list_sort(list_filter(list_transform(string_split({norm_text(x)}, '|'), lambda t: trim(t)), lambda t: t <> '')), ' | ')"
 
 
+#: (spelling without marks, canonical name) of all ports, and (terminal, its port)
+ALIASES = ", ".join(f"({q(b)}, {q(g[0])})" for g in R.PORTS for b in dict.fromkeys("".join(ch for ch in a.upper() if ch.isascii() and ch.isalnum()) for a in g))
+INSIDE = ", ".join(f"({q(t)}, {q(p)})" for t, p in R.TERMINALS.items())
+CUT_COUNTRY = r"regexp_replace({}, ',\s*(MALAYSIA|CHINA|SINGAPORE|MY|CN)\s*$', '', 'i')"
+
+
 def canonical_port(x: str) -> str:
     def known(key: str) -> str:
         bare = lambda a: "".join(ch for ch in a.upper() if ch.isascii() and ch.isalnum())
