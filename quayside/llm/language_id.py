@@ -14,10 +14,11 @@ calibration rows have there than to that middle, is rejected, as is a text witho
 ``score`` is the posterior of the winner with a temperature fitted on the calibration rows.
 
 The models learn from a bounded sample: at most about ``PER_LANGUAGE`` labelled documents of each
-language, drawn by a hash of the id where they are stored, after a count of the languages; a sixth of them
-calibrates, but for languages with under ``FEW_ROWS`` documents, which all teach.  The finished models hold
-at most ``CELLS`` log-probabilities (grams times languages): grams beyond that go from the rarest on.  Every
-whole text is scored.
+language and ``ALL_LANGUAGES`` in all, drawn by a hash of the id where they are stored, after a count of the
+languages; a sixth of them calibrates (with many languages fewer: ``CALIBRATION`` losses in all), but for languages with under
+``FEW_ROWS`` documents, which all teach.  Every gram of the sample is counted and kept.  Where the table of
+grams times languages would have more than ``CELLS`` entries, each language has sorted arrays of its own instead, made in
+a task of its own; both give the same losses.  Every whole text is scored.
 
 Defined cases: null text, or text without a letter: ``und``, score 0, rejected.  Null labels and null
 texts teach nothing.  Without any labelled row every text is ``und``.  Ties go to the language that
@@ -33,13 +34,17 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.llm.common import U, mix, shared_table, slices, words
 
 ORDER, PER_LANGUAGE, REJECT_SPREADS, FEW_ROWS = 5, 2000, 12.0, 20
-#: Log-probabilities of the highest order that the models hold at most (4 bytes each).
+#: Labelled documents of all languages together; more languages have fewer each.
+ALL_LANGUAGES = 400_000
+#: Losses (rows times languages) that calibration gathers at most.
+CALIBRATION = 20_000_000
+#: Up to so many entries (4 bytes each, all languages' in one row) the grams of all languages share one table.  Either way gives the same losses.
 CELLS = 20_000_000
 #: Up to so many different labels (and their counts) go to every executor; beyond it the draw is a merge join.
 FEW_LABELS = 50_000
@@ -96,9 +101,12 @@ class Models:
     mean: np.ndarray | None = None
     alien: np.ndarray | None = None  # per language: how far above the middle a rejected loss lies at least
     spread: np.ndarray | None = None  # per language: a, b of variance a + b / characters
+    own: list[Models] = field(default_factory=list)  # each language's own arrays, if they don't share a table
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         """Log-probabilities (rows, languages) of each row's last character after the others."""
+        if self.own:
+            return np.concatenate([m.score(rows) for m in self.own], axis=1)
         order = len(self.keys)
         out = np.zeros((len(rows), len(self.languages)), np.float32)
         todo = np.arange(len(rows))
@@ -158,6 +166,26 @@ def kneser_ney(counts: pa.Table, order: int = ORDER) -> Models:
     return models
 
 
+def by_language(counts: DataFrame) -> Models:
+    """Models of which each language's is made in a task from its own counts, all of them; what comes back are finished arrays."""
+    arrays = ("keys", "logp", "contexts", "backoff")
+    kinds = (U, np.float32, U, np.float32)
+
+    def make(table: pa.Table) -> pa.Table:
+        made = kneser_ney(table)
+        columns = [pa.array([getattr(made, name)[n].tobytes() for n in range(ORDER)], pa.binary()) for name in arrays]
+        return pa.table([pa.array(made.languages * ORDER), pa.array(range(ORDER), pa.int32()), *columns], names=["lang", "n", *arrays])
+
+    schema = "lang string, n int, " + ", ".join(f"{name} binary" for name in arrays)
+    found: dict[str, Models] = {}
+    for r in sorted(counts.select("lang", "gram", "n").groupBy("lang").applyInArrow(make, schema).collect(), key=lambda r: (r["lang"], r["n"])):
+        own = found.setdefault(r["lang"], Models([r["lang"]]))
+        for name, kind in zip(arrays, kinds, strict=True):
+            x = np.frombuffer(r[name], kind)
+            getattr(own, name).append(x.reshape(-1, 1) if kind is np.float32 else x)
+    return Models(sorted(found), own=[found[x] for x in sorted(found)])
+
+
 def losses(models: Models, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(nats per character by text and language, characters counted)."""
     offsets, codes, dictionary = words(texts)
@@ -226,15 +254,8 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The rows of ``counts`` if there are ``most`` at most, else those of greater ``n``: as many counts as fit."""
-    upto = counts.groupBy("n").agg(F.count("*").alias("rows")).withColumn("upto", F.sum("rows").over(Window.orderBy(F.desc("n"))))  # one row for each count that occurs
-    least, fits = upto.agg(F.min(F.when(F.col("upto") <= most, F.col("n"))), F.max("upto")).first()
-    return counts if not fits or fits <= most or least is None else counts.where(F.col("n") >= least)
-
-
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_language: int = PER_LANGUAGE) -> Models | None:
-    """Train on at most about ``per_language`` labelled documents of each language; None without any."""
+    """Train on at most about ``per_language`` labelled documents of each language, ``ALL_LANGUAGES`` in all; None without any."""
     known = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     named = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(SEED), F.col(id_col)).alias("h"))
     sizes = shared_table(named.groupBy("lang").agg(F.count("*").alias("size")))
@@ -242,6 +263,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not labels:
         return None
     steps = 1 << 20
+    per_language = max(FEW_ROWS, min(per_language, ALL_LANGUAGES // labels))
+    share = min(1.0, CALIBRATION * 6 / (labels * labels * per_language))  # of the rows set aside
     # counted first, so that the draw needs no shuffle of texts
     each = F.broadcast(sizes) if labels <= FEW_LABELS else sizes.hint("merge")
     drawn = named.join(each, "lang").where(F.pmod("h", F.lit(steps)) < F.ceil(F.lit(float(per_language) * steps) / F.col("size")))
@@ -268,7 +291,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     counted = drawn.where(~aside).select("lang", "text").mapInArrow(count, "lang string, gram string, n long")
     counts = shared_table(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    models = kneser_ney(frequent(counts, CELLS // labels).toArrow())
+    # every language's loss has to be known for every text: in one table of all grams, or language by language
+    shared_table_fits = counts.select("gram").distinct().count() * labels <= CELLS
+    models = kneser_ney(counts.toArrow()) if shared_table_fits else by_language(counts)
     if not models.languages:
         return None
     shared = docs.sparkSession.sparkContext.broadcast(models)
@@ -280,7 +305,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(n), pa.array(loss.tolist(), pa.list_(pa.float64()))], names=["lang", "n", "loss"])
 
     # numbers only, as many rows as the sample has at most
-    rows = drawn.where(aside).select("lang", "text").mapInArrow(lose, "lang string, n double, loss array<double>").collect()
+    rows = drawn.where(aside & (F.pmod(F.shiftright("h", 34), F.lit(steps)) < F.lit(share * steps))).select("lang", "text").mapInArrow(lose, "lang string, n double, loss array<double>").collect()
     loss = np.array([r["loss"] for r in rows], np.float64).reshape(len(rows), len(models.languages))
     calibrate(models, loss, np.array([r["n"] for r in rows], np.float64), [r["lang"] for r in rows])
     return models

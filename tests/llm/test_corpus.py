@@ -598,15 +598,27 @@ def test_kneser_ney_against_plain_recursion():
         assert np.allclose(got, [math.log(p(g)) for g in grams], atol=1e-4)
 
 
-def test_rare_languages_teach_and_grams_are_bounded(spark, monkeypatch):
+def test_rare_languages_teach_and_own_arrays_equal_the_shared_table(spark, monkeypatch):
     texts, langs = language_docs(spark)
     texts += ["xyq xyq qyx wqx"] * 2
     docs = documents(spark, texts, langs | {240: "rare", 241: "rare"})
     rows = {r["doc_id"]: r for r in language_id.identify(docs).collect()}
     assert rows[240]["lang_pred"] == "rare" == rows[241]["lang_pred"]
-    monkeypatch.setattr(language_id, "CELLS", 400)
-    rows = {r["doc_id"]: r for r in language_id.identify(docs).collect()}
-    assert sum(rows[i]["lang_pred"] == langs[i] for i in range(240)) > 200
+    monkeypatch.setattr(language_id, "CELLS", 0)  # each language by itself
+    assert language_id.fit(docs).own
+    again = {r["doc_id"]: r for r in language_id.identify(docs).collect()}
+    for i, r in rows.items():
+        assert r["lang_pred"] == again[i]["lang_pred"] and r["rejected"] == again[i]["rejected"] and abs(r["loss"] - again[i]["loss"]) < 1e-4
+    # many languages: none loses its grams
+    monkeypatch.undo()
+    r = random.Random(4)
+    roots = {f"l{n:03d}": [chr(0x4E00 + n * 12 + j) for j in range(12)] for n in range(100)}
+    many = [(i, " ".join("".join(r.choice(roots[lang]) for _ in range(4)) for _ in range(30)), lang, "s", None) for i, lang in enumerate(sorted(roots) * 6)]
+    monkeypatch.setattr(language_id, "CELLS", 100_000)
+    models = language_id.fit(spark.createDataFrame(many, DOC))
+    assert len(models.own) == 100 and models.score(np.array([[32, 32, 32, 32, ord("x")]])).shape == (1, 100)
+    best, _, _, _ = language_id.decide(models, pa.array([m[1] for m in many]))
+    assert sum(models.languages[b] == m[2] for b, m in zip(best, many, strict=True)) == len(many)
 
 
 def test_kneser_ney_sums_to_one():
