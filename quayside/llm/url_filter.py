@@ -6,7 +6,8 @@ Each level of a tree is one aggregation of gradient sums by leaf, feature and bi
 driver is one row for each of those.  A finished tree is a nested CASE expression, so scoring is part of
 the scan.  Features: lengths, depth, digit ratio, character entropy, counts of parameters, hyphens, dots
 and subdomain labels, and statistics of the host's suffix (its last label): the smoothed share of
-blocked URLs and how many labelled URLs have it.
+blocked URLs and how many labelled URLs have it, counted over all labelled URLs; a URL that teaches
+counts itself out.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and is judged by the trees;
 without any labelled URL, or with labels of one kind only, the method's verdict is that kind (allow if
@@ -22,7 +23,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quayside.llm.common import join_hot, shared_table
+
 SAMPLE, TREES, DEPTH, BINS, RATE, SMOOTH, LEAST = 20_000, 8, 3, 32, 0.5, 1.0, 20
+#: Up to so many suffixes (and their figures) go to every executor; beyond it frequent ones only.
+FEW_SUFFIXES = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The rules of the query, fixed values: verdict, host, path.
 RULES = [
@@ -143,9 +148,9 @@ def grow(sample: DataFrame, cuts: dict[str, list[float]], margin: Column) -> Spl
     return build(1)
 
 
-def train(labelled: DataFrame, suffixes: DataFrame) -> Column:
-    """The margin of blocking (log-odds) as an expression; ``labelled`` has y and the lexical features."""
-    sample = labelled.join(F.broadcast(suffixes), "suffix", "left").fillna({"suffix_rate": 0.5, "suffix_count": 0.0}).select("y", *FEATURES).cache()
+def train(labelled: DataFrame) -> Column:
+    """The margin of blocking (log-odds) as an expression; ``labelled`` has y and all features."""
+    sample = labelled.select("y", *FEATURES).cache()
     n, blocked = sample.agg(F.count("*"), F.sum("y")).first()
     if not n or blocked in (0, n):
         return F.lit(-1.0 if not n or not blocked else 1.0)
@@ -173,13 +178,22 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     size = known.count()
     steps = 1 << 20
     drawn = known.where(F.pmod(F.xxhash64("url", F.lit(11)), F.lit(steps)) < math.ceil(sample * steps / max(size, 1)))
-    labelled = lexical(drawn)
-    # suffixes of the sample only: at most as many rows as it has
-    suffixes = labelled.groupBy("suffix").agg(
-        ((F.sum("y") + 1) / (F.count("*") + 2)).alias("suffix_rate"), F.log1p(F.count("*")).alias("suffix_count"),
-    ).select("suffix", "suffix_rate", "suffix_count")
-    margin = train(labelled, suffixes)
-    scored = lexical(ruled).join(F.broadcast(suffixes), "suffix", "left").fillna({"suffix_rate": 0.5, "suffix_count": 0.0})
+    # suffix statistics of all labelled URLs, one row for each suffix
+    suffix = F.substring_index("host", ".", -1).alias("suffix")
+    suffixes = shared_table(known.select(suffix, "y").groupBy("suffix").agg(F.sum("y").alias("blocked"), F.count("*").alias("n")))
+    few = suffixes.count() <= FEW_SUFFIXES
+    told = suffixes.select("suffix", ((F.col("blocked") + 1) / (F.col("n") + 2)).alias("suffix_rate"), F.log1p("n").alias("suffix_count"), "n")
+    # a URL that teaches is left out of its own suffix's figures
+    own = lexical(drawn).join(F.broadcast(suffixes) if few else suffixes, "suffix")
+    own = own.withColumns({"suffix_rate": (F.col("blocked") - F.col("y") + 1) / (F.col("n") + 1), "suffix_count": F.log1p(F.col("n") - 1)})
+    margin = train(own.select("y", *FEATURES))
+    rows = lexical(ruled)
+    if few:
+        scored = rows.join(F.broadcast(told.drop("n")), "suffix", "left")
+    else:  # suffixes that no label has meet nothing
+        every = rows.groupBy("suffix").agg(F.count("*").alias("n")).join(told.drop("n"), "suffix", "left")
+        scored = join_hot(rows, shared_table(every), "suffix").drop("n")
+    scored = scored.fillna({"suffix_rate": 0.5, "suffix_count": 0.0})
     score = 1 / (1 + F.exp(-margin))
     out = scored.withColumn("score", score)
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") > 0.5, "block").otherwise("allow")).alias("verdict"), "score")

@@ -489,6 +489,59 @@ def test_url_rules_and_trees(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0 and url_filter.judge(pages.limit(3)).count() == 3
 
 
+def grown(x, g, h, cuts, depth):
+    """One tree by trying every cut of every feature in every leaf."""
+    value = -g.sum() / (h.sum() + url_filter.SMOOTH)
+    best, at = 1e-6, None
+    for f, name in enumerate(url_filter.FEATURES) if depth else ():
+        for cut in cuts[name]:
+            low = x[:, f] <= cut
+            if min(low.sum(), (~low).sum()) < url_filter.LEAST:
+                continue
+            gain = sum(g[m].sum() ** 2 / (h[m].sum() + url_filter.SMOOTH) for m in (low, ~low)) - g.sum() ** 2 / (h.sum() + url_filter.SMOOTH)
+            if gain > best * (1 + 1e-9):
+                best, at = gain, (name, cut, low)
+    if not at:
+        return url_filter.RATE * value
+    name, cut, low = at
+    return url_filter.Split(name, cut, *(grown(x[m], g[m], h[m], cuts, depth - 1) for m in (low, ~low)))
+
+
+def same_tree(a, b):
+    if not isinstance(a, url_filter.Split) or not isinstance(b, url_filter.Split):
+        return not isinstance(a, url_filter.Split) and not isinstance(b, url_filter.Split) and abs(a - b) < 1e-9
+    return (a.feature, a.cut) == (b.feature, b.cut) and same_tree(a.low, b.low) and same_tree(a.high, b.high)
+
+
+def test_a_tree_equals_trying_all_cuts(spark):
+    r = np.random.default_rng(6)
+    x = r.integers(0, 9, (400, len(url_filter.FEATURES))).astype(float)
+    y = ((x[:, 2] > 4) ^ (x[:, 5] + r.normal(0, 1, 400) > 6)).astype(float)
+    cuts = {f: [1.0, 3.0, 4.0, 6.0] for f in url_filter.FEATURES}
+    sample = spark.createDataFrame([(float(b), *map(float, a)) for a, b in zip(x, y)], "y double, " + ", ".join(f"{f} double" for f in url_filter.FEATURES))
+    margin = 0.3
+    p = 1 / (1 + np.exp(-margin))
+    got = url_filter.grow(sample, cuts, F.lit(margin))
+    assert isinstance(got, url_filter.Split) and same_tree(got, grown(x, p - y, np.full(400, p * (1 - p)), cuts, url_filter.DEPTH))
+    scores = sample.select(url_filter.as_column(got).alias("s")).collect()
+
+    def value(node, row):
+        while isinstance(node, url_filter.Split):
+            node = node.low if row[url_filter.FEATURES.index(node.feature)] <= node.cut else node.high
+        return node
+
+    assert all(abs(s["s"] - value(got, row)) < 1e-12 for s, row in zip(scores, x))
+
+
+def test_url_suffixes_of_all_labels(spark, monkeypatch):
+    urls = [f"http://a{i}.{'bad' if i % 2 else 'good'}.{'de' if i % 2 else 'fr'}.com/{'de' if i % 2 else 'fr'}/{i}" for i in range(200)] + [f"http://z{i}.net/q" for i in range(50)]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    few = {r["page_id"]: r["score"] for r in url_filter.judge(pages).collect()}
+    monkeypatch.setattr(url_filter, "FEW_SUFFIXES", 0)  # the way for many suffixes
+    assert few == {r["page_id"]: r["score"] for r in url_filter.judge(pages).collect()}
+    assert all((few[i] > 0.5) == (i % 2 == 1) for i in range(200))
+
+
 # -- 8
 
 
