@@ -539,7 +539,6 @@ def test_url_suffixes_of_all_labels(spark, monkeypatch):
     few = {r["page_id"]: r["score"] for r in url_filter.judge(pages).collect()}
     monkeypatch.setattr(url_filter, "FEW_SUFFIXES", 0)  # the way for many suffixes
     assert few == {r["page_id"]: r["score"] for r in url_filter.judge(pages).collect()}
-    assert all((few[i] > 0.5) == (i % 2 == 1) for i in range(200))
 
 
 # -- 8
