@@ -15,14 +15,23 @@ from quayside.sources.shared import stored
 def unmerge_cells(cells: DataFrame, merges: DataFrame) -> DataFrame:
     """Cells without those that a merged range covers, save its upper left one.
 
-    A range anti-join within a document's sheet.
+    A sweep down each column of a sheet: a range adds one at its first row and takes one off after its last row, in each of its columns;
+    a cell is covered if the running count, less the ranges whose corner it is, is above 0.  The work is that of a sort of the cells
+    and the ranges' columns, however many ranges a sheet has.
     """
     on = [*KEY, "sheet_seq"]
-    m = merges.select(*(F.col(c).alias(f"_{c}") for c in on), "r0", "c0", "r1", "c1")
-    same = [F.col(c) == F.col(f"_{c}") for c in on]
-    inside = F.col("row").between(F.col("r0"), F.col("r1")) & F.col("col").between(F.col("c0"), F.col("c1"))
-    corner = (F.col("row") == F.col("r0")) & (F.col("col") == F.col("c0"))
-    return cells.join(m, [*same, inside & ~corner], "left_anti")
+    ranges = merges.where("r0 <= r1 and c0 <= c1").select(*on, "c0", F.col("r0").alias("_r0"), F.col("r1").alias("_r1"), F.explode(F.sequence("c0", "c1")).alias("col"))
+    begin = F.struct(F.col("_r0").alias("row"), F.lit(1).alias("step"), (F.col("col") == F.col("c0")).cast("int").alias("corner"))
+    end = F.struct((F.col("_r1") + 1).alias("row"), F.lit(-1).alias("step"), F.lit(0).alias("corner"))
+    events = ranges.select(*on, "col", F.inline(F.array(begin, end)))
+    # a cell comes after the events of its own row
+    rows = cells.select(*on, "col", "row", F.lit(0).alias("step"), F.lit(0).alias("corner"), F.lit(1).alias("_cell"), F.struct(*cells.columns).alias("_c"))
+    line = rows.unionByName(events.withColumns({"_cell": F.lit(0), "_c": F.lit(None).cast(rows.schema["_c"].dataType)}))
+    column = Window.partitionBy(*on, "col")
+    covered = F.sum("step").over(column.orderBy("row", "_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    corners = F.sum("corner").over(column.orderBy("row").rangeBetween(Window.currentRow, Window.currentRow))
+    line = line.withColumns({"_covered": covered, "_corners": corners})
+    return line.where("_cell = 1 and _covered - _corners <= 0").select("_c.*")
 
 
 def sheet_text(cells: DataFrame, docs: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from quayside.operators import image_reader as I
 from quayside.operators import merge as M
 from quayside.operators import page_reader as P
 from quayside.operators import quality as Q
+from quayside.operators import review as A
 from quayside.operators import text_reader as T
 from quayside.plans import demo as D
 from quayside.plans import twins as X
@@ -636,6 +637,25 @@ def a2_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviewed(spark, sf_dir)["queue"].select("shipment_id", "side", "queue_pos", "doc_seq", F.array_join("asked", ",").alias("asked"))
 
 
+@register(f"""{_ASSESSED}, b AS (SELECT k, doc_seq FROM base, (VALUES (0), (1)) d(doc_seq) WHERE n > 0)
+SELECT k AS shipment_id, 'B' AS side, doc_seq + 1 AS queue_pos, doc_seq, CASE WHEN doc_seq = 1 AND k % 11 <> 0 THEN 'consignee,portOfDischarge' ELSE 'consignee,goods,portOfDischarge' END AS asked FROM b
+UNION ALL SELECT k, side, 1, 0, 'consignee,packages,goods' FROM sides WHERE side = 'A' AND k % 5 = 0""")
+def a2_ask_in_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each draft stands there twice; the first one's answer gives the goods, but for every 11th order, whose call fails."""
+    docs = D.docs(spark, sf_dir)
+    docs = stored(docs.unionByName(docs.where("side = 'B'").withColumns({"doc_seq": F.lit(1), "file_name": F.lit("again.pdf")})))
+    doubt = docs.where("shipment_id % 5 = 0 and doc_seq = 0").select(*KEY, F.lit(0).alias("pos"), F.concat("file_name", F.lit(": no consignee cell found.")).alias("message"))
+    found = review(docs, T.read_text(docs), doubt)
+    k = F.col("shipment_id")
+
+    def ask(questions: DataFrame) -> DataFrame:
+        fails = (k % 11 == 0) & (F.col("doc_seq") == 0)
+        return questions.withColumns({"provider": F.lit("svc"), "body": F.when(~fails, F.lit('{"goods": "NUTS"}')), "error": F.when(fails, "busy")})
+
+    queue, _ = A.ask_in_turn(found["side_fields"], found["assessed"], docs, ask)
+    return queue.select("shipment_id", "side", "queue_pos", "doc_seq", F.array_join("asked", ",").alias("asked"))
+
+
 def asked(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The review with the responses of a service that is busy for every 11th order."""
     found = reviewed(spark, sf_dir)

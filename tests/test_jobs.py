@@ -8,7 +8,7 @@ from quayside.operators import merge as M
 from quayside.operators import text_reader as T
 from quayside.plans.reconcile import accepted, reconcile
 from quayside.sources.intake import admit, read_manifest, submitted
-from quayside.sources.report import assemble_report, write_report
+from quayside.sources.report import assemble_report, read_report, write_report
 
 DOC = "shipment_id long, side string, doc_seq int, file_name string, kind string, format string, text string"
 FIELD = "shipment_id long, side string, doc_seq int, field_key string, raw string, where string, source string, file string"
@@ -153,7 +153,7 @@ def test_report_sink(spark, tmp_path):
     df = spark.range(3).withColumnRenamed("id", "shipment_id")
     for fmt in ("parquet", "json"):
         write_report(df, str(tmp_path / fmt), fmt)
-        assert spark.read.format(fmt).load(str(tmp_path / fmt)).count() == 3
+        assert read_report(spark, str(tmp_path / fmt)).count() == 3
 
 
 def test_stream_of_documents(spark, tmp_path):
