@@ -501,14 +501,14 @@ def b4_merge_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.merge_discovered(again).where("doc_seq < 5").select("shipment_id", "side", "label")
 
 
-@register(f"""{D.cte('docs')} SELECT shipment_id, side, array_to_string({X.emails("string_agg(text, chr(10) ORDER BY doc_seq)")}, ',') AS emails, length(string_agg(text, chr(10) ORDER BY doc_seq)) AS n_text,
+@register(f"""{D.cte('docs')} SELECT shipment_id, side, array_to_string({X.emails("string_agg(text, chr(10) ORDER BY doc_seq)")}, ',') AS emails, length(string_agg(text, chr(10) ORDER BY doc_seq)) AS n_text, md5(string_agg(text, chr(10) ORDER BY doc_seq)) AS text_md5,
   CASE WHEN side = 'A' AND shipment_id % 3 = 0 THEN 'pack.docx: No CONSIGNEE block found in the SI.|pack.docx: No discharge port found in the SI — no label, and no line matching a known port name.' ELSE '' END AS warnings
   FROM docs GROUP BY shipment_id, side""")
 def b5_merge_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = D.docs(spark, sf_dir)
     side_a = docs.where("side = 'A'")
     out = M.merge_attributes(docs, T.doc_warnings(side_a, T.read_text(side_a)))
-    return out.select("shipment_id", "side", F.array_join("emails", ",").alias("emails"), F.length("text").cast("long").alias("n_text"), F.array_join("warnings", "|").alias("warnings"))
+    return out.select("shipment_id", "side", F.array_join("emails", ",").alias("emails"), F.length("text").cast("long").alias("n_text"), F.md5(F.col("text").cast("binary")).alias("text_md5"), F.array_join("warnings", "|").alias("warnings"))
 
 
 # -- comparing
@@ -604,14 +604,29 @@ def results(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return reconcile(D.docs(spark, sf_dir), D.fields(spark, sf_dir), directives(spark, sf_dir))
 
 
-@register(f"""{_TALLY} SELECT s.shipment_id, (SELECT count(*) FROM judged j WHERE j.shipment_id = s.shipment_id) AS n_fields, (SELECT count(*) FROM directives d WHERE d.shipment_id = s.shipment_id) AS n_directives,
-  (SELECT count(*) FROM internal i WHERE i.shipment_id = s.shipment_id) AS n_internal, (SELECT count(*) FROM conflicts c WHERE c.shipment_id = s.shipment_id) AS n_conflicts,
-  (SELECT count(*) FROM votes v WHERE v.shipment_id = s.shipment_id AND v.v = 'mismatch') AS mismatches FROM ships s""")
+_WHOLE = f"{_JUDGED}, {X.CONFLICTS}, {X.DIRECTIVES}, {X.INTERNAL}"
+
+
+@register(f"""{_WHOLE} SELECT shipment_id, told.n AS n_fields, coalesce(said.n, 0) AS n_directives, coalesce(own.n, 0) AS n_internal, coalesce(odd.n, 0) AS n_conflicts, told.mismatches,
+  told.t AS fields, coalesce(odd.t, '') AS conflicts, coalesce(said.t, '') AS directives, coalesce(own.t, '') AS internal
+  FROM (SELECT shipment_id, count(*) AS n, count(*) FILTER (verdict = 'mismatch') AS mismatches,
+    string_agg(label || ': ' || coalesce(a, '-') || ' / ' || coalesce(b, '-') || ': ' || verdict, '; ' ORDER BY ord) AS t FROM judged GROUP BY ALL) told
+  LEFT JOIN (SELECT shipment_id, count(*) AS n, string_agg(side || ' ' || label || ': ' || vals, '; ' ORDER BY side, field_key) AS t FROM conflicts GROUP BY ALL) odd USING (shipment_id)
+  LEFT JOIN (SELECT shipment_id, count(*) AS n, string_agg(side || ' ' || kind || ': ' || verdict, '; ') AS t FROM directives GROUP BY ALL) said USING (shipment_id)
+  LEFT JOIN (SELECT shipment_id, count(*) AS n, string_agg(label || ': ' || boxed || ' / ' || printed, '; ' ORDER BY label) AS t FROM internal GROUP BY ALL) own USING (shipment_id)""")
 def c10_s5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole job, as one nested row for each shipment, shown by the sizes of its lists."""
+    """The whole job, as one nested row for each shipment: the sizes of its lists and what they say."""
     report = assemble_report(results(spark, sf_dir))
     size = lambda c, name: F.size(c).cast("long").alias(name)
-    return report.select("shipment_id", size("fields", "n_fields"), size("directives", "n_directives"), size("internal", "n_internal"), size("conflicts", "n_conflicts"), F.col("summary.mismatches").alias("mismatches"))
+    raw = lambda v: F.coalesce(v["raw"], F.lit("-"))
+    line = {
+        "fields": lambda x: F.concat(x["label"], F.lit(": "), raw(x["a"]), F.lit(" / "), raw(x["b"]), F.lit(": "), x["verdict"]),
+        "conflicts": lambda x: F.concat(x["side"], F.lit(" "), x["label"], F.lit(": "), F.array_join(F.transform(x["values"], lambda v: F.concat(v["file"], F.lit(": "), v["raw"])), "; ")),
+        "directives": lambda x: F.concat(x["side"], F.lit(" "), x["directive"]["forbid"]["kind"], F.lit(": "), x["verdict"]),
+        "internal": lambda x: F.concat(x["label"], F.lit(": "), F.array_join(x["values"], " / ")),
+    }
+    told = [F.array_join(F.transform(name, said), "; ").alias(name) for name, said in line.items()]
+    return report.select("shipment_id", size("fields", "n_fields"), size("directives", "n_directives"), size("internal", "n_internal"), size("conflicts", "n_conflicts"), F.col("summary.mismatches").alias("mismatches"), *told)
 
 
 # -- review
@@ -680,10 +695,12 @@ def a4_fill_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""{D.cte()} SELECT k AS shipment_id, n > 0 AND k % 11 <> 0 AS used, CASE WHEN n > 0 THEN 'svc' ELSE 'none' END AS provider, CASE WHEN n > 0 AND k % 11 <> 0 THEN 'draft.pdf' ELSE '' END AS docs,
-  CASE WHEN n > 0 AND k % 11 <> 0 THEN 'draft.pdf: goods|draft.pdf: portOfDischarge' ELSE '' END AS filled, (CASE WHEN n = 0 AND k % 5 <> 0 THEN 1 ELSE 0 END + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END +
+  CASE WHEN n > 0 AND k % 11 <> 0 THEN 'draft.pdf: goods|draft.pdf: portOfDischarge' ELSE '' END AS filled,
+  CASE WHEN n = 0 AND k % 5 <> 0 THEN {X.q(A.CLEAN)} ELSE concat_ws('|', CASE WHEN k % 5 = 0 THEN 'A: inst.docx was read with doubt.' END, CASE WHEN n > 0 THEN 'B: rules found no consignee, goods, portOfDischarge.' END,
+    CASE WHEN n > 0 AND k % 5 = 0 THEN 'B: draft.pdf was read with doubt.' END, CASE WHEN n > 0 AND k % 11 = 0 THEN 'draft.pdf: model call failed (busy). Rules-only result shown.' END) END AS reasons, (CASE WHEN n = 0 AND k % 5 <> 0 THEN 1 ELSE 0 END + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END +
   CASE WHEN n > 0 THEN 1 ELSE 0 END + CASE WHEN n > 0 AND k % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN n > 0 AND k % 11 = 0 THEN 1 ELSE 0 END)::BIGINT AS n_reasons FROM base""")
 def a5_assist_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asked(spark, sf_dir)["report"].select("shipment_id", "used", "provider", F.array_join("docs", "|").alias("docs"), F.array_join("filled", "|").alias("filled"), F.size("reasons").cast("long").alias("n_reasons"))
+    return asked(spark, sf_dir)["report"].select("shipment_id", "used", "provider", F.array_join("docs", "|").alias("docs"), F.array_join("filled", "|").alias("filled"), F.array_join("reasons", "|").alias("reasons"), F.size("reasons").cast("long").alias("n_reasons"))
 
 
 _PROBED = ", ".join(f"({X.q(k)})" for k in Q.PROBED)
