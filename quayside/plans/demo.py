@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quayside.sources.shared import parts_of
+
 BASE = """
 SELECT o.o_orderkey AS k, c.c_name AS cname, coalesce(l.n, 0) AS n
 FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey
@@ -184,7 +186,7 @@ def dealt(rows: DataFrame, key: str = "k") -> DataFrame:
     They are a few bytes each, so partitions sized by bytes would be few; what is made of them, a shipment's texts and their reading, costs
     time.  Whatever is grouped by the same key afterwards stays where it is.
     """
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return rows.repartition(parts_of(rows.sparkSession), key)
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,13 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def parts_of(spark: SparkSession) -> int:
+    """Into how many parts a stage deals its rows: the session's shuffle partitions, but four for each core at most where they are left at Spark's default."""
+    told = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return told if told != 200 else min(told, 4 * spark.sparkContext.defaultParallelism)
+
+
 def stored(df: DataFrame, key: str = "shipment_id", dealt: bool = False) -> DataFrame:
     """``df`` as a table in buckets by ``key``; it goes with the session.
 
     ``dealt``: the rows stand by ``key`` in as many partitions as there are buckets already.
     """
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_of(spark)
     name = f"quayside_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     rows = df if dealt else df.repartition(parts, key)
