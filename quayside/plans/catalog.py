@@ -24,10 +24,11 @@ from quayside.operators import text_reader as T
 from quayside.plans import demo as D
 from quayside.plans import twins as X
 from quayside.plans.reconcile import answered, compared, concluded, inputs, reconcile, review
+from quayside.sources import folders as L
 from quayside.sources import intake as N
 from quayside.sources.intake import admit, detect_format
 from quayside.sources.report import assemble_report
-from quayside.sources.shared import stored
+from quayside.sources.shared import shared_folder, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -162,6 +163,19 @@ def s2_read_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.submitted(manifest(spark, sf_dir).drop("doc_seq"))
 
 
+@register("""WITH f AS (SELECT c_custkey AS k, unnest([{'side': 'A', 'n': 0, 'file_name': 'inst.docx', 'size': 10 + c_custkey % 90}, {'side': 'A', 'n': 1, 'file_name': 'pack.XLSX', 'size': c_custkey % 4},
+  {'side': 'B', 'n': 2, 'file_name': 'draft ' || (c_custkey % 5)::VARCHAR || '.pdf', 'size': 1 + c_custkey % 7}]) AS d FROM customer)
+SELECT k AS shipment_id, d.side AS side, CAST(row_number() OVER (PARTITION BY k, d.side ORDER BY d.file_name) - 1 AS INT) AS doc_seq, d.file_name AS file_name, d.size::BIGINT AS size_bytes FROM f WHERE d.size > 0""")
+def s2_read_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files laid out as folders of shipments, listed by the data source."""
+    k = F.col("c_custkey")
+    file = lambda side, name, size: F.struct(F.lit(side).alias("side"), name.alias("file_name"), F.repeat(F.lit("x"), size.cast("int")).cast("binary").alias("content"))
+    three = F.array(file("A", F.lit("inst.docx"), 10 + k % 90), file("A", F.lit("pack.XLSX"), k % 4), file("B", F.concat(F.lit("draft "), (k % 5).cast("string"), F.lit(".pdf")), 1 + k % 7))
+    path = shared_folder(spark)
+    L.lay_out(D.dealt(D.table(spark, sf_dir, "customer"), "c_custkey").select(k.alias("shipment_id"), F.explode(three).alias("d")).select("shipment_id", "d.*"), path)
+    return L.read_folders(spark, path).drop("mime")
+
+
 def decoded(spark: SparkSession, sf_dir: str, sql: str, of: str, clean: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """A reader's cleaning over a derived table."""
     return clean(D.derived(spark, sf_dir, sql, of))
@@ -372,8 +386,10 @@ _PAGE = [
 
 @register(planted(_PAGE, "customer"))
 def e14_e18_read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The planted values come back whatever the page's shift."""
-    return P.read_pages(*pages(spark, sf_dir))[0].select("shipment_id", "field_key", "raw")
+    """The planted values come back whatever the page's shift, across or down."""
+    items, docs = pages(spark, sf_dir)
+    across = (F.col("shipment_id") % 7 - 3) * 3
+    return P.read_pages(items.withColumn("x", F.col("x") + across), docs)[0].select("shipment_id", "field_key", "raw")
 
 
 _BOXED = " UNION ALL ".join(f"SELECT {n} AS ord, '{b}' AS box, {x0} AS x0, {x1} AS x1, {y0} AS y0, {y1} AS y1" for n, (b, x0, x1, y0, y1) in enumerate(R.BOXES))
@@ -394,9 +410,10 @@ def q3_box_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.box_slack(*pages(spark, sf_dir)).select("shipment_id", "ord", "box", "n_items", "slack", "tight")
 
 
-@register("SELECT c_custkey AS shipment_id, s AS shift, 0::BIGINT AS n_changed, '' AS changed FROM customer, (VALUES (1), (2), (3)) v(s)")
+@register("SELECT c_custkey AS shipment_id, s AS shift, n::BIGINT AS n_changed, changed FROM customer, (VALUES (1, 0, ''), (2, 0, ''), (3, 0, ''), (4, 2, 'consignee, shipper')) v(s, n, changed)")
 def q2_drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shifts = [(1, 3.0, "page"), (2, -6.0, "page"), (3, 7.8, "consignee")]
+    """Q2: small drifts change nothing; an address 30 pt higher stands in the shipper's box."""
+    shifts = [(1, 3.0, "page"), (2, -6.0, "page"), (3, 7.8, "consignee"), (4, 30.0, "consignee")]
     return Q.drift_report(*pages(spark, sf_dir), shifts).select("shipment_id", "shift", "n_changed", "changed")
 
 

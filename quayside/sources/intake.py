@@ -23,10 +23,15 @@ def detect_format(file_name: Column | str, mime: Column | str) -> Column:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Submitted files under ``path``/<shipment>/<A or B>/<file>, without empty ones and without their content."""
+    """Submitted files under ``path``/<shipment>/<A or B>/<file>, without empty ones and without their content.
+
+    A shipment's folder is its id in plain decimal digits; files of other folders have a null id.  ``folders.read_folders`` lists
+    folders in tasks and takes filters, for file systems that pyarrow reaches.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     part = lambda n: F.regexp_extract("path", r"/([^/]+)/([AB])/([^/]+)\z", n)
-    rows = files.select(part(1).try_cast("long").alias("shipment_id"), part(2).alias("side"), part(3).alias("file_name"), F.lit(None).cast("string").alias("mime"), F.col("length").alias("size_bytes"))
+    own = F.when(part(1).rlike(r"\A(?:0|-?[1-9][0-9]*)\z"), part(1))
+    rows = files.select(own.try_cast("long").alias("shipment_id"), part(2).alias("side"), part(3).alias("file_name"), F.lit(None).cast("string").alias("mime"), F.col("length").alias("size_bytes"))
     return submitted(rows.where("side <> ''"))
 
 

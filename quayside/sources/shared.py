@@ -47,6 +47,16 @@ def stored(df: DataFrame, key: str = "shipment_id", dealt: bool = False) -> Data
     return spark.table(name)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of its own in the shared folder, for files that aren't tables; it goes with the session."""
+    path = f"{shared_dir(spark)}/quayside_{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
 def drop_stored(*tables: DataFrame) -> None:
     """Delete tables of ``stored`` that nothing reads any more."""
     for df in tables:
