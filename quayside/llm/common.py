@@ -101,6 +101,13 @@ def with_rows(docs: DataFrame, id_col: str, payload: str, name: str) -> tuple[Da
     return found.select(*(keyed[c] for c in docs.columns), name), False
 
 
+def id_numbers(docs: DataFrame, id_col: str) -> DataFrame | None:
+    """(own, number) of the different ids that aren't null, numbered in their order; None for whole numbers, which stand for themselves."""
+    if docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return None
+    return shared_table(in_order(docs.select(F.col(id_col).alias("own")).where("own is not null").distinct(), "own", name="number"))
+
+
 def in_order(rows: DataFrame, *by: str, name: str = "_at") -> DataFrame:
     """``rows`` with their place, from 0 without gaps, in the order of ``by``: each range is numbered by itself,
     after the sizes of the ranges before it.  The ranges are stored; what is broadcast has one row for each of them."""

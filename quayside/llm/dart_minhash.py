@@ -18,7 +18,7 @@ costs its size, not its square.  Candidates are verified exactly.
 Defined cases: null or empty texts (or white space alone) have no shingles and link with nothing;
 texts of one to four words have one shingle, all their words; equal texts that have a word are always
 in one class; rows with a null id are left out (the stage keeps them); several rows of one id count as
-one node that has all their links; extra columns are ignored.
+one node that has all their links; ids that aren't whole numbers are numbered in their order; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayside.llm.common import (
-    U, components, int_lists, mix, numbered, rank_in_group, seeded, shared_table, shingles, slices, unit, word_hashes, words,
+    U, components, id_numbers, int_lists, join_hot, mix, numbered, rank_in_group, seeded, shared_table, shingles, slices, unit, word_hashes, words,
 )
 
 #: Words of a shingle, bands and coordinates of a band, and the similarity of a link.  At 0.8 a pair
@@ -189,6 +189,12 @@ def near_duplicates(
     shingle: int = SHINGLE, link: float = LINK, weights: str = "log",
 ) -> DataFrame:
     """(id_col, class_id, kept): one row for each id; the class is the smallest linked id."""
+    ids = id_numbers(docs, id_col)
+    if ids is not None:
+        texts = shared_table(docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text")).join(ids.hint("merge"), "own").drop("own"))
+        found = near_duplicates(texts, "number", "text", bands=bands, rows=rows, shingle=shingle, link=link, weights=weights)
+        found = found.join(ids.hint("merge"), "number").select("own", F.col("class_id").alias("number")).join(ids.toDF("class_id", "number").hint("merge"), "number")
+        return found.select(F.col("own").alias(id_col), "class_id", (F.col("own") == F.col("class_id")).alias("kept"))
     signed = shared_table(signature_table(docs, id_col, text_col, bands, rows, shingle, weights))
     # What is known of a digest or a bucket is stored: joins with it then deal out both sides themselves and
     # can split the rows of one digest or bucket.
@@ -210,11 +216,13 @@ def near_duplicates(
     links = shared_table(verified(star, bags, link))
     # Buckets that the stars leave in more than one component.
     parts = components(links, "a", "b").withColumnRenamed("node", "id")
-    placed = hot.join(parts, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"), (F.col("id") == F.col("lead")).alias("leads"))
-    main = placed.groupBy("band").agg(F.max(F.when(F.col("leads"), F.col("component"))).alias("main"), F.count("*").alias("n"))
-    placed = placed.join(main, "band").withColumn("outside", F.col("component") != F.col("main"))
-    out = placed.where("outside").groupBy("band").agg(F.count("*").alias("outs"))
-    edges = copies.unionByName(links).unionByName(tiled(placed.join(out, "band"), bags, link))
+    placed = shared_table(hot.join(parts, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"), (F.col("id") == F.col("lead")).alias("leads")))
+    # A large class is one component of a bucket, so its rows are summed before they are shuffled, and meet the facts where they are.
+    share = placed.groupBy("band", "component").agg(F.count("*").alias("n"), F.max("leads").alias("leads"))
+    main, outs = F.max(F.when(F.col("leads"), F.col("component"))), F.sum(F.when(F.col("leads"), 0).otherwise(F.col("n")))
+    facts = shared_table(share.groupBy("band").agg(main.alias("main"), F.sum("n").alias("n"), outs.alias("outs")).where("outs > 0"))
+    open_ = shared_table(join_hot(placed, facts, "band").withColumn("outside", F.col("component") != F.col("main")))
+    edges = copies.unionByName(links).unionByName(tiled(open_, bags, link))
     found = components(edges, "a", "b").withColumnRenamed("node", "id")
     ids = docs.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
     out = ids.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("class_id"))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.common import U, components, mix, shared_table, with_rows
+from quayside.llm.common import U, components, join_hot, mix, shared_table, with_rows
 
 LINK, BLOCKS, GRID, TILE, SLACK = 0.98, 8, 3, 1024, 1e-9
 
@@ -182,7 +182,7 @@ def linked_vectors(
     cells = cell_table(reps.select(F.col("rep").alias("id"), "mark", "embedding"), link, blocks, grid)
     cells = shared_table(cells)
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).where("n > 1 and homes > 0")
-    placed = cells.join(sizes, "cell").withColumn("spot", F.xxhash64("id", F.lit(3)))
+    placed = join_hot(cells, shared_table(sizes), "cell").withColumn("spot", F.xxhash64("id", F.lit(3)))
     count = lambda n: F.ceil(F.col(n) / TILE).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), count(n) - 1))
     one = lambda n: F.pmod("spot", count(n)).cast("int")

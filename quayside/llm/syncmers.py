@@ -16,8 +16,8 @@ Defined cases: null text counts as empty; texts of under K tokens have one ancho
 their tokens; texts without a token have the empty fingerprint; two empty fingerprints have likeness 1,
 an empty and another one 0; equal texts have equal fingerprints; the next document is the one of the
 next smaller id, and of the least id the one of the greatest; a single document is its own next; rows
-of one id follow each other in the order of their texts' hashes; rows with null ids come last; extra
-columns are ignored.
+of one id follow each other in the order of their texts' hashes; rows with null ids come last; ids that
+aren't whole numbers are numbered in their order; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quayside.llm.common import shared_table
+from quayside.llm.common import id_numbers, shared_table
 
 K, TOKEN_CHARS = 5, 24
 #: A word between blanks, else one character of a longer run.
@@ -111,6 +111,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The edited text is the text with its last floor(n_chars / 3) characters replaced by the first as
     many (or all) of the next document.
     """
+    ids = id_numbers(docs, id_col)
+    if ids is not None:
+        texts = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text")).join(ids.hint("merge"), "own", "left").drop("own")
+        found = fingerprints(texts, "number", "text").join(ids.hint("merge"), "number", "left")
+        return found.select(F.col("own").alias(id_col), *found.columns[1:-1])
     text = F.coalesce(F.col(text_col), F.lit(""))
     # null ids sort below all others
     none = -(1 << 63)

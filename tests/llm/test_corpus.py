@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quayside.llm import (
     compact_windows, cross_entropy, dart_minhash, language_id, licence_scan, pareto_mix, piece_codec, subspace_join, syncmers, url_filter,
 )
+from quayside.llm import common
 from quayside.llm.common import components
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -716,8 +717,10 @@ def brute_classes(texts):
     return [find(i) for i in range(len(texts))]
 
 
-def test_near_duplicates_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [2000, 30, 0])  # buckets meet their facts by broadcast, in part, or by key
+def test_near_duplicates_against_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(dart_minhash, "TILE", 8)
+    monkeypatch.setattr(common, "HOT", hot)
     base = [prose(i, 120) for i in range(10)]
     r = random.Random(6)
     texts = []
@@ -746,6 +749,20 @@ def test_near_duplicates_edges(spark):
     assert dart_minhash.near_duplicates(odd(spark).limit(0)).count() == 0
 
 
+def test_ids_that_are_texts(spark):
+    texts = [prose(1, 60), prose(2, 60), prose(1, 60), None, edited(prose(2, 60), 60), prose(1, 60), "lost"]
+    names = ["m", "zz", "é", "k", "b-1", "m", None]
+    docs = spark.createDataFrame(list(zip(names, texts, strict=True)), "doc_id string, text string")
+    found = {tuple(r) for r in dart_minhash.near_duplicates(docs).collect()}
+    assert found == {("m", "m", True), ("é", "m", False), ("k", "k", True), ("b-1", "b-1", True), ("zz", "b-1", False)}
+    assert sorted(str(r["doc_id"]) for r in dart_minhash.drop_near_duplicates(docs).collect()) == ["None", "b-1", "k", "m", "m"]
+    as_numbers = docs.where("doc_id is null or doc_id <> 'm'").withColumn("doc_id", F.expr("CASE doc_id WHEN 'b-1' THEN 1 WHEN 'k' THEN 2 WHEN 'zz' THEN 3 WHEN 'é' THEN 4 END"))
+    prints = lambda df: sorted(str(tuple(r)[1:]) for r in syncmers.fingerprints(df).collect())
+    assert prints(docs.where("doc_id is null or doc_id <> 'm'")) == prints(as_numbers)
+    assert {r["doc_id"] for r in syncmers.fingerprints(docs).collect()} == set(names)
+    assert syncmers.fingerprints(docs.limit(0)).count() == dart_minhash.near_duplicates(docs.limit(0)).count() == 0
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
