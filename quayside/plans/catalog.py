@@ -614,7 +614,7 @@ def c8_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"{_JUDGED} SELECT shipment_id, ord, label, CASE verdict {' '.join(f'WHEN {X.q(k)} THEN {X.q(v)}' for k, v in R.VERDICT_LABELS.items())} END AS verdict_label FROM judged WHERE verdict <> 'absent_both'")
 def c9_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.report_rows(verdicts(spark, sf_dir)).select("shipment_id", "ord", "label", "verdict_label")
+    return C.report_rows(stored(verdicts(spark, sf_dir))).select("shipment_id", "ord", "label", "verdict_label")
 
 
 def results(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
