@@ -347,6 +347,35 @@ def test_near_passages_behind_crowding_leads(spark):
     assert len(want & got) >= 0.95 * len(want) and got <= want
 
 
+def test_near_windows_of_a_key_meet_all_earlier_ones(spark):
+    r = np.random.default_rng(3)
+    fresh = lambda n: r.integers(-(2**31), 2**31, n).astype(np.int32)
+
+    def near(x, *places):
+        x = x.copy()
+        for p in places:
+            x[p : p + 5] = fresh(5)
+        return x
+
+    one, two, inner = fresh(60), fresh(60), fresh(60)
+    # 8 is near 7, behind six leads that share nothing; 10 is near 9, which the first lead covers, but not near that
+    # lead; 11 is near a second window of a lead's text
+    texts = [one, *(fresh(60) for _ in range(6)), two, near(two, 30), near(one, 25)]
+    texts += [near(texts[9], 38), near(inner, 30)]
+    texts[1] = np.concatenate([texts[1], inner])
+    places = [(i, 20) for i in range(len(texts))] + [(1, 80)]
+    keyed = spark.createDataFrame([(5, i, c, True, c == 20) for i, c in places], "key long, id long, at long, near boolean, first boolean")
+    shingled = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(texts)], "id long, sh array<int>")
+    want = set()
+    for a, c in places:
+        for b, d in places:
+            if b < a and compact_windows.compared(texts[a], texts[b], np.array([c]), np.array([d]), 46, 0.8)[0]:
+                want.add((a, b))
+    assert {(8, 7), (9, 0), (10, 9), (11, 1)} == want
+    got = {(x["id"], x["lead"]) for part in compact_windows.again(common.shared_table(keyed), common.shared_table(shingled), 46, 0.8) for x in part.where(F.size("spans") > 0).collect()}
+    assert got == want
+
+
 def test_repeated_and_text_ids_keep_their_texts(spark):
     shared = prose(77, 60)
     rows = [(1, prose(1, 100) + " " + shared), (2, shared + " " + prose(3, 80)), (2, prose(4, 200))]
