@@ -347,6 +347,29 @@ def test_near_passages_behind_crowding_leads(spark):
     assert len(want & got) >= 0.95 * len(want) and got <= want
 
 
+def test_leads_come_from_hash_aggregates_and_are_the_least(spark):
+    rows = [(1, 7, 90, False), (1, 7, 80, True), (1, 5, 70, False), (1, 5, 60, True), (2, 4, 1, True), (2, 4, 2, False)]
+    keyed = common.shared_table(spark.createDataFrame(rows, "key long, id long, at long, first boolean"))
+    written, stored = [], compact_windows.shared_table
+    compact_windows.shared_table = lambda df: written.append(df) or stored(df)
+    try:
+        got = compact_windows.starred(keyed).collect()
+    finally:
+        compact_windows.shared_table = stored
+    assert {(x["key"], x["id"], x["at"], x["lead"], x["lead_at"], x["n"]) for x in got} == {(1, 7, at, 5, 60, 4) for at in (80, 90)}
+    plan = written[0]._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    r = np.random.default_rng(8)
+    for top in (2, 2**31):
+        b = r.integers(-top, top, 300).astype(np.int32)
+        values, at = compact_windows.sorted_places(b)
+        assert (at == np.argsort(b, kind="stable")).all() and (values == b[at]).all()
+    for n, top in ((30, 5), (40, 1000), (25, 1)):
+        h = r.integers(0, top, n).astype(np.uint64)
+        _, c, _ = compact_windows.compact_windows(h, np.array([0, n]), 6)
+        assert set(h[c]) == set(h[compact_windows.minima(h, np.array([0, n]), 6)])
+
+
 def test_near_windows_of_a_key_meet_all_earlier_ones(spark):
     r = np.random.default_rng(3)
     fresh = lambda n: r.integers(-(2**31), 2**31, n).astype(np.int32)
